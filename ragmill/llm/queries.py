@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from ragmill.llm.langid import LANGID_SQL, op10_langid
 from ragmill.llm.simhash import op2_simhash
 
 QUERIES = {
+    "op10_langid": op10_langid,
     "op2_simhash": op2_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_langid": LANGID_SQL,
+}
