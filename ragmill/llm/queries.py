@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from ragmill.llm.langid import LANGID_SQL, op10_langid
+from ragmill.llm.linededup import LINEDEDUP_SQL, op9_linededup
 from ragmill.llm.simhash import op2_simhash
+from ragmill.llm.substring import SUBSTRING_SQL, op1_substring
 
 QUERIES = {
+    "op1_substring": op1_substring,
+    "op9_linededup": op9_linededup,
     "op10_langid": op10_langid,
     "op2_simhash": op2_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_langid": LANGID_SQL,
+    "op1_substring": SUBSTRING_SQL,
+    "op9_linededup": LINEDEDUP_SQL,
 }
