@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from ragmill.llm.langid import LANGID_SQL, op10_langid
 from ragmill.llm.linededup import LINEDEDUP_SQL, op9_linededup
+from ragmill.llm.sharding import SHARDING_SQL, op5_hilbert
 from ragmill.llm.simhash import op2_simhash
 from ragmill.llm.substring import SUBSTRING_SQL, op1_substring
+from ragmill.llm.warc import WARC_SQL, op7_warc
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op5_hilbert": op5_hilbert,
+    "op7_warc": op7_warc,
     "op9_linededup": op9_linededup,
     "op10_langid": op10_langid,
     "op2_simhash": op2_simhash,
@@ -18,4 +22,6 @@ ORACLE_SQL: dict[str, str] = {
     "op10_langid": LANGID_SQL,
     "op1_substring": SUBSTRING_SQL,
     "op9_linededup": LINEDEDUP_SQL,
+    "op5_hilbert": SHARDING_SQL,
+    "op7_warc": WARC_SQL,
 }
