@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ragmill.llm.decontam import op3_decontam
 from ragmill.llm.langid import LANGID_SQL, op10_langid
 from ragmill.llm.linededup import LINEDEDUP_SQL, op9_linededup
 from ragmill.llm.sharding import SHARDING_SQL, op5_hilbert
@@ -11,6 +12,7 @@ from ragmill.llm.warc import WARC_SQL, op7_warc
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op3_decontam": op3_decontam,
     "op5_hilbert": op5_hilbert,
     "op7_warc": op7_warc,
     "op9_linededup": op9_linededup,
