@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ragmill.llm.decontam import op3_decontam
+from ragmill.llm.embedding import EMBEDDING_SQL, op8_embedding
 from ragmill.llm.langid import LANGID_SQL, op10_langid
 from ragmill.llm.linededup import LINEDEDUP_SQL, op9_linededup
 from ragmill.llm.sharding import SHARDING_SQL, op5_hilbert
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_decontam": op3_decontam,
     "op5_hilbert": op5_hilbert,
     "op7_warc": op7_warc,
+    "op8_embedding": op8_embedding,
     "op9_linededup": op9_linededup,
     "op10_langid": op10_langid,
     "op2_simhash": op2_simhash,
@@ -26,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_linededup": LINEDEDUP_SQL,
     "op5_hilbert": SHARDING_SQL,
     "op7_warc": WARC_SQL,
+    "op8_embedding": EMBEDDING_SQL,
 }
