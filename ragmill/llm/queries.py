@@ -6,6 +6,7 @@ from ragmill.llm.decontam import op3_decontam
 from ragmill.llm.embedding import EMBEDDING_SQL, op8_embedding
 from ragmill.llm.langid import LANGID_SQL, op10_langid
 from ragmill.llm.linededup import LINEDEDUP_SQL, op9_linededup
+from ragmill.llm.pieces import op4_sentencepiece
 from ragmill.llm.sharding import SHARDING_SQL, op5_hilbert
 from ragmill.llm.simhash import op2_simhash
 from ragmill.llm.substring import SUBSTRING_SQL, op1_substring
@@ -14,6 +15,7 @@ from ragmill.llm.warc import WARC_SQL, op7_warc
 QUERIES = {
     "op1_substring": op1_substring,
     "op3_decontam": op3_decontam,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_hilbert": op5_hilbert,
     "op7_warc": op7_warc,
     "op8_embedding": op8_embedding,
