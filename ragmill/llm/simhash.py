@@ -90,15 +90,24 @@ def links(fps: DataFrame, distance: int = 4, heavy: int = 2048) -> DataFrame:
     table = rows["t"]
     sizes = rows["p"].groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > heavy)
     big = materialize(sizes.select("seg", "key"), "heavy")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     probe = rows["p"]
     crowded = None
     if distance % 2 == 0 and big.head(1):
         crowded = materialize(probe.join(big, ["seg", "key"], "left_semi").select("fp").distinct(), "crowded")
         table = table.join(big, ["seg", "key"], "left_anti")
         probe = probe.join(big, ["seg", "key"], "left_anti")
-    pairs = table.select("seg", "key", F.col("fp").alias("a")).join(probe.select("seg", "key", F.col("fp").alias("b")), ["seg", "key"]).where((F.col("a") != F.col("b")) & close)
-    found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    within = F.when(F.col("seg") == 0, F.lit(-(1 << half))).otherwise(F.lit(mask))
+    at = F.col("a").bitwiseAND(within).bitwiseXOR(F.col("key"))
+    bt = F.col("b").bitwiseAND(within).bitwiseXOR(F.col("key"))
+    once = (at < bt) | ((at == 0) & (bt == 0))  # of the keys at which two meet, and of the segments, one
+    fresh = (F.col("seg") == 0) | (F.bit_count(differ.bitwiseAND(-(1 << half))) > high)
+    found = (
+        table.select("seg", "key", F.col("fp").alias("a"))
+        .join(probe.select("seg", "key", F.col("fp").alias("b")), ["seg", "key"])
+        .where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & once & fresh)
+        .select("a", "b")
+    )
     if crowded is not None:
         ball = crowded.select("fp", _ball("fp", _masks(64, distance // 2)).alias("mid"))
         first = ball.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
