@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NEVER = np.int64(1) << 40
+END = np.uint32(0x110000)  # between words: no character
 CACHE_WORDS = 600_000
 TEXT_CHARS = 4_000_000
 
@@ -189,9 +190,10 @@ class Pieces:
         if not words:
             return []
         text = "\x00".join(words)
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).copy()
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes + 1) - sizes - 1
+        codes[starts[1:] - 1] = END
         begin, number = self.edges(codes)
         lengths = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         word = np.repeat(np.arange(len(words)), np.r_[sizes[:-1] + 1, sizes[-1]])
@@ -199,8 +201,7 @@ class Pieces:
         begin, number = begin[usable], number[usable]
         covered = np.zeros(len(codes) + 1, bool)
         covered[begin[lengths[number] == 1]] = True
-        alien = np.flatnonzero(~covered[: len(codes)])  # characters without a piece stand alone
-        alien = alien[codes[alien] != 0] if (sizes + 1).sum() - 1 == len(codes) else alien
+        alien = np.flatnonzero(~covered[: len(codes)] & (codes != END))  # characters without a piece stand alone
         begin = np.concatenate([begin, alien])
         number = np.concatenate([number, np.full(len(alien), -1)])
         size = np.where(number < 0, 1, lengths[number])
