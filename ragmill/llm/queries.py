@@ -10,6 +10,7 @@ from ragmill.llm.pieces import op4_sentencepiece
 from ragmill.llm.sharding import SHARDING_SQL, op5_hilbert
 from ragmill.llm.simhash import op2_simhash
 from ragmill.llm.substring import SUBSTRING_SQL, op1_substring
+from ragmill.llm.toxicity import op6_toxicity
 from ragmill.llm.warc import WARC_SQL, op7_warc
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_decontam": op3_decontam,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_hilbert": op5_hilbert,
+    "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_embedding": op8_embedding,
     "op9_linededup": op9_linededup,
