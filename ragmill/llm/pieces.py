@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,15 @@ class Pieces:
                 self.ok_pairs, self.ok_values = merged[order], np.concatenate([self.ok_values, value[~known]])[order]
         return value[inverse]
 
+    @staticmethod
+    def _sort(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the keys, and each key's rank from 1."""
+        order = np.argsort(key)
+        new = key[order]
+        ranks = np.empty(len(key), np.int64)
+        ranks[order] = np.cumsum(np.r_[True, new[1:] != new[:-1]])
+        return order, ranks
+
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, piece number) of every occurrence of every piece in the concatenated text.
 
@@ -149,13 +159,20 @@ class Pieces:
         all pieces at once: the range of suffixes that begin with a piece narrows character by character.
         """
         n = len(codes)
-        ranks, width = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1, 1
+        present = np.zeros(int(END) + 1, bool)
+        present[codes] = True
+        dense = np.cumsum(present)[codes]  # from 1, in order of code points
+        bits = int(dense.max(initial=1)).bit_length()
+        width = max(1, 62 // bits)
+        key = np.zeros(n, np.int64)
+        for i in range(width):
+            key[: max(n - i, 0)] |= dense[i:] << (bits * (width - 1 - i))
+        suffixes, ranks = self._sort(key)
         while width < self.longest:
             after = np.zeros(n, np.int64)
-            after[: n - width] = ranks[width:] if width < n else 0
-            ranks = np.unique(ranks * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
+            after[: max(n - width, 0)] = ranks[width:]
+            suffixes, ranks = self._sort(ranks * (n + 2) + after)
             width *= 2
-        suffixes = np.argsort(ranks, kind="stable")
         lo, hi = np.zeros(len(self.texts), np.int64), np.full(len(self.texts), n, np.int64)
         lengths = np.array([len(t) for t in self.texts])
         padded = np.zeros((len(self.texts), self.longest), np.int64)
@@ -278,10 +295,8 @@ class Encoder:
 
     def split(self, text: str) -> list[list[str]]:
         """Words of each line, every one but a later line's first with the space before it; a line break is a word's own end."""
-        if self.pieces.newline:
-            return [[SPACE + w for w in text.replace(SPACE, " ").split(" ")]]
-        lines = [line.split(" ") for line in text.replace(SPACE, " ").split("\n")]
-        return [[SPACE + w if i or not n else w for i, w in enumerate(line)] for n, line in enumerate(lines)]
+        marked = SPACE + text.replace(SPACE, " ").replace(" ", f" {SPACE}")
+        return [line.split(" ") for line in ([marked] if self.pieces.newline else marked.split("\n"))]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for at in self._parts(texts):
@@ -301,10 +316,11 @@ class Encoder:
 
     def _encode(self, docs: list[list[list[str]]]) -> Iterator[list[int]]:
         known = self.known
-        new = list({w for doc in docs for line in doc for w in line if w not in known})
+        words = set().union(*(line for doc in docs for line in doc))
+        new = list(words.difference(known))
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
-            new = list({w for doc in docs for line in doc for w in line})
+            new = list(words)
         known.update(zip(new, self.pieces.encode_words(new)))
         end = self.pieces._fallback("\n")
         space = self.pieces.id_of[SPACE]
@@ -314,8 +330,7 @@ class Encoder:
                 if n:
                     out += end
                 if SPACE not in line:
-                    for w in line:
-                        out += known[w]
+                    out.extend(chain.from_iterable(map(known.__getitem__, line)))
                     continue
                 free = 0
                 for w in line:
