@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,46 +68,89 @@ def _codes(classes: DataFrame) -> DataFrame:
     return classes.select("node", "v").mapInArrow(run, "node long, code binary")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Table]:
+    """Runs of whole buckets (equal ``g``) of at least ``rows`` rows; a bucket has two blocks of rows at most."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        g = t["g"].to_numpy()
+        cut = int(np.searchsorted(g, g[-1])) if (g[1:] >= g[:-1]).all() else int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _candidates(g: np.ndarray, block: np.ndarray, codes: np.ndarray, factors: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a bucket whose estimate plus bound reaches the threshold; small buckets together, large ones by matrix."""
+    start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    size = np.diff(np.r_[start, len(g)])
+    bound = EPSILON * np.sqrt(np.maximum(0, 1 - factors**2)) / factors / np.sqrt(codes.shape[1] * 8 - 1)
+    signs = (np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(codes.shape[1] * 8))
+    after = np.repeat(start + size, size) - np.arange(len(g)) - 1
+    after[np.repeat(size > 64, size)] = 0
+    rows = np.flatnonzero(after)
+    edges = np.searchsorted(np.cumsum(after[rows]), np.arange(0, after.sum() + 50_000, 50_000))
+    for s, e in zip(edges[:-1], edges[1:] if len(edges) > 1 else []):
+        part = rows[s:e] if e < edges[-1] else rows[s:]
+        n = after[part]
+        p = np.repeat(part, n)
+        q = p + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        est = np.einsum("ij,ij->i", signs[p], y[q]) / factors[p]
+        ok = est + bound[p] >= threshold
+        yield p[ok], q[ok]
+    for at, n in zip(start[size > 64].tolist(), size[size > 64].tolist()):
+        x = slice(at, at + n)
+        p, q = np.nonzero(np.triu(signs[x] @ y[x].T / factors[x, None].astype(np.float32) + bound[x, None] >= threshold, 1))
+        yield p + at, q + at
+
+
 def _compare(threshold: float, bands: int):
-    """Compares the members of two blocks of a bucket; gives link counts by node, and edges that span each linked group."""
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = int(key[3]), int(key[4]), int(key[5])
-        group = group.sort_values("node")
-        left = group[group["block"] == i]
-        right = group[group["block"] == j]
-        empty = pd.DataFrame({"node": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64")})
-        if not len(left) or not len(right):
-            return empty
-        a, b = _unit(left["v"].tolist()), _unit(right["v"].tolist())
-        codes, factors = encode(a)
-        est, bound = estimate(codes, factors, b)
-        p, q = np.nonzero(est + bound[:, None] >= threshold)
-        na, nb = left["node"].to_numpy(), right["node"].to_numpy()
-        keep = na[p] < nb[q] if i == j else na[p] != nb[q]
-        p, q = p[keep], q[keep]
-        lanes = [np.frombuffer(b"".join(x["code"]), np.uint16).reshape(len(x), -1)[:, :bands] for x in (left, right)]
-        exact = np.concatenate([np.einsum("ij,ij->i", a[p[s : s + 65_536]], b[q[s : s + 65_536]]) for s in range(0, max(len(p), 1), 65_536)])
-        ok = exact >= threshold
-        p, q = p[ok], q[ok]
-        fresh = ~(lanes[0][p, :band] == lanes[1][q, :band]).any(axis=1)  # else an earlier band has compared them
-        p, q = p[fresh], q[fresh]
-        if not len(p):
-            return empty
-        x, y = na[p], nb[q]
-        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([right["weight"].to_numpy()[q], left["weight"].to_numpy()[p]]), len(nodes)).astype(np.int64)
-        s, t = at[: len(x)], at[len(x) :]
+    """Compares the members of buckets; gives link counts by node, and edges that span each linked group."""
+
+    def linked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node, weight, g, band, block = (t[c].to_numpy() for c in ("node", "weight", "g", "band", "block"))
+        same_block = (t["i"].to_numpy() == t["j"].to_numpy())
+        flat = t["v"].chunk(0) if t["v"].num_chunks else None
+        unit = _unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1))
+        codes, factors = encode(unit)
+        y = (unit @ rotation(unit.shape[1]).T).astype(np.float32)
+        lanes = np.ascontiguousarray(codes).view(np.uint16)[:, :bands]
+        xs, ys, wx, wy = [], [], [], []
+        for p, q in _candidates(g, block, codes, factors, y, threshold):
+            keep = (node[p] != node[q]) & (same_block[p] | (block[p] != block[q]))
+            p, q = p[keep], q[keep]
+            for s in range(0, len(p), 65_536):
+                a, b = p[s : s + 65_536], q[s : s + 65_536]
+                ok = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
+                a, b = a[ok], b[ok]
+                earlier = np.arange(bands) < band[a][:, None]
+                fresh = ~((lanes[a] == lanes[b]) & earlier).any(axis=1)  # else an earlier band has compared them
+                xs.append(node[a[fresh]]), ys.append(node[b[fresh]]), wx.append(weight[a[fresh]]), wy.append(weight[b[fresh]])
+        if not xs or not sum(map(len, xs)):
+            return (np.zeros(0, np.int64),) * 3
+        nodes, at = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([*wy, *wx]), len(nodes)).astype(np.int64)
+        s, e = at[: len(at) // 2], at[len(at) // 2 :]
         root = np.arange(len(nodes))
         while True:
-            least = np.minimum(root[s], root[t])
-            new = root.copy()
-            np.minimum.at(new, s, least), np.minimum.at(new, t, least)
+            least, new = np.minimum(root[s], root[e]), root.copy()
+            np.minimum.at(new, s, least), np.minimum.at(new, e, least)
             new = new[new]
             if (new == root).all():
-                break
+                return nodes, n, nodes[root]
             root = new
-        return pd.DataFrame({"node": nodes, "n": n, "other": nodes[root]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _chunks(batches):
+            dims = t["dim"].to_numpy()
+            for dim in np.unique(dims):
+                out = linked(t.filter(pa.array(dims == dim)).combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["node", "n", "other"])
 
     return run
 
@@ -142,8 +184,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bands: int = BA
     sizes = places.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.expr(f"cast((n + {block - 1}) div {block} as int)")).drop("n")
     member = materialize(places.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "buckets")
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", *bucket, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = dealt.join(wide.select("node", "weight", "v"), "node").join(codes, "node")
-    found = pairs.groupBy(*bucket, "i", "j").applyInPandas(_compare(threshold, bands), "node long, n long, other long")
+    group = [*bucket, "i", "j"]
+    pairs = dealt.join(wide.select("node", "weight", "v"), "node").repartition(*group).sortWithinPartitions(*group, "node").withColumn("g", F.xxhash64(*group))
+    found = pairs.select("node", "weight", "v", "g", "dim", "band", "block", "i", "j").mapInArrow(_compare(threshold, bands), "node long, n long, other long")
     found = materialize(found, "links")
     degree = found.groupBy("node").agg(F.sum("n").alias("n"))
     comp = star_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
