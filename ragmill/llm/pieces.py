@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NEVER = np.int64(1) << 40
 END = np.uint32(0x110000)  # between words: no character
-CACHE_WORDS = 600_000
-TEXT_CHARS = 4_000_000
+CACHE_WORDS = 400_000
+NEW_WORDS = 120_000
+TEXT_CHARS = 2_000_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -58,6 +59,7 @@ class Pieces:
         chars = sorted(p for p in self.id_of if len(p) == 1)
         self.texts = chars + words  # by own number
         self.ids = np.array([self.id_of[p] for p in self.texts], np.int64)
+        self.shared = np.array(self.ids.tolist(), object)  # one int object a piece, for all cached words
         number = {p: k for k, p in enumerate(self.texts)}
         pairs = sorted((number[p[:i]] * len(self.texts) + number[p[i:]], self.rank[p]) for p in words for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
         self.pair_keys = np.array([k for k, _ in pairs] or [-1], np.int64)
@@ -254,7 +256,9 @@ class Pieces:
         kept, owner = np.concatenate(kept[::-1]), np.concatenate(owner[::-1])
         order = np.argsort(owner, kind="stable")
         kept, owner = kept[order], owner[order]
-        ids = np.where(kept >= 0, self.ids[np.maximum(kept, 0)], kept).tolist()
+        ids = self.shared[np.maximum(kept, 0)].tolist()
+        for i in np.flatnonzero(kept < 0).tolist():
+            ids[i] = int(kept[i])
         edges = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
         for a, b in zip(edges[:-1], edges[1:]):
             part = ids[a:b]
@@ -321,7 +325,9 @@ class Encoder:
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = list(words)
-        known.update(zip(new, self.pieces.encode_words(new)))
+        for at in range(0, len(new), NEW_WORDS):
+            part = new[at : at + NEW_WORDS]
+            known.update(zip(part, self.pieces.encode_words(part)))
         end = self.pieces._fallback("\n")
         space = self.pieces.id_of[SPACE]
         for doc in docs:
