@@ -183,8 +183,12 @@ def pieces(text: F.Column, size: int, separators: tuple[str, ...] = SEPARATORS)
     """Pieces of a text, each at most ``size`` long: cut after the coarsest separator that helps, at last anywhere."""
     out = F.array(text)
     long_ = lambda p: F.length(p) > size
+
+    def cut(sep: str):  # a function of one argument: a second one would be taken for the index
+        return lambda p: F.when(long_(p), F.filter(F.split(p, f"(?<={sep})", -1), lambda x: x != "")).otherwise(F.array(p))
+
     for sep in separators:
-        out = F.flatten(F.transform(out, lambda p, sep=sep: F.when(long_(p), F.filter(F.split(p, f"(?<={sep})", -1), lambda x: x != "")).otherwise(F.array(p))))
+        out = F.flatten(F.transform(out, cut(sep)))
     hard = lambda p: F.transform(F.sequence(F.lit(1), F.length(p), F.lit(size)), lambda i: F.substring(p, i, F.lit(size)))
     return F.flatten(F.transform(out, lambda p: F.when(long_(p), hard(p)).otherwise(F.array(p))))
 
