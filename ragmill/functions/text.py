@@ -40,7 +40,7 @@ def tokenize(text: Column) -> Column:
         F.filter(F.sequence(F.lit(0), F.size(raw) - 2), lambda i: _cjk(F.get(raw, i)) & _cjk(F.get(raw, i + 1))),
         lambda i: F.concat(F.get(raw, i), F.get(raw, i + 1)),
     )
-    return F.coalesce(F.when((F.size(raw) > 1) & text.rlike(f"[{CJK}]"), F.concat(raw, pairs)).otherwise(raw), F.array().cast("array<string>"))
+    return F.coalesce(F.when(text.rlike(f"[{CJK}]"), F.concat(raw, pairs)).otherwise(raw), F.array().cast("array<string>"))
 
 
 def terms(text: Column) -> Column:

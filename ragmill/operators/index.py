@@ -14,15 +14,19 @@ from ragmill.functions.text import term_index, tokenize
 K1, B = 1.5, 0.75
 
 
+def tokens_of(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """(chunk_id, tokens), with the tokens made once however often they are used: the generator keeps them from being inlined."""
+    return chunks.select("chunk_id", F.explode(F.array(tokenize(F.col(text)))).alias("tokens"))
+
+
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     """(chunk_id, term, tf, length): one row for each term of a chunk. Chunks without tokens give none."""
-    tokens = chunks.select("chunk_id", tokenize(F.col(text)).alias("tokens"))
-    return tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "length")
+    return tokens_of(chunks, text).select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "length")
 
 
 def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
     """One row: number of chunks and their mean token count, 1 at least."""
-    return chunks.select(F.size(tokenize(F.col(text))).alias("length")).agg(F.count("*").alias("n_chunks"), F.greatest(F.coalesce(F.avg("length"), F.lit(1.0)), F.lit(1.0)).alias("avg_length"))
+    return tokens_of(chunks, text).select(F.size("tokens").alias("length")).agg(F.count("*").alias("n_chunks"), F.greatest(F.coalesce(F.avg("length"), F.lit(1.0)), F.lit(1.0)).alias("avg_length"))
 
 
 def idf(n: F.Column, df: F.Column) -> F.Column:
