@@ -135,7 +135,7 @@ def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     for j, m in enumerate(marks):
         theirs[column[list(m)], j] = list(m.values())
     out = np.zeros((len(words), len(landmarks)))
-    size = max(1, 4_000_000 // max(len(codes), 1))
+    size = max(1, 2_000_000 // max(len(codes), 1))
     for at in range(0, len(words), size):
         part = words[at : at + size]
         c = np.frombuffer(bytes([EDGE]) + b"".join(w[1:] for w in part), np.uint8)
@@ -237,12 +237,13 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     y = np.array(labels) > 0
     if not y.any() or y.all():
         return None
-    bags = [_words(fold(t)) for t in texts]
-    pos, neg = {}, {}
-    for bag, toxic in zip(bags, y):
-        into = pos if toxic else neg
+    pos, neg, bags = {}, {}, []
+    for text, toxic in zip(texts, y):
+        bag, into = _words(fold(text)), pos if toxic else neg
         for w in bag:
             into[w] = into.get(w, 0) + 1
+        if toxic:
+            bags.append(bag)
     n1, n0 = int(y.sum()), int((~y).sum())
 
     def telling(w: bytes) -> float:
@@ -263,7 +264,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
     nearest = [clean[i] for i in np.argsort(-closeness, kind="stable")]
     chosen = list(dict.fromkeys([*marks, *_apart(nearest[: 4 * landmarks], landmarks // 2), *common[: landmarks // 4]]))
     negatives = dict.fromkeys([*nearest[:3000], *common[:1000], *clean[:: max(1, len(clean) // 3000)]])
-    candidates = [sorted(w for w in bag if w in z) for bag, toxic in zip(bags, y) if toxic]
+    candidates = [sorted(w for w in bag if w in z) for bag in bags]
     table, bias = None, 0.0
     for turn in range(rounds):
         witness = set(strong)
