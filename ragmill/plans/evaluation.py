@@ -162,6 +162,8 @@ marked AS MATERIALIZED (SELECT c.case_id, rank, chunk_id, list_filter(required,
 agg AS (SELECT case_id, k, count(*) AS n, count(*) FILTER (len(strings) > 0 OR ctx) AS n_hit, min(rank) FILTER (len(strings) > 0 OR ctx) AS first, len(list_distinct(flatten(list(strings)))) + max(ctx::INT) AS covered FROM marked, (VALUES (5), (10)) t(k) WHERE rank <= k GROUP BY ALL),
 metrics AS MATERIALIZED (SELECT c.case_id, t.k, (len(required) + len(contexts))::INTEGER AS n_gold, CASE WHEN len(required) > 0 THEN CASE WHEN n_hit > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS hit, CASE WHEN len(required) > 0 THEN coalesce(round(covered::DOUBLE / (len(required) + len(contexts)), 4), 0.0) END AS recall,
   CASE WHEN len(required) > 0 THEN coalesce(round(n_hit::DOUBLE / n, 4), 0.0) END AS precision, CASE WHEN len(required) > 0 THEN coalesce(round(1.0::DOUBLE / first, 4), 0.0) END AS mrr FROM cases c CROSS JOIN (VALUES (5), (10)) t(k) LEFT JOIN agg a ON a.case_id = c.case_id AND a.k = t.k)"""
+TAIL = MARKED[MARKED.index("agg AS (") :]
+FIRST3 = TAIL.replace("agg AS (", "agg3 AS (", 1).replace("metrics AS", "metrics3 AS").replace("JOIN agg a", "JOIN agg3 a").replace("rank <= k", "rank <= k AND rank <= 3")
 LOCAL = "behavior = 'answer_with_local_evidence' AND scope <> 'no_local_evidence'"
 EMERGENCY = "(intent = 'emergency' OR scope = 'safety_rule_plus_local_doc')"
 GROUPS = f"""grp AS (SELECT case_id, unnest(list_filter(['all', CASE WHEN {LOCAL} THEN 'local_answerable' END, CASE WHEN {LOCAL} AND scope <> 'multi_doc' THEN 'local_single_doc' END, CASE WHEN scope = 'multi_doc' THEN 'local_multi_doc' END,
@@ -184,6 +186,8 @@ SELECT c.case_id, CASE WHEN len(required) > 0 THEN round(coalesce(s, 0)::DOUBLE
     "doc_hit": f"""WITH {MARKED}, d AS (SELECT ch.case_id, k, count(DISTINCT doc_id) AS u, len(list_distinct(flatten(list(list_filter(list_distinct(documents), lambda n: contains(lower(concat_ws(chr(10), doc_id, '', substr(ch.text, 1, 500))), n)))))) AS n FROM ch JOIN cases USING (case_id), (VALUES (5), (10)) t(k) WHERE rank <= k GROUP BY ALL)
 SELECT c.case_id, t.k, CASE WHEN coalesce(n, 0) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS doc_hit, round(coalesce(n, 0)::DOUBLE / len(list_distinct(documents)), 4) AS doc_recall, coalesce(u, 0) AS unique_docs FROM cases c CROSS JOIN (VALUES (5), (10)) t(k) LEFT JOIN d ON d.case_id = c.case_id AND d.k = t.k""",
     "group_summary": f"WITH {MARKED}, {GROUPS} SELECT \"group\", metric, k, count(DISTINCT case_id) AS n_cases, count(value) AS n_scored, round(avg(value), 4) AS average FROM {LONG} JOIN grp USING (case_id) GROUP BY ALL",
+    "stage_averages": f"""WITH {MARKED}, {FIRST3}, l AS (SELECT 'sparse' AS stage, * FROM {LONG} UNION ALL SELECT 'first3', * FROM {LONG.replace("FROM metrics", "FROM metrics3")})
+SELECT stage, metric, k, round(avg(value), 4) AS average, count(value) AS n_scored FROM l GROUP BY ALL""",
     "failure_topn": f"""WITH {MARKED}, {GROUPS} SELECT "group", row_number() OVER (PARTITION BY "group" ORDER BY coalesce(recall, 1), coalesce(hit, 1), coalesce(mrr, 1), case_id)::INTEGER AS rank, case_id, recall, hit, mrr FROM metrics JOIN grp USING (case_id) WHERE k = 10 QUALIFY rank <= 5""",
     "calibration": f"""WITH {FEATS}, a AS (SELECT e, {ACT.format("reason = 'local_evidence_sufficient'")} AS a FROM f)
 SELECT round(count(*) FILTER (e = a)::DOUBLE / greatest(count(*), 1), 6) AS accuracy, round(count(*) FILTER (e = 'answer_local' AND a = 'answer_local')::DOUBLE / greatest(count(*) FILTER (e = 'answer_local'), 1), 6) AS local_recall, round(count(*) FILTER (e = 'use_web' AND a = 'use_web')::DOUBLE / greatest(count(*) FILTER (e = 'use_web'), 1), 6) AS web_recall,

@@ -80,6 +80,9 @@ KEPT = """kept1 AS (SELECT * FROM (SELECT *, sum((line = '')::INT) OVER (PARTITI
 kept2 AS (SELECT * FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id, page_number ORDER BY pos) AS before FROM kept1) WHERE before IS NULL OR before <> line),
 kept AS (SELECT doc_id, page_number, pos, line, coalesce(blanks > lag(blanks) OVER (PARTITION BY doc_id, page_number ORDER BY pos), false) AS gap FROM kept2)"""
 ORACLE_SQL = {
+    "metadata_extract": """WITH y AS (SELECT doc_id, unnest(regexp_extract_all(concat_ws(chr(10), source || '_' || lang, array_to_string(string_split(text, chr(10))[1:120], chr(10))), '(?:19|20)\\d{2}'))::INTEGER AS y FROM documents),
+b AS (SELECT doc_id, y FROM (SELECT doc_id, y, count(*) AS n FROM y GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, y) = 1)
+SELECT d.doc_id, source AS paper_title, lang AS authors, b.y AS year FROM documents d LEFT JOIN b USING (doc_id)""",
     "boundary_noise": f"WITH {LINES}, {NOISE} SELECT * FROM noise",
     "clean_lines": f"WITH {LINES}, {NOISE}, {KEPT.replace('NOISE', 'AND NOT EXISTS (SELECT 1 FROM noise n WHERE n.doc_id = lines.doc_id AND n.line = lines.line)').replace('lines.doc_id', 'x.doc_id').replace('lines.line', 'x.line').replace('FROM lines) WHERE', 'FROM lines) x WHERE')} SELECT * FROM kept",
     "clean_pages": f"""WITH {LINES}, {KEPT.replace("NOISE", "")}
