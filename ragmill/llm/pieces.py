@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NEVER = np.int64(1) << 40
 END = np.uint32(0x110000)  # between words: no character
-CACHE_WORDS = 400_000
-NEW_WORDS = 120_000
+CACHE_WORDS = 500_000
+NEW_WORDS = 200_000
+SHORT = 8
 TEXT_CHARS = 2_000_000
 
 
@@ -322,9 +323,10 @@ class Encoder:
         known = self.known
         words = set().union(*(line for doc in docs for line in doc))
         new = list(words.difference(known))
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(words)
+        if len(known) + len(new) > CACHE_WORDS:  # short words are the frequent ones: they stay, unless they are too many
+            known = {w: i for w, i in known.items() if len(w) <= SHORT}
+            self.known = known = known if len(known) <= CACHE_WORDS // 2 else {}
+            new = list(words.difference(known))
         for at in range(0, len(new), NEW_WORDS):
             part = new[at : at + NEW_WORDS]
             known.update(zip(part, self.pieces.encode_words(part)))
