@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes; DataFrame functions only."""
+"""Line dedup by digests of windows of lines; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -15,10 +15,10 @@ def _lines(text):
 
 
 def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, h, k1, k2): every window of ``window`` lines, its winnowed fingerprint and its content digest.
+    """(doc_id, start, h, k1, k2): every window of ``window`` lines, its smallest line hash and its content digest.
 
     A line is compared lower-cased and without blanks at its ends. A document of fewer lines is one window. ``h`` is the
-    smallest line hash in the window, the fingerprint that winnowing selects; two equal windows select the same line.
+    smallest line hash in the window; equal windows have the same.
     """
     hashed = docs.where("text is not null").select(
         "doc_id", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(F.lower(F.trim(x)))).alias("h1"), F.transform(_lines(F.col("text")), lambda x: F.xxhash64(F.lit(1), F.lower(F.trim(x)))).alias("h2")
@@ -41,9 +41,8 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, start) of the windows whose content occurs at an earlier (doc_id, start).
 
-    Fingerprints are counted per document run of equal minima first; only windows whose fingerprint was selected at two
-    places or more go on to the position join, which pairs each with the first occurrence of the same content and so
-    extends the match over all lines left and right of the fingerprint. Groups are pre-aggregated; no group is collected.
+    Windows whose smallest line hash no other window has are dropped first; the others are grouped by their content digest
+    and joined with its first occurrence. Every window is looked at, none is selected. No group is collected.
     """
     w = materialize(windows(docs, window), "windows")
     again = w.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
