@@ -33,25 +33,31 @@ def fallback_policy(spark, sf):
     return d.select("query_id", "action", "decision_reason", "confidence", "required_source_type", F.array_join("query_flags", ",").alias("query_flags"), E.web_trigger(d, 2, 0.3).alias("web_trigger"))
 
 
-def evidence_rows(spark, sf):
-    e = reranked(spark, sf).withColumns({"parent_id": F.lit(""), "page_start": (F.col("doc_id") % 7).cast("int"), "page_end": (F.col("doc_id") % 7 + 1).cast("int"), "doc_id": F.col("section_title"), "text": F.substring("text", 1, 700)})
+def evidence_rows(spark, sf, text=None):
+    """Reranked hits as evidence with whole texts, or with ``text`` in their place."""
+    e = reranked(spark, sf).withColumns({"parent_id": F.lit(""), "page_start": (F.col("doc_id") % 7).cast("int"), "page_end": (F.col("doc_id") % 7 + 1).cast("int"), "doc_id": F.col("section_title"), "text": F.col("text") if text is None else text})
     return E.dedupe(e)
 
 
+def head():
+    """The SQL of packing and citations reads 700 characters of a text."""
+    return F.substring("text", 1, 700)
+
+
 def evidence_merge(spark, sf):
     m = E.merge_adjacent(evidence_rows(spark, sf))
     return m.withColumn("merged_chunk_ids", F.array_join("merged_chunk_ids", ","))
 
 
 def context_pack(spark, sf):
-    e = evidence_rows(spark, sf).withColumns({"paper_title": F.col("section_title"), "authors": F.array().cast("array<string>"), "year": F.lit(None).cast("int"), "url": F.lit("")})
+    e = evidence_rows(spark, sf, head()).withColumns({"paper_title": F.col("section_title"), "authors": F.array().cast("array<string>"), "year": F.lit(None).cast("int"), "url": F.lit("")})
     p = E.pack_context(e, 3000, 600)
     return p.select("query_id", "chunk_id", "evidence_id", "pos", F.length("block").alias("n"), F.length("text").alias("n_text"), "used")
 
 
 def answers(spark, sf):
     """Answers that cite marks, some of which no evidence has."""
-    c = evidence_rows(spark, sf).withColumns({"paper_title": F.col("section_title"), "authors": F.array().cast("array<string>"), "year": F.lit(None).cast("int"), "url": F.lit("")})
+    c = evidence_rows(spark, sf, head()).withColumns({"paper_title": F.col("section_title"), "authors": F.array().cast("array<string>"), "year": F.lit(None).cast("int"), "url": F.lit("")})
     p = E.pack_context(c, 3000, 600)
     a = bench(spark, sf).select("query_id", F.concat(F.substring("text", 1, 20), F.lit(" [L1] and [W2] [L1] ["), F.when(F.col("query_id") % 2 == 0, "L9").otherwise("W1"), F.lit("]")).alias("answer"))
     return a, p.select("query_id", F.col("evidence_id").alias("marker"), "chunk_id")
