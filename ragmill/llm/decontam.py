@@ -9,12 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 Q = 10
 RATE = 0.08
 BLOCK_CHARS = 1_000_000
 PIECE = 1_000_000
 TABLE_BITS = 23
+#: Most edits allowed for an item of any length; blocks searched in one scan; rows handled at once; cells aligned at once.
+MAX_EDITS = 400
+MAX_BLOCKS = 8
+SLICE = 1_000
+CELLS = 8_000_000
 OUT = np.uint32(0xFFFFFFFF)
 
 
@@ -58,31 +64,36 @@ def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 def budget(length: int, q: int = Q, rate: float = RATE) -> int:
-    """Edits allowed for an item: ``rate`` of its length, at most as many as the q-gram lemma can filter; -1 if it is shorter than q."""
-    return min(int(rate * length), length // q - 1)
+    """Edits allowed for an item: ``rate`` of its length, at most as many as the q-gram lemma can filter and MAX_EDITS; -1 if it is shorter than q."""
+    return min(int(rate * length), length // q - 1, MAX_EDITS)
 
 
 class Index:
-    """The q-grams of a block of benchmark items, with their items and positions."""
+    """The q-grams of benchmark items, sorted, with their items and positions: 16 bytes a q-gram; items without one by their text."""
 
     def __init__(self, items: list[tuple[object, str | None]], q: int = Q, rate: float = RATE):
         self.q = q
-        self.ids, self.chars = [], []
-        for item_id, text in items:
-            c, _ = normalise(text)
-            if len(c) >= q:
-                self.ids.append(item_id), self.chars.append(c)
-        self.edits = np.array([budget(len(c), q, rate) for c in self.chars], np.int64)
+        folded = [(item_id, normalise(text)[0]) for item_id, text in items]
+        long = [x for x in folded if len(x[1]) >= q]
+        short = [x for x in folded if 0 < len(x[1]) < q]
+        self.ids, self.chars = [i for i, _ in [*long, *short]], [c for _, c in long]
+        self.short: dict[bytes, list[int]] = {}
+        for n, (_, c) in enumerate(short, len(long)):
+            self.short.setdefault(c.tobytes(), []).append(n)
         self.sizes = np.array([len(c) for c in self.chars], np.int64)
-        grams = [gram_hashes(c, q) for c in self.chars]
-        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        self.edits = np.array([budget(n, q, rate) for n in self.sizes.tolist()], np.int64)
+        every = np.concatenate([np.zeros(0, np.uint64), *(gram_hashes(c, q) for c in self.chars)])
+        item = np.repeat(np.arange(len(self.chars), dtype=np.int32), self.sizes - q + 1)
+        place = np.concatenate([np.zeros(0, np.int32), *(np.arange(n - q + 1, dtype=np.int32) for n in self.sizes.tolist())])
         order = np.argsort(every, kind="stable")
-        self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order] if grams else order
-        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else order
+        self.grams, self.item, self.place = every[order], item[order], place[order]
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[(self.grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
+    def width(self, item: int) -> int:
+        """Diagonals that an alignment of the item looks at."""
+        return int(4 * self.edits[item] + 2)
+
     def bands(self, c: np.ndarray) -> np.ndarray:
         """(item, first diagonal) of each band that holds as many q-grams as an occurrence within the budget must.
 
@@ -93,12 +104,10 @@ class Index:
         p = np.flatnonzero(self.seen[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         if not len(p) or not len(self.grams):
             return np.zeros((0, 2), np.int64)
-        i = np.minimum(np.searchsorted(self.grams, h[p]), len(self.grams) - 1)
-        ok = self.grams[i] == h[p]
-        p, i = p[ok], i[ok]
-        n = self.count[i]
-        entry = np.repeat(self.first[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[entry], np.repeat(p, n) - self.place[entry]
+        first = np.searchsorted(self.grams, h[p])
+        n = np.searchsorted(self.grams, h[p], "right") - first
+        entry = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item, diagonal = self.item[entry].astype(np.int64), np.repeat(p, n) - self.place[entry]
         step = self.edits[item] + 1
         b = np.floor_divide(diagonal, step)
         key = np.concatenate([b, b - 1]) + (np.concatenate([item, item]) << 40) + (1 << 39)
@@ -142,7 +151,7 @@ class Index:
 
     def search(self, c: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
         """Cases for ``align`` with the offset of their text; long texts go in overlapping pieces."""
-        if not len(self.ids):
+        if not len(self.chars):
             return
         over = int((self.sizes + 4 * self.edits).max()) + 4
         for at in range(0, max(len(c), 1), PIECE):
@@ -151,14 +160,43 @@ class Index:
                 yield item, low, part, max(0, at - over)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark in blocks of about BLOCK_CHARS characters; a block's size is known before it is read."""
-    rows = benchmark.select("item_id", "text")
+def _query_sets(benchmark: DataFrame) -> list:
+    """The benchmark's distinct texts as broadcasts of about BLOCK_CHARS characters, each read by the driver on its own.
+
+    The corpus is scanned once for every MAX_BLOCKS of them (8 M characters); a block's size is known before it is read.
+    """
+    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
-    for b in range(n):
-        yield [tuple(r) for r in rows.where((block == b) & F.col("text").isNotNull()).collect()]
+    return [benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.where(block == b).collect()]) for b in range(n)]
+
+
+def _search(column: pa.Array, index: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(row, item) -> (edits, start, stop) of all items held by the texts of a column; aligned in groups of bounded size."""
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    cases, widest = [], 0
+
+    def flush() -> None:
+        for (row, item, _, _, at, offset), (edits, a, b) in zip(cases, index.align([x[1:4] for x in cases])):
+            if edits <= index.edits[item]:
+                a, b = max(0, a + offset), min(len(at), b + offset)
+                found = (edits, int(at[a]), int(at[b - 1]) + 1)
+                best[row, item] = min(best.get((row, item), found), found)
+
+    for row, text in enumerate(column):
+        c, at = normalise(text.as_py())
+        if 0 < len(c) < index.q:
+            best |= {(row, item): (0, int(at[0]), int(at[-1]) + 1) for item in index.short.get(c.tobytes(), ())}
+        for item, low, part, offset in index.search(c):
+            size = int(index.sizes[item]) + index.width(item)
+            if (len(cases) + 1) * max(widest, size) > CELLS or len(cases) >= 256:
+                flush()
+                cases, widest = [], 0
+            cases.append((row, item, low, part, at, offset))
+            widest = max(widest, size)
+    flush()
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
@@ -166,52 +204,61 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 
     Texts and items are compared as lower-case letters and digits with one space for all between. A document holds an item if
     some part of its text is within min(rate x length, length / q - 1) edits of the whole item; for each pair the part with
-    the fewest edits is returned, the first such, in characters of the original text. Items of fewer than q characters match
-    nothing. The benchmark is a query set held against all rows, in blocks of bounded size, each broadcast in turn.
+    the fewest edits is returned, the first such, in characters of the original text. Items of fewer than q folded characters
+    have no q-gram; a document holds one only if its whole folded text equals it. The benchmark is a query set held against
+    all rows: blocks of bounded size are broadcast, and each MAX_BLOCKS of them are one index for one scan of the documents.
 
-    Null and empty texts or items match nothing; repeated rows and items each give their rows; extra columns are ignored.
+    Null and empty texts or items match nothing; repeated rows and items each give their rows; an empty table on either side
+    gives none; extra columns are ignored; item_id may have any type that Arrow carries.
     """
-    spark, out = docs.sparkSession, None
+    spark = docs.sparkSession
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, edits int, start int, stop int"
-    item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
-    for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, q, rate)
-
-            def flush(cases, best):
-                for (row, item, at, offset), (edits, a, b) in zip([(x[0], x[1], x[4], x[5]) for x in cases], index.align([x[1:4] for x in cases])):
-                    if edits <= index.edits[item]:
-                        a, b = max(0, a + offset), min(len(at), b + offset)
-                        found = (edits, int(at[a]), int(at[b - 1]) + 1)
-                        best[row, item] = min(best.get((row, item), found), found)
-
-            for b in batches:
-                best, cases = {}, []
-                for row, text in enumerate(b.column(1)):
-                    c, at = normalise(text.as_py())
-                    for item, low, part, offset in index.search(c):
-                        cases.append((row, item, low, part, at, offset))
-                        if len(cases) >= 256:
-                            flush(cases, best)
-                            cases = []
-                flush(cases, best)
-                rows = [r for r, _ in best]
-                cols = list(zip(*best.values())) or [[]] * 3
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows, pa.int64())), pa.array([index.ids[i] for _, i in best], item_arrow), *(pa.array(c, pa.int32()) for c in cols)], names=["doc_id", "item_id", "edits", "start", "stop"]
-                )
-
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+    item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
+    blocks = _query_sets(benchmark)
+
+    def run_with(shared: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index([x for s in shared for x in s.value], q, rate)
+            for big in batches:
+                for at in range(0, big.num_rows, SLICE):
+                    b = big.slice(at, SLICE)
+                    best = _search(b.column(1), index)
+                    cols = list(zip(*best.values())) or [[]] * 3
+                    ids = [b.column(0).take(pa.array([r for r, _ in best], pa.int64())), pa.array([index.ids[i] for _, i in best], item_arrow)]
+                    yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.int32()) for c in cols)], names=["doc_id", "item_id", "edits", "start", "stop"])
+
+        return run
+
+    out = None
+    for s in range(0, len(blocks), MAX_BLOCKS):
+        found = docs.select("doc_id", "text").mapInArrow(run_with(blocks[s : s + MAX_BLOCKS]), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no benchmark item; rows with null doc_id stay. All columns stay."""
-    return docs.join(contaminated(docs, benchmark, **params).select("doc_id").distinct(), "doc_id", "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item (see ``contaminated``). All columns stay, of whatever name.
+
+    Each row is judged where it lies, without a shuffle: rows with null or shared doc_ids are judged by their own texts.
+    """
+    blocks, column = _query_sets(benchmark), docs.columns.index("text")
+
+    def run_with(shared: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index([x for s in shared for x in s.value], q, rate)
+            for big in batches:
+                for at in range(0, big.num_rows, SLICE):
+                    b = big.slice(at, SLICE)
+                    hit = np.ones(b.num_rows, bool)
+                    hit[[r for r, _ in _search(b.column(column), index)]] = False
+                    yield b.filter(pa.array(hit))
+
+        return run
+
+    for s in range(0, len(blocks), MAX_BLOCKS):
+        docs = docs.mapInArrow(run_with(blocks[s : s + MAX_BLOCKS]), docs.schema)
+    return docs
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,28 +14,46 @@ from pyspark.sql import functions as F
 TOP = 300
 PAD = 1
 MAX_LANGUAGES = 2_000
+STARTS = 250_000
+HELD = 400_000
 
 
 @cache
 def _letters() -> np.ndarray:
     """Code point of each letter, PAD for all else."""
-    return np.array([i if unicodedata.category(chr(i))[0] == "L" else PAD for i in range(0x110000)], np.uint64)
+    return np.array([i if unicodedata.category(chr(i))[0] == "L" else PAD for i in range(0x110000)], np.uint32)
+
+
+def _fold(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums counts of equal grams over several (grams, counts)."""
+    if len(parts) == 1:
+        return parts[0]
+    grams, inverse = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of 1 to 3 characters with their counts, for one lower-cased text.
 
     Words are runs of letters; 2- and 3-grams may begin or end with a pad that stands for a word's border, none crosses it.
-    A gram is one number of 21 bits a character, so that numeric order is by length, then by code points.
+    A gram is one number of 21 bits a character, so that numeric order is by length, then by code points. Grams are made for
+    STARTS places at a time, so a long text needs little more memory than itself.
     """
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not text:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none
     c = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)]
     c = c[np.r_[True, (c[1:] != PAD) | (c[:-1] != PAD)]]
-    shift = np.uint64(21)
-    two = (c[:-1] << shift) | c[1:]
-    three = ((two[:-1] << shift) | c[2:])[c[1:-1] != PAD]
-    return np.unique(np.concatenate([c[c != PAD], two[: len(two) if len(c) > 1 else 0], three]), return_counts=True) if len(c) > 1 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if len(c) < 2:
+        return none
+    shift, parts = np.uint64(21), []
+    for at in range(0, len(c), STARTS):
+        x = c[at : at + STARTS + 2].astype(np.uint64)
+        n = min(STARTS, len(c) - at)  # grams that begin in this slice
+        two = (x[:-1] << shift) | x[1:]
+        three = ((two[:-1] << shift) | x[2:])[:n][x[1:-1][:n] != PAD]
+        parts.append(np.unique(np.concatenate([x[:n][x[:n] != PAD], two[:n], three]), return_counts=True))
+    return _fold(parts)
 
 
 def top_ranked(grams: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
@@ -46,15 +64,26 @@ def top_ranked(grams: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndar
 def profiles(docs: DataFrame, top: int = TOP) -> DataFrame:
     """(lang, gram long, place int from 0): each language's ``top`` most frequent n-grams over all rows with a lang."""
 
+    def rows(by: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in by.items():
+            grams, n = _fold(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, list] = {}  # sums so far and texts not yet added to them, HELD grams in all
+        held = 0
         for b in batches:
-            by: dict[str, list] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                by.setdefault(lang, []).append(ngrams(text.as_py()))
-            for lang, found in by.items():
-                grams, inverse = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-                n = np.bincount(inverse, np.concatenate([k for _, k in found]), len(grams)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            for lang, text in zip(b.column(0), b.column(1)):
+                found = ngrams(text.as_py())
+                by.setdefault(lang.as_py(), []).append(found)
+                held += len(found[0])
+                if held > HELD:
+                    by = {k: [_fold(parts)] for k, parts in by.items()}
+                    held = sum(len(p[0][0]) for p in by.values())
+                    if held > HELD // 2:  # else each text would fold again
+                        yield from rows(by)
+                        by, held = {}, 0
+        yield from rows(by)
 
     counts = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -85,18 +114,23 @@ class RankOrder:
         return self.langs[best], 1.0 - float(apart[best]) / float(len(mine) * self.top)
 
 
+def _shared(learned: DataFrame, top: int):
+    """The profile table as a broadcast: ``top`` rows a language; more than MAX_LANGUAGES languages are refused, so it stays small."""
+    rows = [tuple(r) for r in learned.select("lang", "gram", "place").limit(MAX_LANGUAGES * top + 1).collect()]
+    if len(rows) > MAX_LANGUAGES * top:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    return learned.sparkSession.sparkContext.broadcast(rows)
+
+
 def predict(docs: DataFrame, learned: DataFrame, top: int = TOP) -> DataFrame:
     """doc_id, lang_pred, score for each row of ``docs``.
 
     The distance of a text to a language is the sum over its ``top`` most frequent n-grams of |own place - profile's place|,
     or ``top`` where the profile lacks the gram; the nearest language wins, ties go to the first by name; score is 1 minus
     distance over the largest possible. Null texts and texts without a letter give ``und`` and 0, as does an empty profile
-    table. The profile table is ``top`` rows a language; at most MAX_LANGUAGES languages are accepted, so it stays small.
+    table.
     """
-    rows = [tuple(r) for r in learned.select("lang", "gram", "place").limit(MAX_LANGUAGES * top + 1).collect()]
-    if len(rows) > MAX_LANGUAGES * top:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    shared = _shared(learned, top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = RankOrder(shared.value, top)
@@ -108,6 +142,22 @@ def predict(docs: DataFrame, learned: DataFrame, top: int = TOP) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, learned: DataFrame, min_score: float, top: int = TOP) -> DataFrame:
+    """The rows of ``docs`` whose text is predicted (see ``predict``) with ``min_score`` or more; columns and repeated rows stay.
+
+    Each row is judged where it lies, without a shuffle, so null and shared doc_ids and extra columns of any name do no harm.
+    """
+    shared, at = _shared(learned, top), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = RankOrder(shared.value, top)
+        for b in batches:
+            found = (model.predict(t.as_py()) for t in b.column(at))
+            yield b.filter(pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> F.Column:
     """True for documents that training never sees."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0

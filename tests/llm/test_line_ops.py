@@ -23,25 +23,27 @@ def frame(spark, data):
     return spark.createDataFrame([(i, t, "", "", "") for i, t in data], SCHEMA)
 
 
-def brute_runs(data, w=3):
+def brute_runs(data, w=3, words=50):
     seen, gone = {}, set()
-    for i, t in sorted((r for r in data if r[1] is not None)):
+    rows = sorted(((i, k, t) for k, (i, t) in enumerate(data) if t is not None), key=lambda r: (r[0], r[1]))
+    for i, k, t in rows:
         ls = [x.strip(" ").lower() for x in t.split("\n")]
-        for p in range(max(len(ls) - w, 0) + 1):
-            key = tuple(ls[p : p + w])
-            if key in seen:
-                gone |= {(i, q) for q in range(p, p + len(key))}
-            else:
-                seen[key] = 1
-    return {i: (t if t is None else "\n".join(x for q, x in enumerate(t.split("\n")) if (i, q) not in gone)) for i, t in data}
+        for p in range(len(ls)):
+            for size in range(1, min(w, len(ls) - p) + 1):
+                run = tuple(ls[p : p + size])
+                enough = sum(x.count(" ") + 1 for x in run) >= words
+                if size == w or enough or size == len(ls):
+                    key = (run, size == w or enough)
+                    if seen.setdefault(key, (i, t, p)) != (i, t, p):
+                        gone |= {(k, q) for q in range(p, p + size)}
+    return [(i, t if t is None else "\n".join(x for q, x in enumerate(t.split("\n")) if (k, q) not in gone)) for k, (i, t) in enumerate(data)]
 
 
 def test_runs_equal_brute_force(spark):
     for seed in (1, 2):
         data = rows(seed)
         got = {r.doc_id: (r.text, r.n_lines, r.n_deleted) for r in drop_repeated_runs(frame(spark, data)).collect()}
-        want = brute_runs(data)
-        assert {i: g[0] for i, g in got.items()} == want
+        assert {i: g[0] for i, g in got.items()} == dict(brute_runs(data))
         for i, t in data:
             n = 0 if t is None else len(t.split("\n"))
             assert got[i][1] == n and got[i][2] <= n
@@ -54,30 +56,55 @@ def test_long_document_and_edges(spark):
     assert drop_repeated_runs(frame(spark, [])).count() == 0
 
 
-def brute_units(data, m=8):
+def test_rows_of_one_id(spark):
+    data = [(1, "a\nb\nc"), (3, "a\nb\nc"), (3, "a\nb\nc"), (3, "x\ny\nz\nw")]
+    got = sorted((r.doc_id, r.text, r.n_deleted) for r in drop_repeated_runs(frame(spark, data)).collect())
+    assert got == [(1, "a\nb\nc", 0), (3, "", 3), (3, "", 3), (3, "x\ny\nz\nw", 0)]
+    clash = spark.createDataFrame([(1, "a\nb\nc", 1, "x", 2), (2, "a\nb\nc", 3, "y", 4)], "doc_id long, text string, _starts int, pos string, d int")
+    assert [(r._starts, r.pos, r.d, r.n_deleted) for r in drop_repeated_runs(clash).orderBy("doc_id").collect()] == [(1, "x", 2, 0), (3, "y", 4, 3)]
+
+
+def test_long_lines_are_runs(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    half = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    data = [(1, f"one\n{long}\ntwo\n{half[0]}\n{half[1]}\nthree"), (2, long), (3, f"four\n{half[0]}\n{half[1]}\nfive"), (4, half[0]), (5, half[0]), (6, f"{half[0]}\nx")]
+    got = {r.doc_id: r.text for r in drop_repeated_runs(frame(spark, data)).collect()}
+    assert got == dict(brute_runs(data))
+    assert got[2] == "" and got[3] == "four\nfive" and got[4] == half[0] and got[5] == "" and got[6] == f"{half[0]}\nx"
+
+
+def test_long_document_in_linear_time(spark):
+    import time
+
+    text = "\n".join(f"line number {i}" for i in range(100_000))
+    data = [(1, text), (2, f"{text[:40]}\nother\n{text[50:]}")]
+    began = time.time()
+    got = {r.doc_id: r.n_deleted for r in drop_repeated_runs(frame(spark, data)).collect()}
+    assert got[1] == 0 and 99_990 < got[2] < 100_000 and time.time() - began < 60
+
+
+def brute_units(data, m=20):
     import re
 
-    out, seen, cut = {}, set(), {}
-    for i, t in sorted((r for r in data if r[1]), key=lambda r: r[0]):
-        here = []
-        for lev in (0, 1):
-            at = 0
-            for line in re.findall(r"[^\n]*\n?", t):
-                parts = [line] if lev == 0 else [s for s in re.findall(r"[^.!?\n]*[.!?]*[ \t]*\n?", line)]
-                if lev == 1 and len([p for p in parts if p]) == 1:
-                    at += len(line)
-                    continue
-                for p in parts:
-                    norm = " ".join(p.lower().split())
-                    if len(norm.split()) >= m:
-                        here.append((at, norm, len(p)))
-                    at += len(p)
-        for at, norm, size in sorted(here):
-            if norm in seen:
-                cut.setdefault(i, set()).update(range(at, at + size))
-            seen.add(norm)
-    for i, t in data:
-        out[i] = t if t is None else "".join(c for k, c in enumerate(t) if k not in cut.get(i, ()))
+    out, seen, cut = [], {}, set()
+    rows = sorted(((i, k, t) for k, (i, t) in enumerate(data) if t), key=lambda r: (r[0], r[1]))
+    for i, k, t in rows:
+        at, sents = 0, []
+        for s in re.findall(r"[^.!?\n]*[.!?]*[ \t]*\n?", t):
+            if s.strip(" \t\n"):
+                sents.append((at, at + len(s), re.sub(r"[ \t\n]+", " ", s).strip(" ").lower()))
+            at += len(s)
+        for a in range(len(sents)):
+            for b in range(a + 1, len(sents) + 1):
+                words = sum(x[2].count(" ") + 1 for x in sents[a:b])
+                if words >= m:
+                    here = (i, t, sents[a][0])
+                    if seen.setdefault(tuple(x[2] for x in sents[a:b]), here) != here:
+                        cut |= {(k, c) for c in range(sents[a][0], sents[b - 1][1])}
+                if words >= 3 * m:
+                    break
+    for k, (i, t) in enumerate(data):
+        out.append((i, t if t is None else "".join(c for j, c in enumerate(t) if (k, j) not in cut)))
     return out
 
 
@@ -85,7 +112,7 @@ def test_units_equal_brute_force(spark):
     for seed in (1, 2):
         data = rows(seed)
         got = dedup(frame(spark, data)).collect()
-        assert {r.doc_id: r.text for r in got} == brute_units(data)
+        assert {r.doc_id: r.text for r in got} == dict(brute_units(data))
         texts = dict(data)
         for r in got:
             spans = [tuple(map(int, s.split("-"))) for s in r.removed.split(",") if s]
@@ -100,3 +127,12 @@ def test_unit_edges(spark):
     got = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in dedup(frame(spark, data)).collect())
     assert got[0] == (0, passage, 0) and got[1][2] == 0 and got[2] == (2, "three\nfour", 1) and got[3] == got[4] == (3, "clean text", 0)
     assert dedup(frame(spark, [])).count() == 0
+
+
+def test_units_of_one_id_and_of_short_lines(spark):
+    p, q = "A line of words. " * 8, "no other row has this text. " * 3
+    short = "\n".join(f"short line {i} of six words" for i in range(10))
+    data = [(1, p), (3, p), (3, q), (4, f"Intro one.\n{short}\nend"), (5, f"Another.\n{short}\nfinish")]
+    got = sorted((r.doc_id, r.text) for r in dedup(frame(spark, data)).collect())
+    assert got == sorted(brute_units(data))
+    assert ("A line" not in got[1][1]) and (3, q) in got and got[4][1] == "Another.\nfinish"
