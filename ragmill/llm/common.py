@@ -28,7 +28,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def star_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components of ``edges(a long, b long)`` as rows (node, root), root the smallest node reachable.
+    """Connected components of ``edges(a, b)``, of any one type that has an order, as rows (node, root), root the smallest node reachable.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, until the edge set stops changing.
     Nothing but one row of counts per round reaches the driver. Nodes without an edge to another node give no row.

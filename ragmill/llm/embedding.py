@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragmill.llm.common import materialize, star_components
 
@@ -47,25 +48,25 @@ def estimate(codes: np.ndarray, factors: np.ndarray, unit: np.ndarray) -> tuple[
     return (signs @ y.T) / factors[:, None].astype(np.float32), bound
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _codes(classes: DataFrame) -> DataFrame:
-    """(node, code): the binary code of each class's vector; the vectors of one batch may differ in length."""
+    """``classes`` with each vector's code and correction factor; the vectors of one batch may differ in length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = b.column(1).to_pylist()
-            out = [b""] * len(vectors)
+            vectors = b.column("v").to_pylist()
+            codes, factors = [b""] * len(vectors), np.zeros(len(vectors))
             for dim in set(map(len, vectors)):
                 at = [i for i, v in enumerate(vectors) if len(v) == dim]
-                for i, code in zip(at, encode(_unit([vectors[i] for i in at]))[0]):
-                    out[i] = code.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "code"])
+                code, factors[at] = encode(_unit(np.array([vectors[i] for i in at], np.float64)))
+                for i, c in zip(at, code):
+                    codes[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary()), pa.array(factors)], names=[*b.schema.names, "code", "factor"])
 
-    return classes.select("node", "v").mapInArrow(run, "node long, code binary")
+    return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType())]))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Table]:
@@ -85,12 +86,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _candidates(g: np.ndarray, block: np.ndarray, codes: np.ndarray, factors: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of a bucket whose estimate plus bound reaches the threshold; small buckets together, large ones by matrix."""
+def _candidates(g: np.ndarray, fresh, signs: np.ndarray, factors: np.ndarray, bound: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a bucket that ``fresh`` lets pass and whose estimate plus bound reaches the threshold; small buckets together,
+    large ones by matrix."""
     start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     size = np.diff(np.r_[start, len(g)])
-    bound = EPSILON * np.sqrt(np.maximum(0, 1 - factors**2)) / factors / np.sqrt(codes.shape[1] * 8 - 1)
-    signs = (np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(codes.shape[1] * 8))
     after = np.repeat(start + size, size) - np.arange(len(g)) - 1
     after[np.repeat(size > 64, size)] = 0
     rows = np.flatnonzero(after)
@@ -100,41 +100,55 @@ def _candidates(g: np.ndarray, block: np.ndarray, codes: np.ndarray, factors: np
         n = after[part]
         p = np.repeat(part, n)
         q = p + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        est = np.einsum("ij,ij->i", signs[p], y[q]) / factors[p]
-        ok = est + bound[p] >= threshold
+        ok = fresh(p, q)
+        p, q = p[ok], q[ok]
+        ok = np.einsum("ij,ij->i", signs[p], y[q]) / factors[p] + bound[p] >= threshold
         yield p[ok], q[ok]
     for at, n in zip(start[size > 64].tolist(), size[size > 64].tolist()):
         x = slice(at, at + n)
         p, q = np.nonzero(np.triu(signs[x] @ y[x].T / factors[x, None].astype(np.float32) + bound[x, None] >= threshold, 1))
-        yield p + at, q + at
+        ok = fresh(p + at, q + at)
+        yield p[ok] + at, q[ok] + at
 
 
 def _compare(threshold: float, bands: int):
-    """Compares the members of buckets; gives link counts by node, and edges that span each linked group."""
+    """Compares the members of buckets; gives link counts by node, and edges that span each linked group.
+
+    Stored codes and factors estimate each pair once, in the first lane it shares; exact products are made only where the
+    estimate and its bound leave the pair open.
+    """
 
     def linked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        node, weight, g, band, block = (t[c].to_numpy() for c in ("node", "weight", "g", "band", "block"))
-        same_block = (t["i"].to_numpy() == t["j"].to_numpy())
-        flat = t["v"].chunk(0) if t["v"].num_chunks else None
-        unit = _unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1))
-        codes, factors = encode(unit)
+        weight, g, band, block, factors = (t[c].to_numpy() for c in ("weight", "g", "band", "block", "factor"))
+        same_block = t["i"].to_numpy() == t["j"].to_numpy()
+        key = np.stack([t["id"].to_numpy(), t["h"].to_numpy()], axis=1)
+        node = np.unique(key, axis=0, return_inverse=True)[1].ravel()
+        of = np.zeros(node.max() + 1, np.int64)
+        of[node] = np.arange(len(node))
+        codes = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(len(node), -1)
+        unit = _unit(t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(node), -1))
         y = (unit @ rotation(unit.shape[1]).T).astype(np.float32)
+        bits = codes.shape[1] * 8
+        signs = (np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(bits))
+        bound = EPSILON * np.sqrt(np.maximum(0, 1 - factors**2)) / factors / np.sqrt(bits - 1)
         lanes = np.ascontiguousarray(codes).view(np.uint16)[:, :bands]
-        xs, ys, wx, wy = [], [], [], []
-        for p, q in _candidates(g, block, codes, factors, y, threshold):
-            keep = (node[p] != node[q]) & (same_block[p] | (block[p] != block[q]))
-            p, q = p[keep], q[keep]
+
+        def fresh(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            """Pairs of unlike nodes, of unlike blocks where two blocks meet, that no earlier lane has compared."""
+            ok = (node[p] != node[q]) & (same_block[p] | (block[p] != block[q]))
+            for k in range(int(band[p].max(initial=0))):
+                ok &= (lanes[p, k] != lanes[q, k]) | (band[p] <= k)
+            return ok
+
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for p, q in _candidates(g, fresh, signs, factors, bound, y, threshold):
             for s in range(0, len(p), 65_536):
                 a, b = p[s : s + 65_536], q[s : s + 65_536]
                 ok = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
-                a, b = a[ok], b[ok]
-                earlier = np.arange(bands) < band[a][:, None]
-                fresh = ~((lanes[a] == lanes[b]) & earlier).any(axis=1)  # else an earlier band has compared them
-                xs.append(node[a[fresh]]), ys.append(node[b[fresh]]), wx.append(weight[a[fresh]]), wy.append(weight[b[fresh]])
-        if not xs or not sum(map(len, xs)):
-            return (np.zeros(0, np.int64),) * 3
-        nodes, at = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([*wy, *wx]), len(nodes)).astype(np.int64)
+                xs.append(a[ok]), ys.append(b[ok])
+        x, z = np.concatenate(xs), np.concatenate(ys)
+        nodes, at = np.unique(node[np.concatenate([x, z])], return_inverse=True)
+        n = np.bincount(at, weight[np.concatenate([z, x])], len(nodes)).astype(np.int64)
         s, e = at[: len(at) // 2], at[len(at) // 2 :]
         root = np.arange(len(nodes))
         while True:
@@ -142,15 +156,15 @@ def _compare(threshold: float, bands: int):
             np.minimum.at(new, s, least), np.minimum.at(new, e, least)
             new = new[new]
             if (new == root).all():
-                return nodes, n, nodes[root]
+                return key[of[nodes]], n, key[of[nodes[root]]]
             root = new
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches):
             dims = t["dim"].to_numpy()
             for dim in np.unique(dims):
-                out = linked(t.filter(pa.array(dims == dim)).combine_chunks())
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["node", "n", "other"])
+                mine, n, other = linked(t.filter(pa.array(dims == dim)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (mine[:, 0], mine[:, 1], n, other[:, 0], other[:, 1]))], names=["id", "h", "n", "other_id", "other_h"])
 
     return run
 
@@ -160,37 +174,38 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bands: int = BA
 
     Rows link if their labels and lengths are equal and their cosine in double precision is at least ``threshold``. Equal
     vectors of a label collapse to one class with a weight, so copies make no pairs. The index: the rotated sign code of each
-    class is cut into 16-bit lanes, and classes that share one of the first ``bands`` lanes meet in a bucket. In a bucket,
-    estimate plus bound below the threshold rejects a pair, the others are computed exactly, so no link is below it. Buckets
-    of more than ``block`` members are compared block by block, each pair of blocks in a task of its own; a pair that meets
-    in several buckets counts in the first. Blocks give sums and spanning edges, not pairs.
+    class is stored once with its correction factor and cut into 16-bit lanes; classes that share one of the first ``bands``
+    lanes meet in a bucket. There the stored codes and factors estimate each pair: estimate plus bound below the threshold
+    rejects it, the others are computed exactly, so no link is below it. Vectors travel in the type they came in. Buckets of
+    more than ``block`` members are compared block by block, each pair of blocks in a task of its own; a pair that meets in
+    several buckets counts in the first. Blocks give sums and spanning edges, not pairs: linking two blocks that are wholly
+    near-duplicates costs block x block products, as the number of links is asked for.
 
     A pair at the threshold differs in 6.4 % of its bits and misses all of 14 lanes with a probability under 0.3 %; closer ones far less.
     Vectors that are null, zero or hold null or non-finite components link with nothing, as do those with null labels; rows
-    of one vec_id with different vectors count as one node; rows with null vec_id give n_links 0 and a null component.
+    of one vec_id with different vectors are vectors of their own, equal rows each count; rows with null vec_id give
+    n_links 0 and a null component; an empty table gives none; extra columns are ignored.
     """
     finite = "embedding is not null and label is not null and vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
-    rows = vectors.select("vec_id", "embedding", "label").withColumn("ok", F.coalesce(F.expr(f"{finite} and exists(embedding, x -> x <> 0)"), F.lit(False)))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label").withColumn("ok", F.coalesce(F.expr(f"{finite} and exists(embedding, x -> x <> 0)"), F.lit(False)))
     known = rows.select("vec_id", "ok", "label", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"), "embedding")
-    good = known.where("ok")
-    key = ["label", "dim", "h1", "h2"]
-    counted = materialize(good.groupBy(*key).agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "classes")
-    wide = good.select(*key, "vec_id", F.col("embedding").cast("array<double>").alias("v")).join(counted, key).where("vec_id = node").dropDuplicates(["node"]).select("node", "label", "dim", "weight", "v")
-    wide = materialize(wide, "vectors")
-    codes = materialize(_codes(wide), "codes")
+    good, key = known.where("ok"), ["label", "dim", "h1", "h2"]
+    counted = materialize(good.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).withColumn("h", F.xxhash64(*key)), "classes")
+    chosen = good.select(*key, F.col("vec_id").alias("id"), F.col("embedding").alias("v")).join(counted, [*key, "id"]).dropDuplicates([*key, "id"])
+    coded = materialize(_codes(chosen.select("id", "h", "label", "dim", "weight", "v")), "codes")
     lane = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.substring("code", b * (LANE // 8) + 1, F.lit(LANE // 8)))).alias("band", "bucket")
-    places = wide.select("node", "label", "dim").join(codes, "node").select("node", "label", "dim", lane)
-    bucket = ["label", "dim", "bucket", "band"]
+    places, bucket = coded.select("id", "h", "label", "dim", lane), ["label", "dim", "bucket", "band"]
     sizes = places.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.expr(f"cast((n + {block - 1}) div {block} as int)")).drop("n")
-    member = materialize(places.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "buckets")
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", *bucket, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    member = materialize(places.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("id", "h"), F.col("blocks")).cast("int")), "buckets")
+    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "h", *bucket, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     group = [*bucket, "i", "j"]
-    pairs = dealt.join(wide.select("node", "weight", "v"), "node").repartition(*group).sortWithinPartitions(*group, "node").withColumn("g", F.xxhash64(*group))
-    found = pairs.select("node", "weight", "v", "g", "dim", "band", "block", "i", "j").mapInArrow(_compare(threshold, bands), "node long, n long, other long")
-    found = materialize(found, "links")
-    degree = found.groupBy("node").agg(F.sum("n").alias("n"))
-    comp = star_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    nodes = counted.join(degree, "node", "left").join(comp, "node", "left").select(*key, F.coalesce("n", F.lit(0)).alias("n"), "weight", F.coalesce("root", "node").alias("root"))
+    pairs = dealt.join(coded.select("id", "h", "weight", "v", "code", "factor"), ["id", "h"]).withColumn("g", F.xxhash64(*group)).select("id", "h", "weight", "v", "code", "factor", "g", "dim", "band", "block", "i", "j")
+    pairs = pairs.repartition("g").sortWithinPartitions("g", "id", "h")
+    found = materialize(pairs.mapInArrow(_compare(threshold, bands), "id long, h long, n long, other_id long, other_h long"), "links")
+    degree = found.groupBy("id", "h").agg(F.sum("n").alias("n"))
+    comp = star_components(found.select(F.struct("id", "h").alias("a"), F.struct(F.col("other_id").alias("id"), F.col("other_h").alias("h")).alias("b")))
+    roots = comp.select("node.id", "node.h", F.col("root.id").alias("root"))
+    nodes = counted.join(degree, ["id", "h"], "left").join(roots, ["id", "h"], "left").select(*key, F.coalesce("n", F.lit(0)).alias("n"), "weight", F.coalesce("root", "id").alias("root"))
     ids = known.select("vec_id", "ok", *key)
     linked = ids.where("ok").join(nodes, key).select("vec_id", (F.col("n") + F.col("weight") - 1).alias("n_links"), F.col("root").alias("component_id"))
     alone = ids.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

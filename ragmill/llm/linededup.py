@@ -84,7 +84,8 @@ def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, words: int = WORDS
     before = F.concat(F.array(F.lit(-1)), F.col(pos))
     pieces = F.zip_with(pos, before, lambda p, b: F.when(p.isNotNull(), F.concat(F.repeat(F.lit("k"), p - b - 1), F.lit("d"))))
     gone = materialize(found.select("doc_id", d, F.array_join(pieces, "").alias(mask)), "gone")
-    out = docs.drop("n_lines", "n_deleted").withColumn(d, F.xxhash64("text")).join(gone, ["doc_id", d], "left")
+    # a written table of masks may be far larger in memory than on disk: never broadcast by its file size
+    out = docs.drop("n_lines", "n_deleted").withColumn(d, F.xxhash64("text")).join(gone.hint("merge"), ["doc_id", d], "left")
     whole = F.rpad(F.col(mask), F.col("n_lines"), F.lit("k"))
     kept = F.array_join(F.zip_with(_lines("text"), F.split(whole, ""), lambda x, m: F.when(m == "k", x)), "\n")
     deleted = F.coalesce(F.length(mask) - F.length(F.replace(mask, F.lit("d"))), F.lit(0))

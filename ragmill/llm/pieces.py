@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,10 @@ SPACE = "▁"
 NEVER = np.int64(1) << 40
 END = np.uint32(0x110000)  # between words: no character
 CACHE_WORDS = 500_000
-NEW_WORDS = 200_000
+NEW_WORDS = 100_000
 SHORT = 8
-TEXT_CHARS = 2_000_000
+TEXT_CHARS = 1_000_000
+SLOTS = 1 << 21
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -59,8 +60,14 @@ class Pieces:
         self.text_bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         chars = sorted(p for p in self.id_of if len(p) == 1)
         self.texts = chars + words  # by own number
-        self.ids = np.array([self.id_of[p] for p in self.texts], np.int64)
-        self.shared = np.array(self.ids.tolist(), object)  # one int object a piece, for all cached words
+        self.ids = np.array([self.id_of[p] for p in self.texts], np.int32)
+        self.lengths = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        self.chars = np.zeros((len(self.texts), self.longest), np.int64)
+        for k, t in enumerate(self.texts):
+            self.chars[k, : len(t)] = [ord(c) for c in t]
+        self.blob = np.frombuffer(b"".join(self.text_bytes), np.uint8)
+        self.blob_sizes = np.fromiter(map(len, self.text_bytes), np.int64, n)
+        self.blob_starts = np.cumsum(self.blob_sizes) - self.blob_sizes
         number = {p: k for k, p in enumerate(self.texts)}
         pairs = sorted((number[p[:i]] * len(self.texts) + number[p[i:]], self.rank[p]) for p in words for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
         self.pair_keys = np.array([k for k, _ in pairs] or [-1], np.int64)
@@ -73,9 +80,7 @@ class Pieces:
             first.append([(number[s], t) for s, t in heads])
             last.append([(number[s], t) for s, t in tails])
         self.first, self.last = self._table(first), self._table(last)
-        self.ok_pairs = np.zeros(0, np.int64)
-        self.ok_values = np.zeros(0, bool)
-        self.few: dict[int, bool] = {}
+        self.slot_pairs, self.slot_values = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
 
     @staticmethod
     def _table(chains: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,29 +127,22 @@ class Pieces:
         return ok
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether b may follow a; known pairs are looked up."""
-        if len(a) <= 64:  # late characters of long words: a few pairs at a time
-            keys = (a * len(self.texts) + b).tolist()
-            values = [self.few.get(k) for k in keys]
-            if None in values:
-                if len(self.few) > 1_000_000:
-                    self.few.clear()
-                values = self._compatible(a, b).tolist()
-                self.few.update(zip(keys, values))
-            return np.array(values, bool)
-        key, inverse = np.unique(a * len(self.texts) + b, return_inverse=True)
-        i = np.minimum(np.searchsorted(self.ok_pairs, key), max(len(self.ok_pairs) - 1, 0))
-        known = self.ok_pairs[i] == key if len(self.ok_pairs) else np.zeros(len(key), bool)
-        value = np.zeros(len(key), bool)
-        value[known] = self.ok_values[i[known]]
-        if not known.all():
-            new = key[~known]
-            value[~known] = self._compatible(new // len(self.texts), new % len(self.texts))
-            if len(self.ok_pairs) < 4_000_000:
-                merged = np.concatenate([self.ok_pairs, new])
-                order = np.argsort(merged)
-                self.ok_pairs, self.ok_values = merged[order], np.concatenate([self.ok_values, value[~known]])[order]
-        return value[inverse]
+        """Whether b may follow a; pairs met before are looked up in a table of SLOTS places."""
+        key = a * len(self.texts) + b
+        slot = self._slot(key)
+        ok, miss = self.slot_values[slot], np.flatnonzero(self.slot_pairs[slot] != key)
+        if len(miss):
+            new, inverse = np.unique(key[miss], return_inverse=True)
+            value = self._compatible(new // len(self.texts), new % len(self.texts))
+            ok[miss] = value[inverse]
+            slot, at = np.unique(self._slot(new), return_index=True)
+            self.slot_pairs[slot], self.slot_values[slot] = new[at], value[at]
+        return ok
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
     @staticmethod
     def _sort(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,14 +175,10 @@ class Pieces:
             suffixes, ranks = self._sort(ranks * (n + 2) + after)
             width *= 2
         lo, hi = np.zeros(len(self.texts), np.int64), np.full(len(self.texts), n, np.int64)
-        lengths = np.array([len(t) for t in self.texts])
-        padded = np.zeros((len(self.texts), self.longest), np.int64)
-        for k, t in enumerate(self.texts):
-            padded[k, : len(t)] = [ord(c) for c in t]
         extended = np.concatenate([codes.astype(np.int64), np.full(self.longest, -1)])
         for at in range(self.longest):
-            live = np.flatnonzero((lengths > at) & (lo < hi))
-            want = padded[live, at]
+            live = np.flatnonzero((self.lengths > at) & (lo < hi))
+            want = self.chars[live, at]
             for side in (0, 1):
                 a, b = lo[live].copy(), hi[live].copy()
                 while True:
@@ -205,17 +199,17 @@ class Pieces:
         begin = suffixes[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
         return begin, number
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Piece ids of each word, none of which has a space but as its first character."""
-        if not words:
-            return []
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the words, one word after the other, and how many each has; no word has a space but as its first character."""
+        if not any(words):
+            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
         text = "\x00".join(words)
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).copy()
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes + 1) - sizes - 1
         codes[starts[1:] - 1] = END
         begin, number = self.edges(codes)
-        lengths = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        lengths = self.lengths
         word = np.repeat(np.arange(len(words)), np.r_[sizes[:-1] + 1, sizes[-1]])
         usable = self.whole[number]
         begin, number = begin[usable], number[usable]
@@ -241,7 +235,6 @@ class Pieces:
             if len(ask):
                 ok[ask] = self.compatible(before[ask], k[ask])
             last[end[s:e][ok]] = k[ok]
-        out: list[list[int]] = []
         place, kept, owner = (starts + sizes).copy(), [], []
         live = np.flatnonzero(sizes > 0)
         while len(live):  # back from each word's end
@@ -252,19 +245,17 @@ class Pieces:
             owner.append(live)
             place[live] -= np.where(k >= 0, lengths[k], 1)
             live = live[place[live] > starts[live]]
-        if not kept:
-            return [[] for _ in words]
         kept, owner = np.concatenate(kept[::-1]), np.concatenate(owner[::-1])
         order = np.argsort(owner, kind="stable")
         kept, owner = kept[order], owner[order]
-        ids = self.shared[np.maximum(kept, 0)].tolist()
-        for i in np.flatnonzero(kept < 0).tolist():
-            ids[i] = int(kept[i])
-        edges = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-        for a, b in zip(edges[:-1], edges[1:]):
-            part = ids[a:b]
-            out.append(part if not part or min(part) >= 0 else [i for x in part for i in ((x,) if x >= 0 else self._fallback(chr(-1 - x)))])
-        return out
+        ids, size, alien = self.ids[np.maximum(kept, 0)], np.ones(len(kept), np.int64), np.flatnonzero(kept < 0)
+        if len(alien):
+            spelt = [self._fallback(chr(-1 - k)) for k in kept[alien].tolist()]
+            size[alien] = [len(x) for x in spelt]
+            ids, stop = np.repeat(ids, size), np.cumsum(size)
+            for i, x in zip(alien.tolist(), spelt):
+                ids[stop[i] - len(x) : stop[i]] = x
+        return ids, np.bincount(owner, size, len(words)).astype(np.int64)
 
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes_at[b] for b in char.encode()] if self.bytes_at else [self.unknown]
@@ -292,76 +283,116 @@ class Pieces:
         return tuple(self.id_of[SPACE * sizes[i]] if SPACE * sizes[i] in self.id_of else self.unknown for i in range(n) if alive[i])
 
 
+def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs in a flat array, one run after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Encoder:
-    """Encodes texts by their distinct words; keeps the encodings of a bounded number of words."""
+    """Encodes texts by their distinct words; keeps the encodings of a bounded number of words, flat in two arrays."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.known = pieces, {}
-
-    def split(self, text: str) -> list[list[str]]:
-        """Words of each line, every one but a later line's first with the space before it; a line break is a word's own end."""
+        self.pieces = pieces
+        self._forget([])
+
+    def _forget(self, kept: list[str]) -> None:
+        """Forgets all words but ``kept``."""
+        at = np.fromiter((self.number[w] for w in kept), np.int64, len(kept))
+        size = np.diff(self.begin)[at] if kept else np.zeros(0, np.int64)
+        self.ids = self.ids[_gather(self.begin[at], size)] if kept else np.zeros(0, np.int32)
+        self.number, self.begin = dict(zip(kept, range(len(kept)))), np.r_[0, np.cumsum(size)]
+
+    def split(self, text: str) -> list[str]:
+        """Words with the spaces before them; a line break is a word of its own, and a later line's first word has no space."""
         marked = SPACE + text.replace(SPACE, " ").replace(" ", f" {SPACE}")
-        return [line.split(" ") for line in ([marked] if self.pieces.newline else marked.split("\n"))]
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        for at in self._parts(texts):
-            yield from self._encode([self.split(t) if t else [] for t in at])
+        words = (marked if self.pieces.newline else marked.replace("\n", " \n ")).split(" ")
+        if SPACE not in words:
+            return words
+        out, free = [], 0
+        for w in words:
+            if w == SPACE:
+                free += 1
+                continue
+            if free and w[:1] != SPACE:
+                out.append(SPACE * free)
+                free = 0
+            out.append(SPACE * free + w)
+            free = 0
+        return [*out, SPACE * free] if free else out
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words. A run of spaces takes the space of the word after it only if that word does not merge with it."""
+        runs = [w for w in words if w == SPACE or w.startswith(SPACE * 2)]
+        if runs:
+            words = [w for w in words if not (w == SPACE or w.startswith(SPACE * 2))]
+        ids, size = self.pieces.encode_words(words)
+        if runs:
+            free = [len(w) - len(w.lstrip(SPACE)) for w in runs]
+            rest, n = self.pieces.encode_words([w[k - 1 :] if k < len(w) else "" for w, k in zip(runs, free)])
+            space, more = self.pieces.id_of[SPACE], []
+            for part, k in zip(np.split(rest, np.cumsum(n)[:-1]), free):
+                part = part.tolist()
+                if part and part[0] == space:
+                    more.append([*self.pieces.space_run(k), *part[1:]])
+                else:
+                    more.append([*self.pieces.space_run(k - 1 if part else k), *part])
+            ids = np.concatenate([ids, np.array([i for x in more for i in x], np.int32)])
+            size = np.concatenate([size, np.array([len(x) for x in more], np.int64)])
+        self.number.update(zip([*words, *runs], range(len(self.number), len(self.number) + len(size))))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def encode_part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the texts, one text after the other, and how many each has."""
+        docs = [self.split(t) if t else [] for t in texts]
+        counts = np.fromiter(map(len, docs), np.int64, len(docs))
+        words = list(chain.from_iterable(docs))
+        del docs
+        word = self._look_up(words)
+        at = np.flatnonzero(word < 0)
+        new = list(dict.fromkeys([words[i] for i in at.tolist()]))
+        if len(self.number) + len(new) > CACHE_WORDS:  # short words are the frequent ones: they stay, unless too many
+            short = [w for w in self.number if len(w) <= SHORT]
+            self._forget(short if len(short) <= CACHE_WORDS // 2 else [])
+            new, at = [w for w in dict.fromkeys(words) if w not in self.number], np.arange(len(words))
+        for k in range(0, len(new), NEW_WORDS):
+            self._learn(new[k : k + NEW_WORDS])
+        word[at] = self._look_up([words[i] for i in at.tolist()])
+        size = self.begin[word + 1] - self.begin[word]
+        total = np.r_[0, np.cumsum(size)]
+        return self.ids[_gather(self.begin[word], size)], np.diff(total[np.r_[0, np.cumsum(counts)]])
+
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        """The number of each word, -1 for those not known."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
 
     @staticmethod
-    def _parts(texts: list[str]) -> Iterator[list[str]]:
-        part, size = [], 0
-        for t in texts:
-            part.append(t)
-            size += len(t)
-            if size >= TEXT_CHARS:
-                yield part
-                part, size = [], 0
-        if part:
-            yield part
-
-    def _encode(self, docs: list[list[list[str]]]) -> Iterator[list[int]]:
-        known = self.known
-        words = set().union(*(line for doc in docs for line in doc))
-        new = list(words.difference(known))
-        if len(known) + len(new) > CACHE_WORDS:  # short words are the frequent ones: they stay, unless they are too many
-            known = {w: i for w, i in known.items() if len(w) <= SHORT}
-            self.known = known = known if len(known) <= CACHE_WORDS // 2 else {}
-            new = list(words.difference(known))
-        for at in range(0, len(new), NEW_WORDS):
-            part = new[at : at + NEW_WORDS]
-            known.update(zip(part, self.pieces.encode_words(part)))
-        end = self.pieces._fallback("\n")
-        space = self.pieces.id_of[SPACE]
-        for doc in docs:
-            out: list[int] = []
-            for n, line in enumerate(doc):
-                if n:
-                    out += end
-                if SPACE not in line:
-                    out.extend(chain.from_iterable(map(known.__getitem__, line)))
-                    continue
-                free = 0
-                for w in line:
-                    if w == SPACE:
-                        free += 1
-                        continue
-                    ids = known[w]
-                    if free:
-                        if ids and ids[0] == space:
-                            out += self.pieces.space_run(free + 1)
-                            ids = ids[1:]
-                        else:
-                            out += self.pieces.space_run(free)
-                        free = 0
-                    out += ids
-                if free:
-                    out += self.pieces.space_run(free)
-            yield out
+    def parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+        """Runs of texts of about TEXT_CHARS characters, as begin and end."""
+        begin, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= TEXT_CHARS or i == len(texts) - 1:
+                yield begin, i + 1
+                begin, size = i + 1, 0
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        for begin, end in self.parts(texts):
+            ids, size = self.encode_part(texts[begin:end])
+            yield from (x.tolist() for x in np.split(ids, np.cumsum(size)[:-1]))
+
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> Iterator[bytes]:
+        """The UTF-8 bytes of each text, without the space put before the first word."""
+        n = self.pieces.blob_sizes[ids]
+        total = np.r_[0, np.cumsum(n)]
+        raw = self.pieces.blob[_gather(self.pieces.blob_starts[ids], n)].tobytes()
+        edges = total[np.r_[0, np.cumsum(sizes)]].tolist()
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield raw[a:b].removeprefix(b" ")
 
     def decode(self, ids: list[int]) -> str:
-        """The text of piece ids, without the space put before the first word; malformed bytes become U+FFFD."""
-        at = self.pieces.text_bytes
-        return b"".join([at[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+        """The text of piece ids; malformed bytes become U+FFFD."""
+        return next(self.decoded(np.array(ids, np.int64), np.array([len(ids)]))).decode("utf-8", "replace")
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -392,13 +423,15 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shared.value)
-        for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                b = big.slice(at, 1000)
-                texts = b.column(1).to_pylist()
-                ids = [None if t is None else i for t, i in zip(texts, coder.encode([t or "" for t in texts]))]
-                same = [None if t is None else coder.decode(i) == t for t, i in zip(texts, ids)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i or ()) for i in ids], pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for begin, end in coder.parts(texts):
+                part = texts[begin:end]
+                missing = pa.array([t is None for t in part])
+                ids, size = coder.encode_part([t or "" for t in part])
+                same = [None if t is None else x == t.encode() for t, x in zip(part, coder.decoded(ids, size))]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(ids), mask=missing)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.array(size, pa.int32()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens int, ids array<int>, round_trip boolean")

@@ -76,3 +76,10 @@ def test_edges(spark):
     assert got[:5] == [(-1, 0, None, False), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 0, 3, True)]
     assert (11, 3, 1, False) in got and all((i, 0, i, True) in got for i in (4, 5, 6, 7, 8, 9, 10, 12))
     assert run(spark, []) == []
+
+
+def test_vectors_of_one_id(spark):
+    a, b = [1.0, 0.0, 0.0, 0.2], [0.0, 1.0, 0.3, 0.0]
+    rows = [(5, a, 1), (5, b, 1), (6, [0.0, 1.0, 0.31, 0.0], 1), (7, [1.0, 0.0, 0.0, 0.21], 1), (8, [0.0, 0.0, 1.0, -1.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in run(spark, rows))
+    assert got == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (8, 0, 8, True)]
