@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ragmill.llm.common import tidy
+
 Q = 10
 RATE = 0.08
 BLOCK_CHARS = 1_000_000
@@ -228,7 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
                     ids = [b.column(0).take(pa.array([r for r, _ in best], pa.int64())), pa.array([index.ids[i] for _, i in best], item_arrow)]
                     yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.int32()) for c in cols)], names=["doc_id", "item_id", "edits", "start", "stop"])
 
-        return run
+        return tidy(run)
 
     out = None
     for s in range(0, len(blocks), MAX_BLOCKS):
@@ -254,7 +256,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: f
                     hit[[r for r, _ in _search(b.column(column), index)]] = False
                     yield b.filter(pa.array(hit))
 
-        return run
+        return tidy(run)
 
     for s in range(0, len(blocks), MAX_BLOCKS):
         docs = docs.mapInArrow(run_with(blocks[s : s + MAX_BLOCKS]), docs.schema)

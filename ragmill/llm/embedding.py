@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragmill.llm.common import materialize, star_components
+from ragmill.llm.common import materialize, star_components, tidy
 
 SEED = 20_240
 CODE_BITS = 256
@@ -66,7 +66,7 @@ def _codes(classes: DataFrame) -> DataFrame:
                     codes[i] = c.tobytes()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary()), pa.array(factors)], names=[*b.schema.names, "code", "factor"])
 
-    return classes.mapInArrow(run, T.StructType([*classes.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType())]))
+    return classes.mapInArrow(tidy(run), T.StructType([*classes.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType())]))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Table]:
@@ -166,7 +166,7 @@ def _compare(threshold: float, bands: int):
                 mine, n, other = linked(t.filter(pa.array(dims == dim)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (mine[:, 0], mine[:, 1], n, other[:, 0], other[:, 1]))], names=["id", "h", "n", "other_id", "other_h"])
 
-    return run
+    return tidy(run)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, bands: int = BANDS, block: int = BLOCK) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragmill.llm.common import tidy
+
 TOP = 300
 PAD = 1
 MAX_LANGUAGES = 2_000
@@ -85,7 +87,7 @@ def profiles(docs: DataFrame, top: int = TOP) -> DataFrame:
                         by, held = {}, 0
         yield from rows(by)
 
-    counts = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text").mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("place", place - 1).where(F.col("place") < top).select("lang", "gram", "place")
 
@@ -139,7 +141,7 @@ def predict(docs: DataFrame, learned: DataFrame, top: int = TOP) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, learned: DataFrame, min_score: float, top: int = TOP) -> DataFrame:
@@ -155,7 +157,7 @@ def keep_identified(docs: DataFrame, learned: DataFrame, min_score: float, top:
             found = (model.predict(t.as_py()) for t in b.column(at))
             yield b.filter(pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out() -> F.Column:

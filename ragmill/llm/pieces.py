@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ragmill.llm.common import tidy
 
 SPACE = "▁"
 NEVER = np.int64(1) << 40
 END = np.uint32(0x110000)  # between words: no character
-CACHE_WORDS = 500_000
-NEW_WORDS = 100_000
+CACHE_WORDS = 300_000
+NEW_WORDS = 40_000
 SHORT = 8
 TEXT_CHARS = 1_000_000
 SLOTS = 1 << 21
@@ -80,7 +80,7 @@ class Pieces:
             first.append([(number[s], t) for s, t in heads])
             last.append([(number[s], t) for s, t in tails])
         self.first, self.last = self._table(first), self._table(last)
-        self.slot_pairs, self.slot_values = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+        self.slot_pairs = self.slot_values = None  # made on first use, so that they are not broadcast
 
     @staticmethod
     def _table(chains: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +128,8 @@ class Pieces:
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether b may follow a; pairs met before are looked up in a table of SLOTS places."""
+        if self.slot_pairs is None:
+            self.slot_pairs, self.slot_values = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
         key = a * len(self.texts) + b
         slot = self._slot(key)
         ok, miss = self.slot_values[slot], np.flatnonzero(self.slot_pairs[slot] != key)
@@ -260,7 +262,6 @@ class Pieces:
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes_at[b] for b in char.encode()] if self.bytes_at else [self.unknown]
 
-    @lru_cache(maxsize=4096)  # noqa: B019
     def space_run(self, n: int) -> tuple[int, ...]:
         """The pieces of n spaces that no word has taken: neighbours merge from the left for as long as they make a piece."""
         sizes, longest = [1] * n, {len(p) for p in self.runs}
@@ -395,15 +396,10 @@ class Encoder:
         return next(self.decoded(np.array(ids, np.int64), np.array([len(ids)]))).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(model: bytes) -> Encoder:
-    key = hash(model)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Pieces(model))
-    return _ENCODERS[key]
+def _shared(docs: DataFrame, path: str | None):
+    """The piece tables of a model file, read and made by the driver, as a broadcast of some ten MB."""
+    with open(path or model_path(), "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(Pieces(f.read()))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -416,13 +412,13 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     piece reaches over a space; runs of spaces and characters without a piece (given as bytes) are put in afterwards.
 
     round_trip tells whether decoding gives the text back, which it does unless the text holds U+2581. Null texts give null
-    ids, 0 tokens and a null round_trip, empty ones no ids. The model file, a few hundred KB, is broadcast.
+    ids, 0 tokens and a null round_trip, empty ones no ids. The piece tables, of bounded size, are broadcast; a task keeps the
+    encodings of CACHE_WORDS words at most.
     """
-    with open(path or model_path(), "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(shared.value)
+        coder = Encoder(shared.value)
         for b in batches:
             texts = b.column(1).to_pylist()
             for begin, end in coder.parts(texts):
@@ -434,21 +430,20 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.array(size, pa.int32()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens int, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens int, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text for each row of ``encoded(doc_id, ids)``; null ids give null."""
-    with open(path or model_path(), "rb") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
+    shared = _shared(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(shared.value)
+        coder = Encoder(shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if i is None else coder.decode(i) for i in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, text string")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

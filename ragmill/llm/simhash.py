@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import materialize, star_components
+from ragmill.llm.common import materialize, star_components, tidy
 
 SEED = 42
 CHUNK = 1 << 15
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, fp long")
 
 
 def _masks(bits: int, radius: int, shift: int = 0) -> list[int]:

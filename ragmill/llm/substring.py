@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import materialize
+from ragmill.llm.common import materialize, tidy
 
 MIN_WORDS = 20
 #: A sentence runs up to and over its end marks, the blanks after them and a line break; sentences cover the text.
@@ -70,7 +70,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("d"), "text")
-    return named.mapInArrow(run, f"doc_id {kind}, d long, start int, stop int, k1 long, k2 long")
+    return named.mapInArrow(tidy(run), f"doc_id {kind}, d long, start int, stop int, k1 long, k2 long")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -121,7 +121,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("d"), "text").join(spans, ["doc_id", "d"], "left")
-    return keyed.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, text string, n_removed int, removed string")
+    return keyed.select("doc_id", "text", "spans").mapInArrow(tidy(cut), f"doc_id {kind}, text string, n_removed int, removed string")
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import new_path
+from ragmill.llm.common import new_path, tidy
 
 DATE = "2024-01-01T00:00:00Z"
 MIN_REVISIT = 0
@@ -68,7 +68,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, d
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), packed], names=["page_id", "sha256", "payload"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    packed = known.select("page_id", "html", "sha256").mapInArrow(deflate, f"page_id {kind}, sha256 string, payload binary")
+    packed = known.select("page_id", "html", "sha256").mapInArrow(tidy(deflate), f"page_id {kind}, sha256 string, payload binary")
     chosen = first.select(F.col("first_id").alias("page_id"), F.col("sha256").alias("digest"))
     stored = packed.join(chosen, F.col("sha256").eqNullSafe(F.col("digest")) & packed["page_id"].eqNullSafe(chosen["page_id"])).select(packed["page_id"], "sha256", "payload")
     stored.dropDuplicates(["page_id", "sha256"]).select("sha256", "payload").write.option("compression", "none").parquet(f"{path}/payloads")
@@ -126,7 +126,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     rows = records(spark, path)
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to string").withColumn("refers_to", F.col("refers_to").cast(kind))
+    return rows.mapInArrow(tidy(run), f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to string").withColumn("refers_to", F.col("refers_to").cast(kind))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
