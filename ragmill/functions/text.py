@@ -30,17 +30,19 @@ def squeeze(text: Column) -> Column:
 
 
 def _cjk(token: Column) -> Column:
-    return token.rlike(f"^[{CJK}]$")
+    return (F.length(token) == 1) & (token >= CJK[0]) & (token <= CJK[-1])
 
 
 def tokenize(text: Column) -> Column:
-    """Lower-cased word tokens and single CJK characters, followed by a pair for every two CJK tokens that are neighbours."""
+    """Lower-cased word tokens and single CJK characters, followed by a pair for every two CJK tokens that are neighbours.
+
+    The tokens are bound to a lambda's variable, so they are made once; pairs zip them with themselves, one place on.
+    """
     raw = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(raw) - 2), lambda i: _cjk(F.get(raw, i)) & _cjk(F.get(raw, i + 1))),
-        lambda i: F.concat(F.get(raw, i), F.get(raw, i + 1)),
-    )
-    return F.coalesce(F.when(text.rlike(f"[{CJK}]"), F.concat(raw, pairs)).otherwise(raw), F.array().cast("array<string>"))
+    both = lambda a, b: F.when(_cjk(a) & _cjk(b), F.concat(a, b))
+    pairs = lambda r: F.array_compact(F.zip_with(r, F.slice(r, 2, F.size(r)), both))
+    made = F.flatten(F.transform(F.array(raw), lambda r: F.concat(r, pairs(r))))
+    return F.coalesce(F.when(text.rlike(f"[{CJK}]"), made).otherwise(raw), F.array().cast("array<string>"))
 
 
 def terms(text: Column) -> Column:

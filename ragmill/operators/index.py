@@ -14,9 +14,18 @@ from ragmill.functions.text import term_index, tokenize
 K1, B = 1.5, 0.75
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it has fewer splits than there are cores, as a table of one file part has; else as it is.
+
+    So at most one split for each core is shuffled, however large the cluster; larger tables are never.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tokens_of(chunks: DataFrame, text: str = "text") -> DataFrame:
     """(chunk_id, tokens), with the tokens made once however often they are used: the generator keeps them from being inlined."""
-    return chunks.select("chunk_id", F.explode(F.array(tokenize(F.col(text)))).alias("tokens"))
+    return spread(chunks.select("chunk_id", text)).select("chunk_id", F.explode(F.array(tokenize(F.col(text)))).alias("tokens"))
 
 
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
