@@ -7,6 +7,7 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Table]:
+    """Runs of whole groups (neighbours of equal ``g``) of at least ``rows`` rows; a group is of bounded size."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        g = t["g"].to_numpy()
+        cut = int(np.searchsorted(g, g[-1])) if (g[1:] >= g[:-1]).all() else int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow, giving freed memory back to the system when its task ends: workers live on, idle, beside the next stage."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragmill.llm.common import materialize, star_components, tidy
+from ragmill.llm.common import materialize, star_components, tidy, whole_groups
 
 SEED = 20_240
 CODE_BITS = 256
@@ -69,23 +69,6 @@ def _codes(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(tidy(run), T.StructType([*classes.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType())]))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Table]:
-    """Runs of whole buckets (equal ``g``) of at least ``rows`` rows; a bucket has two blocks of rows at most."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) < rows:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        g = t["g"].to_numpy()
-        cut = int(np.searchsorted(g, g[-1])) if (g[1:] >= g[:-1]).all() else int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
-        if cut:
-            yield t.slice(0, cut)
-        held = t.slice(cut).to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _candidates(g: np.ndarray, fresh, signs: np.ndarray, factors: np.ndarray, bound: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of a bucket that ``fresh`` lets pass and whose estimate plus bound reaches the threshold; small buckets together,
     large ones by matrix."""
@@ -160,7 +143,7 @@ def _compare(threshold: float, bands: int):
             root = new
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _chunks(batches):
+        for t in whole_groups(batches):
             dims = t["dim"].to_numpy()
             for dim in np.unique(dims):
                 mine, n, other = linked(t.filter(pa.array(dims == dim)))

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragmill.llm.common import tidy
 from ragmill.llm.langid import held_out
 
 SPAN = 5
@@ -19,7 +20,7 @@ DECAY = 0.6
 LANDMARKS = 160
 TRAIN_TOXIC = 2_000
 TRAIN_CLEAN = 4_000
-TRAIN_CHARS = 100_000
+TRAIN_CHARS = 6_000
 PIECE = 1_000_000
 EDGE, GAP = 63, 0
 PAIRS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
@@ -228,6 +229,7 @@ def _pieces(text: str) -> Iterator[str]:
 def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 4) -> Model | None:
     """Trains on labelled texts; None without texts of both labels.
 
+    Sentences are single words here, see README: longer parts of sentences hide an insult among other words.
     A toxic text needs only one toxic sentence, so training alternates: each toxic text gives its most toxic words as
     positive examples (at first by how much more often toxic texts hold them); the sentences of clean texts give negative ones,
     the common, the nearest, and after each round the wrongly scored. Landmarks are the most telling positives that are apart
@@ -305,17 +307,17 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> DataFrame:
-    """(text, toxic) of at most ``toxic`` toxic and ``clean`` clean labelled documents that are not held out.
+    """(doc_id, text, toxic), of at most ``toxic`` toxic and ``clean`` clean labelled documents that are not held out.
 
-    The documents are those with the smallest hash of doc_id, so the sample has a fixed bound and is the same in any order
-    of rows; texts of more than TRAIN_CHARS characters are not trained on.
+    Those with the smallest hash of doc_id are taken from the labels alone, so the sample has a fixed bound, is the same in
+    any order of rows, and costs one scan of the documents. Texts of more than TRAIN_CHARS characters are not trained on, so
+    the driver gets (toxic + clean) x TRAIN_CHARS characters at most; of rows that share a doc_id the least text is taken.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    lengths = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id").distinct()
-    known = known.join(lengths, "doc_id")
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = known.where("toxic = 1").orderBy(*order).limit(toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(clean))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text", "toxic")
+    texts = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -329,7 +331,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> DataFrame:
