@@ -271,16 +271,48 @@ def router_summary(rows: DataFrame, matrix_scores: DataFrame, low: float = 0.75)
     return a.crossJoin(matrix_scores.agg(F.round(F.avg("f1"), 6).alias("macro_f1")))
 
 
-def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """n, mean, p50, p90 and p95 by group, each percentile the value at index round((n - 1) p), halves to even.
+def _places(values: DataFrame, value: str, by: list[str], places: dict[str, F.Column]) -> DataFrame:
+    """Exact order statistics of values(*by, value, n): for each group the value at each place (from 0, of ``total`` values).
 
-    Values are counted by group and value first; indices are found in the running counts, so no group is gathered in a list.
+    Values are counted in ranges of some percent of their size first; only ranges that hold a wanted place are sorted, each on
+    its own, so neither a group nor its distinct values meet in one task.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    v = F.col(value).cast("double")
+    size = F.floor(F.log2(F.abs(v)) * 32) + 100_000  # grows with the size, whatever the unit
+    ranged = values.withColumn("_range", F.when(v > 0, size).when(v < 0, -size).otherwise(0))
+    counts = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n"))
     w = Window.partitionBy(*by)
-    c = c.withColumn("upto", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") > F.bround((F.col("total") - 1) * F.lit(p), 0), F.col(value)))
-    return c.groupBy(*by).agg(F.sum("n").alias("n"), F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 6).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"_before": before, "total": F.sum("_n").over(w)})
+    held = F.lit(False)
+    for place in places.values():
+        held = held | ((place >= F.col("_before")) & (place < F.col("_before") + F.col("_n")))
+    wanted = counts.where(held).select(*(F.col(k).alias(f"_{k}") for k in by), F.col("_range").alias("_r"), "_before", "total")
+    same = F.col("_range") == F.col("_r")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy(*by, "_range").orderBy(value))
+    placed = ranged.join(wanted, same).withColumn("_upto", upto)
+    return placed.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > place, F.col(value))).alias(name) for name, place in places.items()))
+
+
+def _joined(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return a.join(b.withColumnsRenamed({k: f"_{k}" for k in by}), same, "left").drop(*(f"_{k}" for k in by))
+
+
+def _share(p: float) -> F.Column:
+    """The place round((total - 1) p), halves to even."""
+    return F.bround((F.col("total") - 1) * F.lit(p), 0)
+
+
+def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """n, mean, p50, p90 and p95 by group, each percentile the value at index round((n - 1) p), halves to even; nulls are left out."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    mean = c.groupBy(*by).agg(F.sum("n").alias("n"), F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 6).alias("mean"))
+    return _joined(mean, _places(c, value, by, {f"p{p}": _share(p / 100) for p in (50, 90, 95)}), by)
 
 
 def grouped_accuracy(rows: DataFrame, keys: tuple[str, str] = ("source", "source_intent")) -> DataFrame:
@@ -307,10 +339,9 @@ def unknown_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Count, mean, min, max and p10 to p95 of a number, by group, percentiles as in ``latency_summary``."""
+    """Count, mean, min, max and p10 to p95 of a number, by group, percentiles as in ``latency_summary``; nulls are left out."""
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by)
-    c = c.withColumn("upto", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") > F.bround((F.col("total") - 1) * F.lit(p), 0), F.col(value)))
-    half = (F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col(value))) + F.min(F.when(F.col("upto") * 2 > F.col("total"), F.col(value)))) / 2
-    return c.groupBy(*by).agg(F.sum("n").alias("n"), F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 6).alias("mean"), half.alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), *(at(p / 100).alias(f"p{p}") for p in (10, 25, 75, 90, 95)))
+    ends = c.groupBy(*by).agg(F.sum("n").alias("n"), F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    middle = {"_low": F.floor((F.col("total") - 1) / 2), "_high": F.floor(F.col("total") / 2)}
+    out = _joined(ends, _places(c, value, by, middle | {f"p{p}": _share(p / 100) for p in (10, 25, 75, 90, 95)}), by)
+    return out.select(*by, "n", "mean", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "least", "most", "p10", "p25", "p75", "p90", "p95")

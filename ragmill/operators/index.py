@@ -121,8 +121,10 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], ba
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
-    """``old`` with the rows of ``new`` put in by key; of several new rows of a key the last by ``order`` counts."""
-    if order:
+    """``old`` with the rows of ``new`` put in by key; of several new rows of a key one counts, the last by ``order`` if given."""
+    if not order:
+        new = new.dropDuplicates([key])
+    else:
         new = new.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions.text import clip, squeeze
-from ragmill.operators.retrieve import ranked, similarity
+from ragmill.operators.retrieve import dense_within, ranked
 from ragmill.operators.route import RULES
 
 #: Signals of importance, action words, constraints and decisions; weights stand beside each signal.
@@ -177,11 +177,11 @@ def extract_candidates(turns: DataFrame, most: int = 2, signals: dict = SIGNALS)
 def dedupe_memories(candidates: DataFrame, memories: DataFrame, importance: float = 0.72, confidence: float = 0.65, near: float = 0.88) -> tuple[DataFrame, DataFrame]:
     """Candidates good enough, as (to insert, to merge); those near an active memory of the same user are merged into the nearest.
 
-    Users join by equality. Memories of a user are few; a user's candidates are compared where they meet, nothing is gathered.
+    A user's candidates and memories meet block by block; of equal cosines the larger memory_id counts. candidate_id is unique.
     """
     good = candidates.where((F.col("importance") >= importance) & (F.col("confidence") >= confidence))
-    m = memories.where("status = 'active'").select("user_id", "memory_id", F.col("vector").alias("_v"))
-    s = good.select("candidate_id", "user_id", "vector").join(m, "user_id").select("candidate_id", "memory_id", F.round(similarity(F.col("vector"), F.col("_v")), 6).alias("cosine")).where(F.col("cosine") >= near)
+    m = memories.where("status = 'active'").select("user_id", F.col("memory_id").alias("chunk_id"), "vector")
+    s = dense_within(good.select("user_id", F.col("candidate_id").alias("query_id"), "vector"), m, "user_id", 1, near).select(F.col("query_id").alias("candidate_id"), F.col("chunk_id").alias("memory_id"), F.col("score").alias("cosine"))
     best = s.groupBy("candidate_id").agg(F.max_by("memory_id", F.struct("cosine", "memory_id")).alias("memory_id"), F.max("cosine").alias("cosine"))
     return good.join(best, "candidate_id", "left_anti"), good.join(best, "candidate_id")
 
@@ -198,9 +198,9 @@ def search_memories(queries: DataFrame, memories: DataFrame, as_of: F.Column, k:
 
     score = cosine x 0.5^(age / half-life) x (0.75 + 0.5 importance); ``as_of`` is the time that ages are counted to.
     """
-    m = memories.where("status = 'active'").select("user_id", "memory_id", "memory_type", "importance", "created_at", F.col("vector").alias("_v"))
-    near = queries.join(m, "user_id").withColumn("cosine", F.round(similarity(F.col("vector"), F.col("_v")), 6)).drop("_v", "vector")
-    near = ranked(near, ["query_id"], [F.desc("cosine"), "memory_id"], 3 * k, "_r").drop("_r")
+    m = memories.where("status = 'active'")
+    near = dense_within(queries, m.select("user_id", F.col("memory_id").alias("chunk_id"), "vector"), "user_id", 3 * k).select("query_id", F.col("chunk_id").alias("memory_id"), F.col("score").alias("cosine"))
+    near = ranked(near, ["query_id"], [F.desc("cosine"), "memory_id"], 3 * k, "_r").drop("_r").join(m.drop("vector", "user_id"), "memory_id").join(queries.drop("vector"), "query_id")
     days = F.greatest(F.lit(0.0), (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros("created_at")) / 86_400_000_000)
     half = F.coalesce(*(F.when(F.col("memory_type") == t, F.lit(d)) for t, d in half_life.items()), F.lit(365.0))
     score = F.round(F.col("cosine") * F.pow(F.lit(0.5), F.coalesce(days, F.lit(0.0)) / half) * (0.75 + 0.5 * F.col("importance")), 6)

@@ -41,7 +41,7 @@ def keyword_top(spark, sf):
 
 def paper_detail(spark, sf):
     c = chunks(spark, sf)
-    ids = c.where("doc_id like '%5'").select("doc_id").distinct()
+    ids = c.select("doc_id").distinct()
     return C.paper_detail(c, ids).select("doc_id", "chunk_count", F.explode("chunks").alias("c")).select("doc_id", "chunk_count", "c.chunk_index", F.col("c.head").alias("head"))
 
 
@@ -137,7 +137,7 @@ def anchors(spark, sf):
     v = table(spark, sf, "embeddings")
     x = lambda i: F.get("embedding", F.lit(i)).cast("double")
     scores = F.transform(F.slice("embedding", 5, 4), lambda s: F.least(F.abs(s.cast("double")) * 4, F.lit(1.0)))
-    return v.select("vec_id", F.col("label").cast("string").alias("job"), (F.col("vec_id") % 20).cast("int").alias("frame"), (x(0) * 20 + 50).alias("cx"), (x(1) * 20 + 50).alias("cy"), (F.abs(x(2)) * 200 + 20).alias("w"), (F.abs(x(3)) * 200 + 20).alias("h"), scores.alias("scores"), F.lit(2.0).alias("scale_x"), F.lit(1.5).alias("scale_y"))
+    return v.select("vec_id", F.col("label").cast("string").alias("job"), F.floor(F.col("vec_id") / 50).cast("int").alias("frame"), (x(0) * 20 + 50).alias("cx"), (x(1) * 20 + 50).alias("cy"), (F.abs(x(2)) * 200 + 20).alias("w"), (F.abs(x(3)) * 200 + 20).alias("h"), scores.alias("scores"), F.lit(2.0).alias("scale_x"), F.lit(1.5).alias("scale_y"))
 
 
 def box_decode(spark, sf):
@@ -159,13 +159,13 @@ QUERIES = {f.__name__: f for f in (paper_catalog, paper_search, year_counts, key
 CHUNKS = """c AS (SELECT doc_id AS chunk_id, source AS doc_id, 'Paper ' || source AS paper_title, lang, text, CASE WHEN doc_id % 10 = 7 THEN 'deleted' WHEN doc_id % 10 <> 3 THEN 'active' END AS status, 2000 + regexp_replace(source, '[^0-9]', '', 'g')::INTEGER % 12 AS year, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 40) ELSE '' END AS abstract, string_split(text, ' ')[1:3] AS keywords, md5(source) AS content_hash FROM documents),
 a AS (SELECT * FROM c WHERE status IS DISTINCT FROM 'deleted')"""
 PICKED = "v[round_even((len(v) - 1) * {0}::DOUBLE, 0)::INTEGER + 1]"
-ANCHOR = """anc AS (SELECT label::VARCHAR AS job, (vec_id % 20)::INTEGER AS frame, embedding[1]::DOUBLE * 20 + 50 AS cx, abs(embedding[3]::DOUBLE) * 200 + 20 AS w, list_transform(embedding[5:8], lambda s: least(abs(s::DOUBLE) * 4, 1.0)) AS sc FROM embeddings)"""
+ANCHOR = """anc AS (SELECT label::VARCHAR AS job, (vec_id // 50)::INTEGER AS frame, embedding[1]::DOUBLE * 20 + 50 AS cx, abs(embedding[3]::DOUBLE) * 200 + 20 AS w, list_transform(embedding[5:8], lambda s: least(abs(s::DOUBLE) * 4, 1.0)) AS sc FROM embeddings)"""
 ORACLE_SQL = {
     "paper_catalog": f"WITH {CHUNKS} SELECT doc_id, arg_min(paper_title, chunk_id) AS paper_title, arg_min(lang, chunk_id) AS authors, arg_min(year, chunk_id) AS year, arg_min(abstract, chunk_id) FILTER (abstract <> '') AS abstract, array_to_string(arg_min(keywords, chunk_id) FILTER (len(keywords) > 0), ',') AS keywords, count(*) AS chunk_count FROM a GROUP BY 1",
     "year_counts": f"WITH {CHUNKS}, p AS (SELECT doc_id, any_value(year) AS year, count(*) AS n FROM a GROUP BY 1) SELECT year, count(*) AS n_papers, sum(n)::BIGINT AS n_chunks FROM p GROUP BY 1",
     "paper_search": f"WITH {CHUNKS}, p AS (SELECT doc_id, count(*) AS chunk_count FROM a GROUP BY 1), h AS (SELECT * FROM p WHERE contains('paper ' || doc_id, 'src1')) SELECT doc_id, chunk_count, (SELECT count(*) FROM h) AS total FROM h ORDER BY chunk_count DESC, doc_id LIMIT 5",
     "keyword_top": f"WITH {CHUNKS} SELECT keyword, count(*) AS n FROM (SELECT unnest(keywords) AS keyword FROM c) WHERE length(keyword) >= 2 GROUP BY 1 ORDER BY n DESC, keyword LIMIT 30",
-    "paper_detail": f"WITH {CHUNKS} SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS chunk_count, chunk_id AS chunk_index, substr(text, 1, 500) AS head FROM a WHERE doc_id LIKE '%5'",
+    "paper_detail": f"WITH {CHUNKS} SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS chunk_count, chunk_id AS chunk_index, substr(text, 1, 500) AS head FROM a",
     "len_stats": "WITH v AS (SELECT list(length(text) ORDER BY length(text)) AS v FROM documents) SELECT len(v)::BIGINT AS n, round(list_avg(v), 4) AS mean, list_median(v)::DOUBLE AS median, v[1] AS least, v[-1] AS most, round(list_stddev_samp(v), 4) AS stdev, v[len(v) // 10 + 1] AS p10, v[len(v) // 4 + 1] AS p25, v[len(v) * 3 // 4 + 1] AS p75, v[len(v) * 9 // 10 + 1] AS p90 FROM v",
     "len_hist": "WITH b AS (SELECT * FROM (VALUES (0, 0, 50), (1, 50, 100), (2, 100, 200), (3, 200, 300), (4, 300, 500), (5, 500, 800), (6, 800, 1000), (7, 1000, 1500), (8, 1500, 2000), (9, 2000, NULL)) t(bin_no, low, high)) SELECT bin_no, low, high, count(text) AS n, round(count(text) * 100.0 / sum(count(text)) OVER (), 2) AS pct FROM b LEFT JOIN documents ON length(text) >= low AND (high IS NULL OR length(text) < high) GROUP BY ALL",
     "chunks_per_doc": "SELECT count(*) AS n_docs, round(avg(c), 4) AS mean, median(c)::DOUBLE AS median, min(c) AS least, max(c) AS most FROM (SELECT source, count(*) AS c FROM documents GROUP BY 1)",

@@ -33,31 +33,26 @@ def fallback_policy(spark, sf):
     return d.select("query_id", "action", "decision_reason", "confidence", "required_source_type", F.array_join("query_flags", ",").alias("query_flags"), E.web_trigger(d, 2, 0.3).alias("web_trigger"))
 
 
-def evidence_rows(spark, sf, text=None):
-    """Reranked hits as evidence with whole texts, or with ``text`` in their place."""
-    e = reranked(spark, sf).withColumns({"parent_id": F.lit(""), "page_start": (F.col("doc_id") % 7).cast("int"), "page_end": (F.col("doc_id") % 7 + 1).cast("int"), "doc_id": F.col("section_title"), "text": F.col("text") if text is None else text})
+def evidence_rows(spark, sf):
+    """Reranked hits as evidence."""
+    e = reranked(spark, sf).withColumns({"parent_id": F.lit(""), "page_start": (F.col("doc_id") % 7).cast("int"), "page_end": (F.col("doc_id") % 7 + 1).cast("int"), "doc_id": F.col("section_title")})
     return E.dedupe(e)
 
 
-def head():
-    """The SQL of packing and citations reads 700 characters of a text."""
-    return F.substring("text", 1, 700)
-
-
 def evidence_merge(spark, sf):
     m = E.merge_adjacent(evidence_rows(spark, sf))
     return m.withColumn("merged_chunk_ids", F.array_join("merged_chunk_ids", ","))
 
 
 def context_pack(spark, sf):
-    e = evidence_rows(spark, sf, head()).withColumns({"paper_title": F.col("section_title"), "authors": F.array().cast("array<string>"), "year": F.lit(None).cast("int"), "url": F.lit("")})
+    e = evidence_rows(spark, sf).withColumns({"paper_title": F.col("section_title"), "authors": F.array().cast("array<string>"), "year": F.lit(None).cast("int"), "url": F.lit("")})
     p = E.pack_context(e, 3000, 600)
     return p.select("query_id", "chunk_id", "evidence_id", "pos", F.length("block").alias("n"), F.length("text").alias("n_text"), "used")
 
 
 def answers(spark, sf):
     """Answers that cite marks, some of which no evidence has."""
-    c = evidence_rows(spark, sf, head()).withColumns({"paper_title": F.col("section_title"), "authors": F.array().cast("array<string>"), "year": F.lit(None).cast("int"), "url": F.lit("")})
+    c = evidence_rows(spark, sf).withColumns({"paper_title": F.col("section_title"), "authors": F.array().cast("array<string>"), "year": F.lit(None).cast("int"), "url": F.lit("")})
     p = E.pack_context(c, 3000, 600)
     a = bench(spark, sf).select("query_id", F.concat(F.substring("text", 1, 20), F.lit(" [L1] and [W2] [L1] ["), F.when(F.col("query_id") % 2 == 0, "L9").otherwise("W1"), F.lit("]")).alias("answer"))
     return a, p.select("query_id", F.col("evidence_id").alias("marker"), "chunk_id")
@@ -75,7 +70,7 @@ def invalid_citations(spark, sf):
 def web_evidence(spark, sf):
     from ragmill.operators.ingest import strip_html
 
-    p = table(spark, sf, "pages").select((F.col("page_id") % 10).alias("query_id"), F.col("page_id").alias("result_no"), "url", strip_html(F.col("html")).alias("text"), (F.length("html") % 100 / 100).alias("score"))
+    p = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 10).alias("query_id"), F.col("page_id").alias("result_no"), "url", strip_html(F.col("html")).alias("text"), (F.length("html") % 100 / 100).alias("score"))
     return E.web_candidates(E.web_evidence(p)).select("query_id", "chunk_id", "doc_id", "chunk_no", F.round("fusion_score", 9).alias("fusion_score"), F.length("text").alias("n_chars"))
 
 
@@ -83,7 +78,7 @@ def local_and_web(spark, sf):
     local = reranked(spark, sf).select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "text", F.col("final_score").alias("fusion_score"))
     from ragmill.operators.ingest import strip_html
 
-    p = table(spark, sf, "pages").select((F.col("page_id") % 10).alias("query_id"), F.col("page_id").alias("result_no"), "url", strip_html(F.col("html")).alias("text"), F.lit(0.5).alias("score"))
+    p = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 10).alias("query_id"), F.col("page_id").alias("result_no"), "url", strip_html(F.col("html")).alias("text"), F.lit(0.5).alias("score"))
     web = E.web_candidates(E.web_evidence(p)).select("query_id", "chunk_id", "text", "fusion_score")
     q = bench(spark, sf).withColumnRenamed("text", "query")
     return E.combine_and_rerank(local.join(q, "query_id"), web.join(q, "query_id")).select("query_id", "chunk_id", "final_score", "rank")
@@ -97,7 +92,7 @@ def intent_route(spark, sf):
 
 def intent_merge(spark, sf):
     """Predictions from labels, merged with the rules."""
-    q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("text"))
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
     p = table(spark, sf, "labels").select(F.col("doc_id").alias("query_id"), F.when(F.col("toxic") == 1, "reject").otherwise("rag").alias("intent"), F.lit("model").alias("sub_intent"), (F.col("toxic") == 0).alias("need_rag"), F.lit(False).alias("need_memory"), F.lit(False).alias("need_safety_notice"), F.when(F.col("quality") == 1, 0.9).otherwise(0.5).alias("confidence"))
     return T.route(q, p, rules=RULES).groupBy("intent", "sub_intent", "source").agg(F.count("*").alias("n"))
 
@@ -113,7 +108,7 @@ found AS (SELECT q.query_id, count(DISTINCT t) AS n FROM (SELECT query_id, unnes
 suff AS (SELECT query_id, coalesce(top_score, 0) AS top_score, coalesce(evidence_count, 0) AS evidence_count, coalesce(doc_count, 0) AS doc_count, coalesce(source_type_count, 0) AS source_type_count,
   round(CASE WHEN len(s) > 1 THEN s[1] - s[2] ELSE coalesce(s[1], 0) END, 4) AS score_gap, coalesce(n, 0)::INTEGER AS n_matched, (len(terms) - coalesce(n, 0))::INTEGER AS n_missing, coalesce(n, 0)::DOUBLE / greatest(len(terms), 1) AS cov, len(terms) AS nt, text FROM q LEFT JOIN agg USING (query_id) LEFT JOIN found USING (query_id)),
 judged AS (SELECT *, CASE WHEN contains(text, 'ndoure') THEN 'temporal_keyword_detected' WHEN evidence_count < 2 THEN 'evidence_count_below_threshold' WHEN top_score < 0.3 THEN 'top_score_below_threshold' WHEN nt > 0 AND cov < 0.3 THEN 'term_coverage_below_threshold' ELSE 'local_evidence_sufficient' END AS reason FROM suff)"""
-PACK = f"""{RER}, ev AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY final_score DESC, chunk_id) AS n, substr(text, 1, 700) AS t0 FROM rer),
+PACK = f"""{RER}, ev AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY final_score DESC, chunk_id) AS n, text AS t0 FROM rer),
 ev2 AS (SELECT *, CASE WHEN source_type = 'web' THEN 'W' ELSE 'L' END || n AS evidence_id, regexp_replace(trim(t0), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t1 FROM ev),
 ev3 AS (SELECT *, CASE WHEN length(t1) <= 600 THEN t1 ELSE rtrim(substr(t1, 1, 432), ' ') || chr(10) || '...' || chr(10) || ltrim(right(t1, 160), ' ') END AS t2, CASE WHEN doc_id % 7 = 0 THEN '页码未知' ELSE '第' || doc_id % 7 || '-' || (doc_id % 7 + 1) || '页' END AS pg FROM ev2),
 ev4 AS (SELECT *, '[' || evidence_id || ']' || chr(10) || '来源：' || CASE WHEN source_type = 'web' THEN section_title ELSE section_title || '，作者未知，年份未知，' || section_title || '，' || pg END || chr(10) || '章节：' || section_title || '；页码：' || pg || '；分数：' || printf('%.4f', final_score) || chr(10) || '正文：' || t2 AS block FROM ev3),
@@ -152,7 +147,7 @@ SELECT query_id, ['refuse', 'answer_insufficient', 'use_web', 'use_web', 'answer
     "used_citations": f"WITH {PACK} SELECT m.query_id, marker, use_no, chunk_id FROM marks m JOIN pack p ON p.query_id = m.query_id AND p.evidence_id = m.marker",
     "invalid_citations": f"WITH {PACK} SELECT query_id, marker FROM marks m WHERE NOT EXISTS (SELECT 1 FROM pack p WHERE p.query_id = m.query_id AND p.evidence_id = m.marker)",
     "intent_route": f"SELECT conv_id, turn, {_case(1)} AS intent, {_case(2)} AS sub_intent, {_case(3)} AS need_rag, {_case(4)} AS need_memory, {_case(5)} AS need_safety_notice, {SOURCE} AS source FROM conversations WHERE role = 'user'",
-    "intent_merge": f"""WITH q AS (SELECT doc_id, substr(text, 1, 200) AS text FROM documents), r AS (SELECT q.doc_id, {_case(1)} AS i, {_case(2)} AS s, {SOURCE} AS src, toxic, quality FROM q LEFT JOIN labels l USING (doc_id))
+    "intent_merge": f"""WITH q AS (SELECT doc_id, text FROM documents), r AS (SELECT q.doc_id, {_case(1)} AS i, {_case(2)} AS s, {SOURCE} AS src, toxic, quality FROM q LEFT JOIN labels l USING (doc_id))
 SELECT intent, sub_intent, source, count(*) AS n FROM (SELECT CASE WHEN src = 'hard_rule' OR coalesce(quality, 0) = 0 THEN i WHEN toxic = 1 THEN 'reject' ELSE 'rag' END AS intent, CASE WHEN src = 'hard_rule' OR coalesce(quality, 0) = 0 THEN s ELSE 'model' END AS sub_intent,
   CASE WHEN src = 'hard_rule' OR coalesce(quality, 0) = 0 THEN src ELSE 'llm' END AS source FROM r) GROUP BY ALL""",
 }

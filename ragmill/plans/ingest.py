@@ -1,4 +1,4 @@
-"""Cleaning and chunking queries: a source is a paper whose pages are its documents; pages are web results."""
+"""Cleaning and chunking queries: a document is a paper; for page furniture a source is one whose pages are its documents; pages are web results."""
 
 from __future__ import annotations
 
@@ -15,6 +15,10 @@ def pages(spark, sf):
     return table(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), "text")
 
 
+def papers(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_number"), "text")
+
+
 def boundary_noise(spark, sf):
     return N.boundary_noise(pages(spark, sf), share=0.02)
 
@@ -28,7 +32,7 @@ def clean_pages(spark, sf):
 
 
 def section_split(spark, sf):
-    s = N.sections(N.clean_lines(pages(spark, sf)), N.heading_level(F.col("line"), HEADING))
+    s = N.sections(N.clean_lines(papers(spark, sf)), N.heading_level(F.col("line"), HEADING))
     return s.withColumn("path", F.array_join("path", "/"))
 
 
@@ -63,9 +67,9 @@ def metadata_extract(spark, sf):
 
 
 def build_chunks(spark, sf):
-    p = pages(spark, sf)
-    papers = p.select("doc_id").distinct().withColumn("paper_title", F.concat(F.lit("Paper "), F.col("doc_id")))
-    return N.build_chunks(p, papers, N.heading_level(F.col("line"), HEADING)).select("chunk_id", "doc_id", "paper_title", "title", "chunk_index", "page_start", "page_end", "text")
+    p = papers(spark, sf)
+    titles = p.select("doc_id").distinct().withColumn("paper_title", F.concat(F.lit("Paper "), F.col("doc_id")))
+    return N.build_chunks(p, titles, N.heading_level(F.col("line"), HEADING)).select("chunk_id", "doc_id", "paper_title", "title", "chunk_index", "page_start", "page_end", "text")
 
 
 QUERIES = {f.__name__: f for f in (boundary_noise, clean_lines, clean_pages, section_split, chunk_fixed, chunk_recursive, web_text, web_chunks, page_links, metadata_extract, build_chunks)}

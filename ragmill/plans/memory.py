@@ -41,8 +41,10 @@ def session_tokens(spark, sf):
 
 
 def requested_messages(spark, sf):
-    r = messages(spark, sf).groupBy("session_id").agg(F.slice(F.sort_array(F.collect_list("message_id"), asc=False), 1, 2).alias("ids")).select(F.col("session_id").alias("request_id"), F.transform("ids", lambda i: i).alias("ids"))
-    m = messages(spark, sf).where("session_id = 3")
+    """Each session asks for its last two messages; ids are unique over all sessions."""
+    m = messages(spark, sf).withColumn("message_id", F.concat_ws("-", "session_id", "message_id"))
+    last = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("created_at", "message_id")), asc=False), 1, 2), lambda x: x["message_id"])
+    r = m.groupBy(F.col("session_id").alias("request_id")).agg(last.alias("ids"))
     return M.messages_by_ids(r, m).select("request_id", "pos", "message_id", "role")
 
 
@@ -145,7 +147,7 @@ ORACLE_SQL = {
     "recent_messages": f"WITH {MSG}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY message_id DESC) AS r FROM m QUALIFY r <= 3) SELECT session_id, message_id, role, row_number() OVER (PARTITION BY session_id ORDER BY r DESC)::INTEGER AS pos FROM r",
     "recent_context": f"WITH {MSG}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY message_id DESC) AS r FROM m QUALIFY r <= 3) SELECT session_id, string_agg(CASE role WHEN 'user' THEN '用户' WHEN 'assistant' THEN '助手' ELSE role END || '：' || {CLIP.format('content', 500)}, chr(10) ORDER BY r DESC) AS context FROM r GROUP BY 1",
     "session_tokens": f"WITH {MSG} SELECT session_id, greatest(2, max(message_id))::BIGINT AS updated_at, sum(CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, length(content) // 2) END)::BIGINT AS tokens FROM m GROUP BY 1",
-    "requested_messages": f"WITH {MSG}, r AS (SELECT session_id AS request_id, message_id, (row_number() OVER (PARTITION BY session_id ORDER BY message_id DESC) - 1)::INTEGER AS pos FROM m QUALIFY pos < 2) SELECT request_id, pos, r.message_id, role FROM r JOIN m ON m.message_id = r.message_id AND m.session_id = 3",
+    "requested_messages": f"WITH {MSG}, r AS (SELECT session_id AS request_id, role, session_id || '-' || message_id AS message_id, (row_number() OVER (PARTITION BY session_id ORDER BY message_id DESC) - 1)::INTEGER AS pos FROM m QUALIFY pos < 2) SELECT request_id, pos, message_id, role FROM r",
     "session_state": f"""WITH {MSG}, u AS (SELECT session_id, message_id AS o, {SQ} AS q, trim(regexp_extract(content, '{CONSTRAINT}', 0)) AS c FROM m WHERE role = 'user'),
 g AS (SELECT session_id, substr(arg_min(q, o), 1, 60) AS current_goal, substr(arg_max(q, o) FILTER (regexp_matches(q, '{ACTION}')), 1, 50) AS current_step FROM u GROUP BY 1), k AS (SELECT session_id, string_agg(c, '|' ORDER BY o) AS constraints FROM (SELECT session_id, c, min(o) AS o FROM u WHERE c <> '' GROUP BY ALL) GROUP BY 1)
 SELECT session_id, current_goal, current_step, coalesce(constraints, '') AS constraints FROM g LEFT JOIN k USING (session_id)""",
