@@ -18,7 +18,7 @@ def chunks(spark, sf):
     status = F.when(F.col("doc_id") % 10 == 7, "deleted").when(F.col("doc_id") % 10 != 3, "active")
     return d.select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_index"), F.concat(F.lit("Paper "), F.col("source")).alias("paper_title"), F.array("lang").alias("authors"), (2000 + F.regexp_replace("source", "[^0-9]", "").cast("int") % 12).alias("year"),
-        F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 40)).otherwise("").alias("abstract"), F.slice(F.split("text", " "), 1, 3).alias("keywords"), F.col("lang").alias("chunk_type"), F.col("source").alias("section"), "text", status.alias("status"), F.md5("source").alias("content_hash"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("").alias("abstract"), F.slice(F.split("text", " "), 1, 3).alias("keywords"), F.col("lang").alias("chunk_type"), F.col("source").alias("section"), "text", status.alias("status"), F.md5("source").alias("content_hash"),
     )
 
 
@@ -146,7 +146,9 @@ def box_decode(spark, sf):
 
 
 def nms(spark, sf):
-    return D.suppress(D.decode_boxes(anchors(spark, sf)), 0.3).groupBy("job", "frame").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
+    six = [F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2", "score")]
+    return D.suppress(D.decode_boxes(anchors(spark, sf)), 0.3).select("job", "frame", "class_id", *six)
+
 
 
 def job_metrics(spark, sf):
@@ -156,10 +158,10 @@ def job_metrics(spark, sf):
 
 QUERIES = {f.__name__: f for f in (paper_catalog, paper_search, year_counts, keyword_top, paper_detail, len_stats, len_hist, chunks_per_doc, by_chunk_type, section_totals, audit_sections, audit_dist, suspicious_headings, upsert_merge, content_hash_skip, soft_delete, counts_by_doc, status_backfill, outcome_summary, trace_index, trace_steps, box_decode, nms, job_metrics)}
 
-CHUNKS = """c AS (SELECT doc_id AS chunk_id, source AS doc_id, 'Paper ' || source AS paper_title, lang, text, CASE WHEN doc_id % 10 = 7 THEN 'deleted' WHEN doc_id % 10 <> 3 THEN 'active' END AS status, 2000 + regexp_replace(source, '[^0-9]', '', 'g')::INTEGER % 12 AS year, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 40) ELSE '' END AS abstract, string_split(text, ' ')[1:3] AS keywords, md5(source) AS content_hash FROM documents),
+CHUNKS = """c AS (SELECT doc_id AS chunk_id, source AS doc_id, 'Paper ' || source AS paper_title, lang, text, CASE WHEN doc_id % 10 = 7 THEN 'deleted' WHEN doc_id % 10 <> 3 THEN 'active' END AS status, 2000 + regexp_replace(source, '[^0-9]', '', 'g')::INTEGER % 12 AS year, CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS abstract, string_split(text, ' ')[1:3] AS keywords, md5(source) AS content_hash FROM documents),
 a AS (SELECT * FROM c WHERE status IS DISTINCT FROM 'deleted')"""
 PICKED = "v[round_even((len(v) - 1) * {0}::DOUBLE, 0)::INTEGER + 1]"
-ANCHOR = """anc AS (SELECT label::VARCHAR AS job, (vec_id // 50)::INTEGER AS frame, embedding[1]::DOUBLE * 20 + 50 AS cx, abs(embedding[3]::DOUBLE) * 200 + 20 AS w, list_transform(embedding[5:8], lambda s: least(abs(s::DOUBLE) * 4, 1.0)) AS sc FROM embeddings)"""
+ANCHOR = """anc AS (SELECT label::VARCHAR AS job, (vec_id // 50)::INTEGER AS frame, embedding[1]::DOUBLE * 20 + 50 AS cx, embedding[2]::DOUBLE * 20 + 50 AS cy, abs(embedding[3]::DOUBLE) * 200 + 20 AS w, abs(embedding[4]::DOUBLE) * 200 + 20 AS h, list_transform(embedding[5:8], lambda s: least(abs(s::DOUBLE) * 4, 1.0)) AS sc FROM embeddings)"""
 ORACLE_SQL = {
     "paper_catalog": f"WITH {CHUNKS} SELECT doc_id, arg_min(paper_title, chunk_id) AS paper_title, arg_min(lang, chunk_id) AS authors, arg_min(year, chunk_id) AS year, arg_min(abstract, chunk_id) FILTER (abstract <> '') AS abstract, array_to_string(arg_min(keywords, chunk_id) FILTER (len(keywords) > 0), ',') AS keywords, count(*) AS chunk_count FROM a GROUP BY 1",
     "year_counts": f"WITH {CHUNKS}, p AS (SELECT doc_id, any_value(year) AS year, count(*) AS n FROM a GROUP BY 1) SELECT year, count(*) AS n_papers, sum(n)::BIGINT AS n_chunks FROM p GROUP BY 1",
@@ -182,5 +184,11 @@ ORACLE_SQL = {
     "trace_index": "SELECT user_id || '-' || ts::DATE AS trace_id, user_id::VARCHAR AS session_id, 'rag' AS intent, round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0, 0)::BIGINT AS latency_ms, 'success' AS final_status, count(*) FILTER (event_type = 'error')::INTEGER AS error_count, count(*)::INTEGER AS n_steps, 'goal ' || user_id AS goal FROM events GROUP BY user_id, ts::DATE",
     "trace_steps": f"WITH s AS (SELECT event_type AS step_type, CASE WHEN event_type = 'error' THEN 'failed' WHEN value > 50 THEN 'skipped' ELSE 'success' END AS status, round_even(value * 100, 0)::BIGINT AS latency_ms FROM events), g AS (SELECT step_type, count(*) AS n_steps, count(*) FILTER (status = 'success') AS n_success, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'skipped') AS n_skipped, list(latency_ms ORDER BY latency_ms) FILTER (latency_ms IS NOT NULL) AS v FROM s GROUP BY 1) SELECT step_type, n_steps, n_success, n_failed, n_skipped, round(list_avg(v), 6) AS mean, {', '.join(f'{PICKED.format(p / 100)} AS p{p}' for p in (50, 90, 95))} FROM g",
     "box_decode": f"WITH {ANCHOR} SELECT job, frame, (list_position(sc, list_max(sc)) - 1)::INTEGER AS class_id, count(*) AS n, round(sum(w * 2.0), 6) AS width, round(max(list_max(sc)), 6) AS best FROM anc WHERE list_max(sc) > 0.35 GROUP BY ALL",
+    "nms": f"""WITH {ANCHOR}, b AS (SELECT job, frame, (cx - w / 2) * 2.0 AS x1, (cy - h / 2) * 1.5 AS y1, (cx + w / 2) * 2.0 AS x2, (cy + h / 2) * 1.5 AS y2, (list_position(sc, list_max(sc)) - 1)::INTEGER AS class_id, list_max(sc) AS score FROM anc WHERE list_max(sc) > 0.35),
+g AS (SELECT job, frame, list([{{'x1': x1::DOUBLE, 'y1': y1::DOUBLE, 'x2': x2::DOUBLE, 'y2': y2::DOUBLE, 'c': class_id, 's': score}}] ORDER BY score DESC, x1, y1, x2, y2, class_id) AS bs FROM b GROUP BY ALL),
+k AS (SELECT job, frame, unnest(list_reduce(bs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k:
+  greatest(0.0, least(k.x2, x[1].x2) - greatest(k.x1, x[1].x1)) * greatest(0.0, least(k.y2, x[1].y2) - greatest(k.y1, x[1].y1)) / ((k.x2 - k.x1) * (k.y2 - k.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1)
+    - greatest(0.0, least(k.x2, x[1].x2) - greatest(k.x1, x[1].x1)) * greatest(0.0, least(k.y2, x[1].y2) - greatest(k.y1, x[1].y1)) + 1e-6) > 0.3)) > 0 THEN acc ELSE acc || x END)) AS k FROM g)
+SELECT job, frame, k.c AS class_id, round(k.x1, 6) AS x1, round(k.y1, 6) AS y1, round(k.x2, 6) AS x2, round(k.y2, 6) AS y2, round(k.s, 6) AS score FROM k""",
     "job_metrics": "SELECT event_type AS job, count(*) AS n_frames, count(*) FILTER (event_id % 9 <> 0) AS n_done, round(avg(value) FILTER (event_id % 9 <> 0), 4) AS mean_latency_ms, round(count(*) FILTER (event_id % 9 <> 0)::DOUBLE / count(*), 4) AS progress FROM events GROUP BY 1",
 }

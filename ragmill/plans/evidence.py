@@ -143,6 +143,14 @@ SELECT query_id, ['refuse', 'answer_insufficient', 'use_web', 'use_web', 'answer
   [1.0, 0.95, 0.9, 0.9, 0.85, 0.75, 0.65][r]::DOUBLE AS confidence, CASE r WHEN 3 THEN 'current_web' WHEN 4 THEN 'official_web' END AS required_source_type,
   concat_ws(',', CASE WHEN contains(text, 'ndoure') THEN 'temporal' END, CASE WHEN contains(text, 'entiin') THEN 'official' END, CASE WHEN contains(text, 'thinor') THEN 'local_scope' END, CASE WHEN contains(text, 'eranes') THEN 'harmful' END, CASE WHEN contains(text, 'tion ') THEN 'ambiguous' END) AS query_flags,
   NOT ok OR contains(text, 'ndoure') OR evidence_count < 2 OR top_score < 0.3 AS web_trigger FROM p""",
+    "evidence_merge": """WITH {RER}, e AS (SELECT query_id, source_type, section_title AS doc_id, (doc_id % 7)::INTEGER AS a, (doc_id % 7 + 1)::INTEGER AS b, chunk_id::VARCHAR AS id, trim(text, ' ') AS t, final_score AS s FROM rer),
+g AS (SELECT query_id, source_type, doc_id, list([{'a': a, 'b': b, 'id': id, 't': t, 's': s, 'm': []::VARCHAR[]}] ORDER BY a, b, -s, id, t) AS xs FROM e GROUP BY ALL),
+k AS (SELECT query_id, source_type, doc_id, unnest(list_reduce(xs, lambda acc, x:
+  CASE WHEN length(acc[-1].t) + length(x[1].t) <= 1200 AND CASE WHEN x[1].a <> 0 THEN x[1].a ELSE x[1].b END <= CASE WHEN acc[-1].b <> 0 THEN acc[-1].b ELSE acc[-1].a END + 1
+  THEN acc[:-2] || [{'a': least(acc[-1].a, CASE WHEN x[1].a <> 0 THEN x[1].a ELSE acc[-1].a END), 'b': greatest(acc[-1].b, x[1].b, acc[-1].a), 'id': acc[-1].id,
+    't': CASE WHEN acc[-1].t = '' THEN x[1].t WHEN x[1].t = '' OR contains(acc[-1].t, x[1].t) THEN acc[-1].t ELSE acc[-1].t || chr(10) || x[1].t END, 's': greatest(acc[-1].s, x[1].s), 'm': acc[-1].m || [x[1].id]}]
+  ELSE acc || x END)) AS k FROM g)
+SELECT query_id, source_type, doc_id, doc_id AS evidence_group, k.id AS chunk_id, k.t AS text, k.s AS final_score, k.a AS page_start, k.b AS page_end, array_to_string(k.m, ',') AS merged_chunk_ids FROM k""".replace("{RER}", RER),
     "context_pack": f"WITH {PACK} SELECT query_id, chunk_id, evidence_id, pos::INTEGER AS pos, length(block)::INTEGER AS n, length(t2)::INTEGER AS n_text, used::BIGINT AS used FROM pack",
     "used_citations": f"WITH {PACK} SELECT m.query_id, marker, use_no, chunk_id FROM marks m JOIN pack p ON p.query_id = m.query_id AND p.evidence_id = m.marker",
     "invalid_citations": f"WITH {PACK} SELECT query_id, marker FROM marks m WHERE NOT EXISTS (SELECT 1 FROM pack p WHERE p.query_id = m.query_id AND p.evidence_id = m.marker)",

@@ -83,7 +83,27 @@ KEPT = """kept1 AS (SELECT * FROM (SELECT *, sum((line = '')::INT) OVER (PARTITI
   AND NOT contains(line, '中国知网') AND NOT contains(upper(line), 'CNKI') AND NOT (length(line) > 60 AND regexp_matches(line, '^\\s*(\\[\\d+\\]|\\d+\\s*[.．、])\\s*.{8,}$')) NOISE),
 kept2 AS (SELECT * FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id, page_number ORDER BY pos) AS before FROM kept1) WHERE before IS NULL OR before <> line),
 kept AS (SELECT doc_id, page_number, pos, line, coalesce(blanks > lag(blanks) OVER (PARTITION BY doc_id, page_number ORDER BY pos), false) AS gap FROM kept2)"""
+DOC_LINES = LINES.replace("source AS doc_id, doc_id AS page_number", "doc_id, 1 AS page_number")
+SECTIONS = f"""{DOC_LINES}, {KEPT.replace("NOISE", "")},
+able AS (SELECT *, length(line) > 1 AND length(line) <= 90 AND NOT regexp_matches(line, '[。；，,;：]\\s*$') AS able FROM kept),
+lev AS (
+  SELECT *, CASE WHEN able AND (regexp_matches(line, '{N.COMMON_HEADING}') OR regexp_matches(line, '{N.CHAPTER_HEADING}')) THEN 1
+    WHEN able AND regexp_matches(line, '{N.NUMBER_HEADING}') THEN least(length(regexp_replace(regexp_extract(line, '{N.NUMBER_HEADING}', 1), '[^.．]', '', 'g')) + 1, 6)
+    WHEN regexp_matches(line, '{HEADING}') THEN 1 END AS lev FROM able),
+isl AS (SELECT *, sum((lev IS NOT NULL)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM lev),
+s AS (
+  SELECT doc_id, island, coalesce(max(line) FILTER (lev IS NOT NULL), '{N.BODY}') AS title, coalesce(max(lev), 1)::INTEGER AS level,
+    regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (lev IS NULL), ''), '^\\s+|\\s+$', '', 'g') AS text FROM isl GROUP BY ALL),
+folded AS (
+  SELECT doc_id, unnest(list_reduce(list_prepend([{{'island': -1, 'level': 0, 'path': []::VARCHAR[]}}], list([{{'island': island::INTEGER, 'level': level, 'path': [title]}}] ORDER BY island)), lambda acc, x:
+    acc || [{{'island': x[1].island, 'level': x[1].level, 'path': CASE WHEN x[1].level <= 1 THEN x[1].path ELSE acc[-1].path[1:x[1].level - 1]
+      || list_transform(range(greatest(x[1].level - 1 - len(acc[-1].path[1:x[1].level - 1]), 0)), lambda i: coalesce(acc[-1].path[1:x[1].level - 1][-1], '{N.BODY}')) || x[1].path END}}])) AS h FROM s GROUP BY doc_id),
+sect AS (
+  SELECT s.*, array_to_string(h.path, '/') AS path, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.island)::INTEGER AS section_no
+  FROM s JOIN folded f ON f.doc_id = s.doc_id AND h.island = s.island WHERE text <> '')"""
 ORACLE_SQL = {
+    "section_split": f"""WITH {SECTIONS} SELECT doc_id, section_no, substr(sha1(doc_id || '|' || section_no || '|' || title), 1, 16) AS section_id, title, path, level, 1 AS page_start, 1 AS page_end, text,
+  CASE WHEN contains(title, '摘要') OR lower(title) = 'abstract' THEN 'abstract' WHEN contains(title, '参考文献') OR lower(title) = 'references' THEN 'references' WHEN contains(title, '关键词') THEN 'keywords' ELSE 'section' END AS chunk_type FROM sect""",
     "metadata_extract": """WITH y AS (SELECT doc_id, unnest(regexp_extract_all(concat_ws(chr(10), source || '_' || lang, array_to_string(string_split(text, chr(10))[1:120], chr(10))), '(?:19|20)\\d{2}'))::INTEGER AS y FROM documents),
 b AS (SELECT doc_id, y FROM (SELECT doc_id, y, count(*) AS n FROM y GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, y) = 1)
 SELECT d.doc_id, source AS paper_title, lang AS authors, b.y AS year FROM documents d LEFT JOIN b USING (doc_id)""",
