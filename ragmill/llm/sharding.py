@@ -40,14 +40,15 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, str]
     """Shards of equal row count cut from the Hilbert order of (first dim, second dim, text size).
 
     Returns doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, h, law ``rows``, shard, slot (gapless from 0), and
-    grown_shard (null under this law). String dims are quantised by the rank of their value, sizes by bit length. Order on
+    grown_shard (null under this law). String dims are quantised by the rank of their value over the whole range, sizes by bit length. Order on
     the curve: h, the two dims, bit length, CRC-32 of doc_id as text, doc_id, CRC-32 of the text. Row r of N is in shard
     floor(r * shards / N), so counts differ by one at most.
 
     No task sorts more than about ``group_rows`` rows of one cell: a cell is divided by ranges of the doc_id's CRC into as
     many groups as its count asks for; group sizes are summed into offsets (one row a group) and rows numbered in groups.
     Null texts have size 8 and CRC 0, null dims and null doc_ids count as empty strings in the order. Repeated rows are rows
-    like others; an empty table gives no row; extra columns are ignored.
+    like others; an empty table gives no row; extra columns are ignored. The distinct values of a dim and the groups of cells
+    are numbered in one task each, a narrow row a value or group: dims are meant for metadata of few values, not for urls.
     """
     text = F.coalesce("text", F.lit(""))
     narrow = materialize(
@@ -61,7 +62,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, str]
     every = Window.partitionBy()
     cells = narrow.groupBy(*key).agg(F.count("*").alias("n"))
     for i in range(2):
-        values = narrow.groupBy(f"d{i}").agg(F.count("*").alias("_n")).withColumn(f"r{i}", F.row_number().over(Window.orderBy(f"d{i}")) - 1).withColumn(f"x{i}", F.expr(f"cast(r{i} * {top + 1} div greatest(count(*) over (), {top + 1}) as int)"))
+        values = narrow.groupBy(f"d{i}").agg(F.count("*").alias("_n")).withColumn(f"r{i}", F.row_number().over(Window.orderBy(f"d{i}")) - 1).withColumn(f"x{i}", F.expr(f"cast(r{i} * {top + 1} div count(*) over () as int)"))
         cells = cells.join(values.select(f"d{i}", f"x{i}"), f"d{i}")
     cells = cells.withColumn("x2", F.least(F.col("b"), F.lit(top)).cast("int"))
     cells = materialize(_hilbert(cells, bits).select(*key, "h", F.expr(f"cast((n + {group_rows - 1}) div {group_rows} as int)").alias("parts")), "cells")
@@ -78,10 +79,24 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, str]
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **params) -> None:
-    """Writes ``docs`` (unique doc_id) as one folder a shard, rows in curve order, so that a filter on any dim reads few files."""
-    placed = hilbert_shards(docs, shards, **params).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 1, **params) -> None:
+    """Writes ``docs`` as one folder a shard, each of about ``files`` files in curve order, so that a filter on any dim reads few.
+
+    Rows are dealt to shards x files ranges of (shard, slot), so a task writes one file, not a shard; all rows are written,
+    also those with null or shared doc_ids. Rows of one doc_id, CRC and size are numbered on both sides of the join.
+    """
+    text, key = F.coalesce("text", F.lit("")), ["_i_9f3c", "_s_9f3c", "_c_9f3c", "_n_9f3c"]
+
+    def keyed(df: DataFrame, size, crc) -> DataFrame:
+        df = df.withColumns({key[0]: F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")), key[1]: size, key[2]: crc})
+        return df.withColumn(key[3], F.row_number().over(Window.partitionBy(*key[:3]).orderBy(F.lit(0))))
+
+    placed = hilbert_shards(docs, shards, **params).select("doc_id", "size", "text_crc32", F.col("shard").alias("_shard_9f3c"), F.col("slot").alias("_slot_9f3c"))
+    placed = keyed(placed, F.col("size"), F.col("text_crc32")).drop("doc_id", "size", "text_crc32")
+    rows = keyed(docs, (F.octet_length(text) + 8).cast("long"), F.crc32(text)).join(placed, key).drop(*key)
+    order = ["_shard_9f3c", "_slot_9f3c"]
+    out = rows.repartitionByRange(shards * files, *order).sortWithinPartitions(*order).drop("_slot_9f3c")
+    out.drop("shard").withColumnRenamed("_shard_9f3c", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +142,8 @@ narrow AS MATERIALIZED (
   SELECT doc_id, coalesce(lang, '') AS d0, coalesce(source, '') AS d1, (octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS size,
     length(bin((octet_length(encode(coalesce(text, ''))) + 8)::BIGINT)) AS b, ({crc32_sql("doc_id::VARCHAR")})::BIGINT AS c, ({crc32_sql("coalesce(text, '')")})::BIGINT AS text_crc32
   FROM documents, crc),
-v0 AS (SELECT d0, ((row_number() OVER (ORDER BY d0) - 1) * 32 // greatest(count(*) OVER (), 32))::INTEGER AS x0 FROM (SELECT DISTINCT d0 FROM narrow)),
-v1 AS (SELECT d1, ((row_number() OVER (ORDER BY d1) - 1) * 32 // greatest(count(*) OVER (), 32))::INTEGER AS x1 FROM (SELECT DISTINCT d1 FROM narrow)),
+v0 AS (SELECT d0, ((row_number() OVER (ORDER BY d0) - 1) * 32 // count(*) OVER ())::INTEGER AS x0 FROM (SELECT DISTINCT d0 FROM narrow)),
+v1 AS (SELECT d1, ((row_number() OVER (ORDER BY d1) - 1) * 32 // count(*) OVER ())::INTEGER AS x1 FROM (SELECT DISTINCT d1 FROM narrow)),
 x AS (SELECT d0, d1, b, x0, x1, least(b, 31)::INTEGER AS x2 FROM (SELECT DISTINCT d0, d1, b FROM narrow) JOIN v0 USING (d0) JOIN v1 USING (d1)),
 {_curve_sql()},
 ranked AS (

@@ -47,7 +47,7 @@ def brute(data, shards):
         size = len(s(r[1]).encode()) + 8
         b = size.bit_length()
         i = str(r[0]) if r[0] is not None else ""
-        x = (d0.index(s(r[2])) * 32 // max(len(d0), 32), d1.index(s(r[3])) * 32 // max(len(d1), 32), min(b, 31))
+        x = (d0.index(s(r[2])) * 32 // len(d0), d1.index(s(r[3])) * 32 // len(d1), min(b, 31))
         crc = zlib.crc32(s(r[1]).encode())
         keyed.append((hilbert(x), s(r[2]), s(r[3]), b, zlib.crc32(i.encode()), -1 if r[0] is None else r[0], crc, size))
     n = len(keyed)
@@ -75,3 +75,27 @@ def test_edges_and_files(spark, tmp_path):
     write_shards(docs, str(tmp_path / "out"), 6)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 6
+
+
+def test_written_rows_and_pruning(spark, tmp_path):
+    """Null and shared ids are written; filters on a dim need few of the files by their statistics."""
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    data = [(i % 300, "x" * (1 << i % 12), ["en", "de", "fr", "es"][i * 7 % 4], f"s{i * 13 % 32:02}", "", "") for i in range(2000)] + [(None, "a", "en", "s01", "", ""), (5, None, None, None, None, None)]
+    docs = spark.createDataFrame(data, SCHEMA).drop("shard")
+    write_shards(docs, str(tmp_path / "out"), 8, files=4)
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == Counter(r[:4] for r in data)
+    stats = []
+    for f in pathlib.Path(tmp_path, "out").rglob("*.parquet"):
+        meta = pq.read_metadata(f)
+        columns = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+        stats.append({c: meta.row_group(0).column(columns[c]).statistics for c in ("lang", "source")})
+    assert len(stats) > 20
+    shares = []
+    for column, values in (("lang", ("en", "de", "fr", "es")), ("source", ("s03", "s11", "s19", "s27"))):
+        for value in values:
+            hit = [s[column].has_min_max and s[column].min <= value <= s[column].max for s in stats]
+            shares.append(sum(hit) / len(hit))
+    assert min(shares) > 0 and sum(shares) / len(shares) <= 0.7, shares  # unsorted files would all be read
