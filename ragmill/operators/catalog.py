@@ -129,5 +129,15 @@ def audit_auxiliary(auxiliary: DataFrame) -> DataFrame:
     return auxiliary.rollup("doc_id").agg(F.count_if(F.col("chunk_type") == "table").alias("n_tables"), F.count_if(F.col("chunk_type") == "figure_caption").alias("n_captions"), F.round(F.avg(F.length("text")), 4).alias("mean_length"))
 
 
+def audit_lines(audit: DataFrame) -> F.Column:
+    """A row of the audit as a line of a Markdown table."""
+    return F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in audit.columns)), " | "), F.lit(" |"))
+
+
 def write_audit(audit: DataFrame, path: str) -> None:
-    audit.write.mode("overwrite").option("header", True).csv(path)
+    """The audit as CSV, as JSON lines and as a Markdown table, in folders of ``path``."""
+    audit.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    audit.write.mode("overwrite").json(f"{path}/json")
+    head = audit.sparkSession.createDataFrame([(0, f"| {' | '.join(audit.columns)} |"), (1, f"|{'---|' * len(audit.columns)}")], "n long, line string")
+    body = audit.select(F.lit(2).cast("long").alias("n"), audit_lines(audit).alias("line"))
+    head.unionByName(body).repartitionByRange(1, "n").sortWithinPartitions("n", "line").select("line").write.mode("overwrite").text(f"{path}/markdown")

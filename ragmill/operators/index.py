@@ -86,6 +86,11 @@ def sanitize(text: F.Column, most: int = 1000) -> F.Column:
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, "[\\x00-\\x1f\\x7f�]", " "), "\\s+", " ")), 1, most)
 
 
+def preview(text: F.Column) -> F.Column:
+    """Text made safe for a report: control characters but tab and line ends go."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]", "")
+
+
 def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 32) -> tuple[DataFrame, DataFrame]:
     """Vectors by a user's model, and the quarantine of chunks it failed on.
 

@@ -109,6 +109,10 @@ def read_traces(spark: SparkSession, folder: str) -> DataFrame:
     return t.withColumn("date", F.regexp_extract(F.col("_metadata.file_path"), "/(\\d{4}-\\d{2}-\\d{2})/[^/]*$", 1))
 
 
-def write_traces(traces: DataFrame, path: str) -> None:
-    """Traces as JSON in folders by the day they began."""
+def write_traces(traces: DataFrame, path: str, index: str | None = None) -> None:
+    """Traces as JSON in folders by the day they began; with ``index`` also one row a trace there, as JSON lines."""
     traces.withColumn("date", F.to_date("start_time")).write.mode("append").partitionBy("date").json(path)
+    if index:
+        from ragmill.operators.traces import trace_index
+
+        trace_index(traces).write.mode("append").json(index)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -26,27 +27,43 @@ def merge_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def _log(spark: SparkSession, table: str, before: int) -> DataFrame | None:
+    """What the batches before a number wrote, with their version; None before the first."""
+    try:
+        log = spark.read.parquet(table)
+    except AnalysisException:  # nothing was written yet
+        return None
+    return log.where(F.col("version") < before)
+
+
 def ingest_stream(chunks: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps versions of a chunk table under ``table`` as chunks arrive; a batch is written to its own version, so a repeat is harmless."""
+    """Keeps a log of chunks(doc_id, content_hash, …) under ``table`` as they arrive.
+
+    A batch writes only its new and changed documents, to a folder of its own that a repeat of the batch replaces; documents
+    whose newest content is known are skipped. ``read_version`` gives the chunk table with what was replaced as deleted.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        now = read_version(spark, table, batch_id - 1)
-        out = merge_documents(now, batch) if now is not None else batch.withColumn("status", F.lit("active"))
-        out.write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        log = _log(batch.sparkSession, table, batch_id)
+        new = batch
+        if log is not None:
+            ids = batch.select("doc_id").distinct()
+            have = log.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("content_hash", F.struct("version", "content_hash")).alias("_have"))
+            first = batch.groupBy("doc_id").agg(F.max("content_hash").alias("_hash"))
+            known = first.join(have, "doc_id").where("_hash = _have").select("doc_id")
+            new = batch.join(known, "doc_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{table}/version={batch_id}")
 
     return chunks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_version(spark: SparkSession, table: str, version: int) -> DataFrame | None:
-    """One version of the table, the newest up to ``version``; None if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    while version >= 0:
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/version={version}")):
-            return spark.read.parquet(f"{table}/version={version}")
-        version -= 1
-    return None
+    """The chunk table after a batch: all chunks with status active, or deleted where a later batch replaced their document."""
+    log = _log(spark, table, version + 1)
+    if log is None:
+        return None
+    last = log.groupBy("doc_id").agg(F.max("version").alias("_last"))
+    return log.join(last, "doc_id").withColumn("status", F.when(F.col("version") < F.col("_last"), "deleted").otherwise("active")).drop("_last", "version")
 
 
 class SessionState(StatefulProcessor):
@@ -95,7 +112,7 @@ def session_stream(messages: DataFrame, action: str = ACTION, constraint: str =
 def memory_stream(messages: DataFrame, lateness: str = "1 day", signals: dict = SIGNALS) -> DataFrame:
     """A stream of memory candidates of user messages, each content of a user once within the watermark.
 
-    A turn's sentences are scored row by row; the limit of two a turn is left to the merge, as streams have no ranking windows.
+    A turn's sentences are scored row by row and all that count are kept; ``memory_job`` keeps the best two of a turn.
     """
     from ragmill.operators.memory import PREFIXES, score_importance
 
@@ -103,3 +120,21 @@ def memory_stream(messages: DataFrame, lateness: str = "1 day", signals: dict =
     s = score_importance(s.withColumn("content", F.trim("content")).where(F.length("content") >= 6), "content", signals).where("importance > 0")
     prefix = F.coalesce(*(F.when(F.array_contains("tags", t), p) for t, p in PREFIXES.items()), F.lit("记忆："))
     return s.withColumn("content", F.concat(prefix, F.regexp_replace("content", "[。！？!?. ]+$", ""))).dropDuplicatesWithinWatermark(["user_id", "content"])
+
+
+def memory_job(messages: DataFrame, table: str, checkpoint: str, most: int = 2, signals: dict = SIGNALS) -> StreamingQuery:
+    """Appends the best ``most`` memory candidates of each user turn to ``table``, each content of a user once.
+
+    A turn is a row of messages(user_id, session_id, message_id, role, content). Each batch is ranked by turn and held against
+    what is there already by an anti-join; its own folder is replaced if the batch is repeated.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        turns = batch.where("role = 'user'").select(F.concat_ws("-", "session_id", "message_id").alias("turn_id"), "user_id", "content")
+        found = extract_candidates(turns, most, signals).dropDuplicates(["user_id", "content"])
+        log = _log(batch.sparkSession, table, batch_id)
+        if log is not None:
+            found = found.join(log.select("user_id", "content").distinct(), ["user_id", "content"], "left_anti")
+        found.select("turn_id", "user_id", "content", "importance", "confidence", "memory_type", "tags").write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+
+    return messages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

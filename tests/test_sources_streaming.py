@@ -86,6 +86,41 @@ def test_ingest_stream(spark, tmp_path):
     assert {(r.chunk_id, r.text, r.status) for r in now.collect()} == {("1", "x", "active"), ("2", "y", "deleted"), ("3", "new", "active"), ("4", "z", "active")}
 
 
+def test_ingest_stream_writes_changes_only(spark, tmp_path):
+    schema = "chunk_id string, doc_id string, content_hash string, text string"
+    src, table = str(tmp_path / "in"), f"file://{tmp_path}/table"
+    assert X.read_version(spark, table, 3) is None
+    for batch in ([(str(i), str(i), "h", "x") for i in range(50)], [("7", "7", "h", "x"), ("60", "7", "k", "y"), ("8", "8", "h", "again")], [("61", "7", "k", "y")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        X.ingest_stream(spark.readStream.schema(schema).parquet(src), table, str(tmp_path / "cp")).awaitTermination()
+    written = {r.version: r.n for r in spark.read.parquet(table).groupBy("version").agg(F.count("*").alias("n")).collect()}
+    assert written == {0: 50, 1: 2}
+    assert {(r.chunk_id, r.status) for r in X.read_version(spark, table, 2).where("doc_id = '7'").collect()} == {("7", "deleted"), ("7", "active"), ("60", "active")}
+
+
+def test_memory_job(spark, tmp_path):
+    df, stream = stream_messages(spark, tmp_path)
+    table = f"file://{tmp_path}/memories"
+    X.memory_job(stream, table, str(tmp_path / "cp3")).awaitTermination()
+    got = [(r.user_id, r.content) for r in spark.read.parquet(table).collect()]
+    assert len(got) == len(set(got)) and ("u", "用户偏好：以后默认用中文回答") in got
+    df.coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    X.memory_job(stream, table, str(tmp_path / "cp3")).awaitTermination()
+    assert sorted((r.user_id, r.content) for r in spark.read.parquet(table).collect()) == sorted(got)
+
+
+def test_report_outputs(spark, tmp_path):
+    from ragmill.operators import catalog as C
+    from ragmill.operators.index import preview
+
+    audit = spark.createDataFrame([("a", 1), (None, 2)], "doc_id string, n int")
+    C.write_audit(audit, str(tmp_path / "audit"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "audit" / "markdown")).collect()]
+    assert lines == ["| doc_id | n |", "|---|---|", "|  | 2 |", "| a | 1 |"]
+    assert spark.read.json(str(tmp_path / "audit" / "json")).count() == 2
+    assert spark.range(1).select(preview(F.lit("a\x00b\tc\x85d")).alias("p")).first().p == "ab\tcd"
+
+
 def stream_messages(spark, tmp_path):
     t = lambda i: dt.datetime(2024, 1, 1, 0, i)
     rows = [("s", 0, "user", "请修改代码 不要删除文件", t(0), "u"), ("s", 1, "assistant", "好", t(1), "u"), ("s", 2, "user", "以后默认用中文回答。不要删除文件", t(2), "u"), ("t", 3, "user", "以后默认用中文回答", t(3), "u"), ("t", 4, "user", "部署它", t(4), "u")]
