@@ -19,6 +19,7 @@ SENSITIVE = "(?i)(api[_ ]?key|token|密码|password|secret|身份证|银行卡|
 TRANSIENT = "(?i)(报错了|报错|error|failed|临时|这次|刚才|debug|stacktrace|traceback|exception)"
 SIGNALS = {"preference": PREFERENCE, "language": LANGUAGE, "project": PROJECT, "workflow": REUSE, "constraint": NEGATIVE, "sensitive": SENSITIVE, "transient": TRANSIENT}
 WEIGHTS = {"preference": 0.55, "language": 0.25, "project": 0.25, "workflow": 0.20, "constraint": 0.20, "sensitive": -0.70, "transient": -0.40}
+#: Display texts of reasons and prefixes.
 REASONS = {"preference": "明确偏好表达", "language": "持续语言偏好", "project": "项目事实", "workflow": "可复用流程", "constraint": "明确约束", "sensitive": "疑似敏感信息", "transient": "疑似临时信息"}
 PREFIXES = {"preference": "用户偏好：", "project": "项目事实：", "workflow": "工作流程：", "constraint": "约束："}
 ACTION = "(实现|修改|检查|继续|下一步|按照文档|编写|创建|新增|删除|重构|优化|修复|部署)"

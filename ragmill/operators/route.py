@@ -18,48 +18,54 @@ RULES = {
     "domain": ("火灾", "消防", "烟气", "烟雾", "浓烟", "火焰", "燃烧", "疏散", "排烟", "森林火", "隧道", "防火", "灭火", "火警"),
     "harmful": ("纵火", "制造火灾", "规避消防", "绕过报警", "破坏灭火", "如何放火", "怎么纵火"),
 }
-PREFERENCE = "(以后|默认|始终|一律|统一|全部|都).{0,30}(笔记|回答|输出|语言|中文|英文|格式)"
-MEMORY = "(笔记|回答|输出|标题|格式|语言).{0,20}(应该|需要|用什么|怎么|如何|是什么)"
+#: Patterns that count as words of a list do.
+PATTERNS = {
+    "preference": "(以后|默认|始终|一律|统一|全部|都).{0,30}(笔记|回答|输出|语言|中文|英文|格式)",
+    "memory": "(笔记|回答|输出|标题|格式|语言).{0,20}(应该|需要|用什么|怎么|如何|是什么)",
+}
+#: The guardrails in order, as list of words, route and what it needs.
+GUARDRAILS = (
+    ("history", "chat", "history_query", ()),
+    ("preference", "chat", "preference_write", ("memory",)),
+    ("memory", "chat", "memory_query", ("memory",)),
+    ("harmful", "reject", "harmful_fire_request", ()),
+    ("chat", "chat", "greeting", ()),
+    ("emergency", "emergency", "emergency_escape", ("rag", "safety")),
+)
+#: Fixed value: a greeting is no longer than this.
+GREETING = 30
 ROUTE = "struct<intent:string,sub_intent:string,need_rag:boolean,need_memory:boolean,need_safety_notice:boolean,source:string>"
 
 
-def is_history(q: F.Column, rules: dict = RULES) -> F.Column:
-    return contains_any(q, rules["history"])
-
-
-def is_memory(q: F.Column, rules: dict = RULES) -> F.Column:
-    return contains_any(q, rules["memory"]) | q.rlike(MEMORY)
-
-
-def is_preference(q: F.Column, rules: dict = RULES) -> F.Column:
-    return contains_any(q, rules["preference"]) | q.rlike(PREFERENCE)
+def _row(intent: str, sub: str, source: str, needs: tuple[str, ...] = ()) -> F.Column:
+    flags = {"need_rag": "rag", "need_memory": "memory", "need_safety_notice": "safety"}
+    return F.struct(F.lit(intent).alias("intent"), F.lit(sub).alias("sub_intent"), *(F.lit(n in needs).alias(f) for f, n in flags.items()), F.lit(source).alias("source"))
 
 
-def _row(intent: str, sub: str, source: str, rag: bool = False, memory: bool = False, safety: bool = False) -> F.Column:
-    values = zip(("intent", "sub_intent", "need_rag", "need_memory", "need_safety_notice", "source"), (intent, sub, rag, memory, safety, source))
-    return F.struct(*(F.lit(v).alias(n) for n, v in values))
+def _applies(q: F.Column, name: str, rules: dict) -> F.Column:
+    """Whether a question holds a word or the pattern of a list; greetings must be short, emergencies also of the domain."""
+    if name == "chat":
+        low = F.lower(F.trim(q))
+        return contains_any(low, rules[name]) & (F.length(low) <= GREETING)
+    found = contains_any(q, rules[name])
+    if name in PATTERNS:
+        found = found | q.rlike(PATTERNS[name])
+    return found & contains_any(q, rules["domain"]) if name == "emergency" else found
 
 
 def guardrails(q: F.Column, rules: dict = RULES, source: str = "hard_rule") -> F.Column:
-    """A route where one of the certain rules applies, in their order, else null."""
-    low = F.lower(F.trim(q))
-    any_ = lambda name: contains_any(q, rules[name])
-    return (
-        F.when(F.coalesce(low, F.lit("")) == "", _row("chat", "empty_input", source))
-        .when(is_history(q, rules), _row("chat", "history_query", source))
-        .when(is_preference(q, rules), _row("chat", "preference_write", source, memory=True))
-        .when(is_memory(q, rules), _row("chat", "memory_query", source, memory=True))
-        .when(any_("harmful"), _row("reject", "harmful_fire_request", source))
-        .when(contains_any(low, rules["chat"]) & (F.length(low) <= 30), _row("chat", "greeting", source))
-        .when(any_("emergency") & any_("domain"), _row("emergency", "emergency_escape", source, rag=True, safety=True))
-    )
+    """A route where one of the certain rules applies, in their order, else null; an empty question is small talk."""
+    out = F.when(F.coalesce(F.trim(q), F.lit("")) == "", _row("chat", "empty_input", source))
+    for name, intent, sub, needs in GUARDRAILS:
+        out = out.when(_applies(q, name, rules), _row(intent, sub, source, needs))
+    return out
 
 
 def route_rules(q: F.Column, rules: dict = RULES) -> F.Column:
     """Guardrails, then papers and the domain; anything else is out of it."""
     domain = contains_any(q, rules["domain"])
     s = "fallback_rule"
-    rest = F.when(contains_any(q, rules["paper"]) & domain, _row("paper", "paper_summary", s, rag=True)).when(domain, _row("rag", "knowledge_qa", s, rag=True)).otherwise(_row("reject", "out_of_domain", s))
+    rest = F.when(contains_any(q, rules["paper"]) & domain, _row("paper", "paper_summary", s, ("rag",))).when(domain, _row("rag", "knowledge_qa", s, ("rag",))).otherwise(_row("reject", "out_of_domain", s))
     return F.coalesce(guardrails(q, rules, s), rest)
 
 
