@@ -102,3 +102,25 @@ def test_empty(spark):
     assert contaminated(docs, items).count() == 0
     docs, items = frames(spark, [(1, "some benchmark text")], [])
     assert contaminated(docs, items).count() == 0 and drop_contaminated(docs, items).count() == 1
+
+
+def test_short_and_long_items_and_blocks(spark, monkeypatch):
+    """Items without a q-gram by equality; a very long one within its bounded budget; the same rows from many scans; null ids by their text."""
+    rnd = random.Random(11)
+    long = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(40_000))
+    assert len(long) > 200_000 and budget(len(long)) == decontam.MAX_EDITS
+    changed = list(long)
+    for i in range(100):
+        changed[2_000 * (i + 1)] = "z"
+    items = [(1, "Yes!"), (2, "yes"), (3, long)]
+    docs = [(1, " yes. "), (2, "yes sir"), (3, "start " + "".join(changed) + " end"), (None, "YES"), (4, None), (4, "clean text of this row")]
+    d, b = frames(spark, docs, items)
+    got = sorted((r.doc_id or 0, r.item_id, r.edits, r.start) for r in contaminated(d, b).collect())
+    assert [(i, k) for i, k, _, _ in got] == [(0, 1), (0, 2), (1, 1), (1, 2), (3, 3)] and got[-1][2] <= 100 and got[-1][3] == 6
+    assert sorted((r.doc_id or 0, r.text or "") for r in drop_contaminated(d, b).collect()) == [(2, "yes sir"), (4, ""), (4, "clean text of this row")]
+    docs, items = sample()
+    d, b = frames(spark, docs, items)
+    want = sorted(map(tuple, contaminated(d, b).collect()), key=repr)
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(decontam, "MAX_BLOCKS", 2)
+    assert sorted(map(tuple, contaminated(d, b).collect()), key=repr) == want and want

@@ -63,3 +63,20 @@ def test_edges(spark):
     assert len(got) == 6 and {r.lang_pred for r in got if r.doc_id in (1, 2, 4)} == {"und"}
     none = predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), profiles(spark.createDataFrame([], "doc_id long, text string, lang string")))
     assert [tuple(r) for r in none.collect()] == [(1, "und", 0.0)]
+
+
+def test_long_texts_and_many_grams(spark, monkeypatch):
+    """Grams of a text are the same from slices of any size; sums of a batch are the same if they are passed on early."""
+    from ragmill.llm import langid
+
+    text = "Ünïcode wörds, and más letras " * 60_000
+    assert len(text) > 1_500_000
+    whole = {decode(int(a)): int(b) for a, b in zip(*ngrams(text))}
+    assert whole == dict(brute_grams(text))
+    monkeypatch.setattr(langid, "STARTS", 7)
+    small = "Ünïcode wörds, and más letras 語言 " * 5
+    assert {decode(int(a)): int(b) for a, b in zip(*ngrams(small))} == dict(brute_grams(small))
+    docs = spark.createDataFrame([(i, f"{w} {w}er {w}ing", lang) for i, (w, lang) in enumerate([("haus", "de"), ("house", "en"), ("maison", "fr")] * 20)], "doc_id long, text string, lang string")
+    want = sorted(map(tuple, profiles(docs).collect()))
+    monkeypatch.setattr(langid, "HELD", 5)
+    assert sorted(map(tuple, profiles(docs).collect())) == want and want
