@@ -66,7 +66,7 @@ def rolling_summary(spark, sf):
 
 def context_fit(spark, sf):
     s = messages(spark, sf).select("session_id", F.col("message_id").alias("pos"), F.col("role").alias("title"), F.col("content").alias("body"))
-    return M.fit_sections(s, 1500).select("session_id", F.length("text").alias("n"), "truncated")
+    return M.fit_sections(s, 1500)
 
 
 def importance(spark, sf):
@@ -159,6 +159,11 @@ d1 AS (SELECT session_id, r, i, {CLIP.format('d', 100)} AS d FROM d0 WHERE d <>
 d AS (SELECT session_id, list(d ORDER BY r DESC, i) AS ds FROM d1 GROUP BY 1),
 t AS (SELECT o.session_id, concat_ws(chr(10), CASE WHEN len(qs) > 0 THEN '最初目标：' || {CLIP.format('qs[1]', 80)} END, CASE WHEN len(qs) > 1 THEN '历史问题：' || array_to_string(list_transform(qs[2:][-8:], lambda x: {CLIP.format('x', 60)}), '；') END, CASE WHEN len(ds) > 0 THEN '关键决定：' || array_to_string(ds[-5:], '；') END) AS s FROM (SELECT DISTINCT session_id FROM old) o LEFT JOIN q USING (session_id) LEFT JOIN d USING (session_id))
 SELECT session_id, {CLIP.format('s', 400)} AS summary FROM t""",
+    "context_fit": """WITH b AS (SELECT conv_id AS session_id, turn AS pos, '# ' || role || chr(10) || trim(text, ' ') || chr(10) AS block FROM conversations WHERE trim(text, ' ') <> ''),
+u AS (SELECT *, sum(length(block)) OVER w AS upto FROM b WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT *, sum((upto > 1500)::INTEGER) OVER (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS over, 1500 - (upto - length(block)) AS left_over FROM u),
+p AS (SELECT session_id, pos, over, CASE WHEN over = 0 THEN block WHEN over = 1 AND left_over > 200 THEN rtrim(substr(block, 1, left_over::BIGINT), ' ') || chr(10) || '[已截断]' || chr(10) END AS block FROM o)
+SELECT session_id, trim(regexp_replace(coalesce(string_agg(block, chr(10) ORDER BY pos), ''), '^\\s+|\\s+$', '', 'g'), ' ') AS text, max(over) > 0 AS truncated FROM p GROUP BY 1""",
     "importance": f"WITH {MSG} SELECT session_id, message_id, {_importance('content')} FROM m",
     "memory_candidates": f"""WITH {MSG}, x AS (SELECT session_id || '-' || message_id AS turn_id, unnest(range(len(ss)))::INTEGER AS sentence_no, trim(unnest(ss)) AS s FROM (SELECT *, string_split_regex(content, '[。！？!?\\n；;]') AS ss FROM m WHERE role = 'user')),
 y AS (SELECT turn_id, sentence_no, s, {_importance('s')} FROM x WHERE length(s) >= 6)
