@@ -303,7 +303,7 @@ def _joined(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return a.join(b.withColumnsRenamed({k: f"_{k}" for k in by}), same, "left").drop(*(f"_{k}" for k in by))
 
 
-def _share(p: float) -> F.Column:
+def _place(p: float) -> F.Column:
     """The place round((total - 1) p), halves to even."""
     return F.bround((F.col("total") - 1) * F.lit(p), 0)
 
@@ -312,7 +312,7 @@ def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, mean, p50, p90 and p95 by group, each percentile the value at index round((n - 1) p), halves to even; nulls are left out."""
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     mean = c.groupBy(*by).agg(F.sum("n").alias("n"), F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 6).alias("mean"))
-    return _joined(mean, _places(c, value, by, {f"p{p}": _share(p / 100) for p in (50, 90, 95)}), by)
+    return _joined(mean, _places(c, value, by, {f"p{p}": _place(p / 100) for p in (50, 90, 95)}), by)
 
 
 def grouped_accuracy(rows: DataFrame, keys: tuple[str, str] = ("source", "source_intent")) -> DataFrame:
@@ -343,5 +343,5 @@ def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     ends = c.groupBy(*by).agg(F.sum("n").alias("n"), F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
     middle = {"_low": F.floor((F.col("total") - 1) / 2), "_high": F.floor(F.col("total") / 2)}
-    out = _joined(ends, _places(c, value, by, middle | {f"p{p}": _share(p / 100) for p in (10, 25, 75, 90, 95)}), by)
+    out = _joined(ends, _places(c, value, by, middle | {f"p{p}": _place(p / 100) for p in (10, 25, 75, 90, 95)}), by)
     return out.select(*by, "n", "mean", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "least", "most", "p10", "p25", "p75", "p90", "p95")
