@@ -7,10 +7,13 @@ from ragmill.llm.embedding import EMBEDDING_SQL, op8_embedding
 from ragmill.llm.langid import LANGID_SQL, op10_langid
 from ragmill.llm.linededup import LINEDEDUP_SQL, op9_linededup
 from ragmill.llm.pieces import op4_sentencepiece
+from ragmill.llm.prefixtrie import PREFIXTRIE_SQL, op12_prefixtrie
 from ragmill.llm.sharding import SHARDING_SQL, op5_hilbert
 from ragmill.llm.simhash import op2_simhash
+from ragmill.llm.spelling import SPELLING_SQL, op11_spelling
 from ragmill.llm.substring import SUBSTRING_SQL, op1_substring
 from ragmill.llm.toxicity import op6_toxicity
+from ragmill.llm.urlfilter import URLFILTER_SQL, op13_urlfilter
 from ragmill.llm.warc import WARC_SQL, op7_warc
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op9_linededup": op9_linededup,
     "op10_langid": op10_langid,
     "op2_simhash": op2_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_prefixtrie": op12_prefixtrie,
+    "op13_urlfilter": op13_urlfilter,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -33,4 +39,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_hilbert": SHARDING_SQL,
     "op7_warc": WARC_SQL,
     "op8_embedding": EMBEDDING_SQL,
+    "op11_spelling": SPELLING_SQL,
+    "op12_prefixtrie": PREFIXTRIE_SQL,
+    "op13_urlfilter": URLFILTER_SQL,
 }
