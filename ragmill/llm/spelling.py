@@ -24,6 +24,8 @@ SHARE = 0.001
 MAX_GRAMS = 100_000
 PIECE = 1 << 20
 HELD = 300_000
+#: Longer words go through the index by their digests.
+NAME_CHARS = 64
 #: Runs that can become words; shorter ones can't, so they are passed over.
 RUN = re.compile("[a-zÀ-ÿ]{%d,}" % MIN_CHARS)
 NOT_RUN = re.compile("[^A-Za-zÀ-ÿ]")
@@ -163,7 +165,8 @@ def near_words(words: DataFrame, share: float = SHARE) -> DataFrame:
 
     The index lists words under pairs of grams (see ``Grams.listed``); each word merges the lists that its own affected-gram
     bound leaves (see ``Grams.merged``), for words as long as itself or longer by one. Members are verified by edit distance.
-    Any gram dictionary gives the same pairs. A list's members share begin and end but for a few code points.
+    Any gram dictionary gives the same pairs. A list's members share begin and end but for a few code points. Words of more
+    than NAME_CHARS go by a digest until they are verified, so that a word is not written once for each of its lists.
     """
     shared = words.sparkSession.sparkContext.broadcast(gram_dictionary(words, share))
 
@@ -177,23 +180,33 @@ def near_words(words: DataFrame, share: float = SHARE) -> DataFrame:
             return out
 
         for b in batches:
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                grams = Grams(word, shared.value)
+            for word, n, name in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                grams = Grams(word.as_py(), shared.value)
                 for asks, keys in ((False, grams.listed()), (True, grams.merged())):
                     rows[0].extend(keys)
-                    for column, value in zip(rows[1:], (asks, word, n)):
+                    for column, value in zip(rows[1:], (asks, name, n)):
                         column.extend([value] * len(keys))
                 if len(rows[0]) > 1 << 16:
                     yield flush()
         if rows[0]:
             yield flush()
 
-    keys = materialize(words.select("word", "n").mapInArrow(tidy(run), "key long, asks boolean, word string, n long"), "gramlists")
-    asking, listed = keys.where("asks").drop("asks"), keys.where("not asks").select("key", F.col("word").alias("other"), F.col("n").alias("m"))
-    one = (F.length("word") < F.length("other")) | (F.col("word") < F.col("other"))
-    found = asking.join(listed, "key").where(one & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "m").distinct()
-    found = materialize(found, "near")
-    return found.unionByName(found.select(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m")))
+    long, digest = F.length("word") > NAME_CHARS, F.concat(F.lit("#"), F.sha2("word", 256))
+    named = words.select("word", "n", F.when(long, digest).otherwise(F.col("word")).alias("name"))
+    keys = materialize(named.mapInArrow(tidy(run), "key long, asks boolean, name string, n long"), "gramlists")
+    asking = keys.where("asks").select("key", F.struct("name", "n").alias("a"))
+    listed = keys.where("not asks").select("key", F.struct("name", "n").alias("b"))
+    x, y = F.col("a.name"), F.col("b.name")
+    near = F.when(x.startswith("#") | y.startswith("#"), x != y).otherwise(((F.length(x) < F.length(y)) | (x < y)) & (F.levenshtein(x, y, 1) == 1))
+    found = materialize(asking.join(listed, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    told = named.where(long)
+    for side in "ab":
+        of = told.select(F.col("name").alias(f"{side}_name"), F.col("word").alias(f"{side}_long"))
+        found = found.withColumn(f"{side}_name", F.col(side)["name"]).join(of, f"{side}_name", "left").withColumn(f"{side}_word", F.coalesce(f"{side}_long", f"{side}_name"))
+    is_long = F.col("a_long").isNotNull() | F.col("b_long").isNotNull()
+    found = found.where(~is_long | (F.levenshtein("a_word", "b_word", 1) == 1))
+    both = (found.select(F.col(f"{x}_word").alias("word"), F.col(x)["n"].alias("n"), F.col(f"{y}_word").alias("other"), F.col(y)["n"].alias("m")) for x, y in ("ab", "ba"))
+    return next(both).unionByName(next(both))
 
 
 def _roots(forms: DataFrame) -> DataFrame:

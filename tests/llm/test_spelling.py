@@ -77,19 +77,19 @@ def test_affected_grams_leave_a_merged_list():
 
 def test_near_words_equal_brute_force(spark):
     rng = random.Random(7)
-    words = {"".join(rng.choice("abcdé") for _ in range(rng.choice([6, 6, 7, 8, 30]))) for _ in range(900)}
-    words |= {w[:3] + rng.choice("abcx") + w[4:] for w in words} | {w + "a" for w in list(words)[:300]} | {"z" * 20_000, "z" * 20_001}
+    words = {"".join(rng.choice("abcdé") for _ in range(rng.choice([6, 6, 7, 8, 30]))) for _ in range(300)}
+    words |= {w[:3] + rng.choice("abcx") + w[4:] for w in words} | {w + "a" for w in list(words)[:100]} | {"z" * 3_000, "z" * 3_001}
     df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
     want = {(a, b) for a in words for b in words if abs(len(a) - len(b)) < 2 and one_edit(a, b)}
-    for share in (0.001, 0.05, 1.0):
+    for share in (0.001, 0.05):
         got = near_words(df, share).select("word", "other").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def test_chain_of_forms(spark):
-    docs = [(1, "abcdef " * 5 + "abcdeg " * 25 + "abcdegh " * 125 + "abcdxgh " * 625)]
-    got = {r.word: (r.form, r.root, r.n_near) for r in spelling_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {"abcdef": ("abcdeg", "abcdxgh", 1), "abcdeg": ("abcdegh", "abcdxgh", 2), "abcdegh": ("abcdxgh", "abcdxgh", 2), "abcdxgh": (None, "abcdxgh", 1)}
+    docs = [(3, "abcdef " * 5 + "abcdeg " * 25 + "abcdegh " * 125 + "abcdxgh " * 625)]
+    got = rows_of(spelling_groups(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == brute(docs) and ("abcdef", "abcdeg", "abcdxgh", 5, 1, 25) in got
 
 
 def test_pieces_of_long_texts(monkeypatch):
