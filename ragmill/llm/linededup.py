@@ -69,8 +69,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, words: int = WORDS) ->
     return joined.join(materialize(first, "first"), ["k1", "k2"]).where(at != F.col("f")).select("doc_id", "d", "start", "size")
 
 
-def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, words: int = WORDS) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from ``text``; adds n_lines and n_deleted, in place of any such columns.
+def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, words: int = WORDS, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """``docs`` with later repeated runs of lines deleted from ``text``; adds two counts of lines, in place of columns of their names.
 
     A line goes exactly if it lies in a run of ``window`` lines or ``words`` words, or more, that also occurs at an earlier
     (doc_id, text digest, line); of a text that is shorter than both, all lines go if an earlier text is the same. Overlapping
@@ -85,12 +85,13 @@ def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, words: int = WORDS
     pieces = F.zip_with(pos, before, lambda p, b: F.when(p.isNotNull(), F.concat(F.repeat(F.lit("k"), p - b - 1), F.lit("d"))))
     gone = materialize(found.select("doc_id", d, F.array_join(pieces, "").alias(mask)), "gone")
     # a written table of masks may be far larger in memory than on disk: never broadcast by its file size
-    out = docs.drop("n_lines", "n_deleted").withColumn(d, F.xxhash64("text")).join(gone.hint("merge"), ["doc_id", d], "left")
-    whole = F.rpad(F.col(mask), F.col("n_lines"), F.lit("k"))
+    n_lines, n_deleted = counts
+    out = docs.drop(*counts).withColumn(d, F.xxhash64("text")).join(gone.hint("merge"), ["doc_id", d], "left")
+    whole = F.rpad(F.col(mask), F.col(n_lines), F.lit("k"))
     kept = F.array_join(F.zip_with(_lines("text"), F.split(whole, ""), lambda x, m: F.when(m == "k", x)), "\n")
     deleted = F.coalesce(F.length(mask) - F.length(F.replace(mask, F.lit("d"))), F.lit(0))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines("text")))).withColumn("n_deleted", deleted)
-    return out.withColumn("text", F.when(F.col(mask).isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text"))).select(*(c for c in docs.columns if c not in ("n_lines", "n_deleted")), "n_lines", "n_deleted")
+    out = out.withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines("text")))).withColumn(n_deleted, deleted)
+    return out.withColumn("text", F.when(F.col(mask).isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text"))).select(*(c for c in docs.columns if c not in counts), *counts)
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_stages_by_brute_force(spark):
             left = dict(brute_runs(before))
             assert got == [(i, left[i]) for i, t in before if left[i] == t or left[i].replace("\n", "").strip(" ")]
             assert all(r.n_chars == len(r.text) for r in out.collect())
-        if name == "simhash":
+        if name == "near_dedup":
             assert got == brute_similar(before, 5)
         if name == "decontam":
             grams = lambda t: {t[i : i + 10] for i in range(len(t) - 9)}
@@ -73,5 +73,7 @@ def test_edges(spark):
         for name, stage in corpus_pipeline.STAGES:
             before, docs = docs, corpus_pipeline.materialize(stage(spark, docs, SF), "edge")
             assert name == "sentencepiece" or docs.columns == before.columns
+            if name != "sentencepiece":
+                assert {(r._n, r.lang_pred, r.d, r.n_lines) for r in docs.collect()} <= {(1, "x", 2, 3)}
         got = Counter(r.doc_id for r in docs.collect())
         assert got == (Counter({3: 1, 5: 1, None: 1}) if data else Counter())
