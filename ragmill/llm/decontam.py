@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ragmill.llm.common import tidy
+from ragmill.llm.common import materialize, tidy
 
 Q = 10
 RATE = 0.08
 BLOCK_CHARS = 1_000_000
 PIECE = 1_000_000
 TABLE_BITS = 23
-#: Most edits allowed for an item of any length; blocks searched in one scan; rows handled at once; cells aligned at once.
-MAX_EDITS = 400
+#: Blocks searched in one scan; matches counted at once; rows handled at once; cells aligned at once.
 MAX_BLOCKS = 8
+MATCHES = 1 << 20
 SLICE = 1_000
 CELLS = 8_000_000
 OUT = np.uint32(0xFFFFFFFF)
@@ -65,15 +65,31 @@ def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
     return out
 
 
-def budget(length: int, q: int = Q, rate: float = RATE) -> int:
-    """Edits allowed for an item: ``rate`` of its length, at most as many as the q-gram lemma can filter and MAX_EDITS; -1 if it is shorter than q."""
-    return min(int(rate * length), length // q - 1, MAX_EDITS)
+def budget(length: int, q: int = Q, rate: float = RATE, most: int | None = None) -> int:
+    """Edits allowed for an item: ``rate`` of its length, at most as many as the q-gram lemma can filter, and ``most`` if given; -1 if it is shorter than q."""
+    k = min(int(rate * length), length // q - 1)
+    return k if most is None else min(k, most)
+
+
+def _cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``most``; a row is never divided."""
+    edges = np.searchsorted(np.cumsum(sizes), np.arange(most, int(sizes.sum()), most), "right")
+    edges = np.unique(np.r_[0, edges, len(sizes)]).tolist()
+    yield from zip(edges[:-1], edges[1:])
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all parts, and the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
 
 
 class Index:
     """The q-grams of benchmark items, sorted, with their items and positions: 16 bytes a q-gram; items without one by their text."""
 
-    def __init__(self, items: list[tuple[object, str | None]], q: int = Q, rate: float = RATE):
+    def __init__(self, items: list[tuple[object, str | None]], q: int = Q, rate: float = RATE, most: int | None = None):
         self.q = q
         folded = [(item_id, normalise(text)[0]) for item_id, text in items]
         long = [x for x in folded if len(x[1]) >= q]
@@ -83,12 +99,18 @@ class Index:
         for n, (_, c) in enumerate(short, len(long)):
             self.short.setdefault(c.tobytes(), []).append(n)
         self.sizes = np.array([len(c) for c in self.chars], np.int64)
-        self.edits = np.array([budget(n, q, rate) for n in self.sizes.tolist()], np.int64)
+        self.edits = np.array([budget(n, q, rate, most) for n in self.sizes.tolist()], np.int64)
         every = np.concatenate([np.zeros(0, np.uint64), *(gram_hashes(c, q) for c in self.chars)])
         item = np.repeat(np.arange(len(self.chars), dtype=np.int32), self.sizes - q + 1)
         place = np.concatenate([np.zeros(0, np.int32), *(np.arange(n - q + 1, dtype=np.int32) for n in self.sizes.tolist())])
         order = np.argsort(every, kind="stable")
-        self.grams, self.item, self.place = every[order], item[order], place[order]
+        self.grams, item, place = every[order], item[order], place[order].astype(np.int64)
+        new = np.r_[True, (self.grams[1:] != self.grams[:-1]) | (item[1:] != item[:-1])][: len(item)]
+        # a run: the places of one gram in one item, in order
+        start = np.flatnonzero(new)
+        self.run_gram, self.run_item = self.grams[start], item[start].astype(np.int64)
+        self.run_low, self.run_high = place[start], place[np.r_[start[1:], len(place)] - 1] if len(place) else place
+        self.at = ((np.cumsum(new) - 1) << 32) + place
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[(self.grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
@@ -106,18 +128,37 @@ class Index:
         p = np.flatnonzero(self.seen[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         if not len(p) or not len(self.grams):
             return np.zeros((0, 2), np.int64)
-        first = np.searchsorted(self.grams, h[p])
-        n = np.searchsorted(self.grams, h[p], "right") - first
-        entry = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[entry].astype(np.int64), np.repeat(p, n) - self.place[entry]
-        step = self.edits[item] + 1
-        b = np.floor_divide(diagonal, step)
-        key = np.concatenate([b, b - 1]) + (np.concatenate([item, item]) << 40) + (1 << 39)
-        key, n = np.unique(key, return_counts=True)
+        first = np.searchsorted(self.run_gram, h[p])
+        n = np.searchsorted(self.run_gram, h[p], "right") - first
+        found = [self._counted(p[s:e], first[s:e], n[s:e]) for s, e in _cuts(n, MATCHES)]
+        key, n = _added([x for part in found for x in part])
         item = key >> 40
         key, item = key[enough := n >= self.sizes[item] + 1 - (self.edits[item] + 1) * self.q], item[enough]
         return np.stack([item, ((key & ((1 << 40) - 1)) - (1 << 39)) * (self.edits[item] + 1)], axis=1)
 
+    def _counted(self, p: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(band key, q-grams) of text places ``p`` whose grams have ``n`` runs from ``first``.
+
+        Of a gram that an item has many times the places are not matched one by one: those on a band's diagonals are a range
+        of the run, whose size is read off. So a place costs the bands of an item, not its length, however repetitive both are.
+        """
+        run = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        p, item = np.repeat(p, n), self.run_item[run]
+        step = self.edits[item] + 1
+        b = np.floor_divide(p - self.run_high[run], step)
+        many = np.floor_divide(p - self.run_low[run], step) - b + 1
+        out = []
+        for s, e in _cuts(many, MATCHES):
+            m = many[s:e]
+            again = lambda x: np.repeat(x[s:e], m)  # noqa: E731, B023
+            band = again(b) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            high = again(p) - band * again(step)
+            base = again(run) << 32
+            held = np.searchsorted(self.at, base + high, "right") - np.searchsorted(self.at, base + np.maximum(high - again(step) + 1, 0))
+            of = (again(item) << 40) + (1 << 39) + band
+            out.append(_added([(of, held), (of - 1, held)]))
+        return out
+
     def align(self, cases: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, int]]:
         """For (item, first diagonal, text): least edits of the whole item against any part of the text on the band's diagonals
         widened by the budget on both sides, and that part's begin and end. Cases are aligned side by side."""
@@ -162,16 +203,31 @@ class Index:
                 yield item, low, part, max(0, at - over)
 
 
-def _query_sets(benchmark: DataFrame) -> list:
-    """The benchmark's distinct texts as broadcasts of about BLOCK_CHARS characters, each read by the driver on its own.
+def _query_sets(benchmark: DataFrame) -> Iterator[list]:
+    """The benchmark's texts as broadcasts of about BLOCK_CHARS characters, MAX_BLOCKS of them (8 M characters) at a time.
 
-    The corpus is scanned once for every MAX_BLOCKS of them (8 M characters); a block's size is known before it is read.
+    The corpus is scanned once for each such set. A block's size is known before the driver reads it, and a set is only made
+    when the one before has been used, so the driver holds one set of any benchmark.
     """
     rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n, 1)))
-    return [benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.where(block == b).collect()]) for b in range(n)]
+    for s in range(0, n, MAX_BLOCKS):
+        yield [benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.where(block == b).collect()]) for b in range(s, min(s + MAX_BLOCKS, n))]
+
+
+def _each_set(benchmark: DataFrame, use) -> None:
+    """Calls ``use(shared, written)`` for each query set; all results but the last are to be written, then their broadcasts go."""
+    before = None
+    for shared in _query_sets(benchmark):
+        if before:
+            use(before, True)
+            for s in before:
+                s.destroy()
+        before = shared
+    if before:
+        use(before, False)
 
 
 def _search(column: pa.Array, index: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -201,11 +257,12 @@ def _search(column: pa.Array, index: Index) -> dict[tuple[int, int], tuple[int,
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, max_edits: int | None = None) -> DataFrame:
     """(doc_id, item_id, edits, start, stop): each document with each benchmark item it holds within the edit budget.
 
     Texts and items are compared as lower-case letters and digits with one space for all between. A document holds an item if
-    some part of its text is within min(rate x length, length / q - 1) edits of the whole item; for each pair the part with
+    some part of its text is within min(rate x length, length / q - 1) edits of the whole item (or ``max_edits``, if that is
+    given and less: alignment costs an item's length times its budget); for each pair the part with
     the fewest edits is returned, the first such, in characters of the original text. Items of fewer than q folded characters
     have no q-gram; a document holds one only if its whole folded text equals it. The benchmark is a query set held against
     all rows: blocks of bounded size are broadcast, and each MAX_BLOCKS of them are one index for one scan of the documents.
@@ -217,11 +274,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, edits int, start int, stop int"
     item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
-    blocks = _query_sets(benchmark)
 
     def run_with(shared: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index([x for s in shared for x in s.value], q, rate)
+            index = Index([x for s in shared for x in s.value], q, rate, max_edits)
             for big in batches:
                 for at in range(0, big.num_rows, SLICE):
                     b = big.slice(at, SLICE)
@@ -232,23 +288,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 
         return tidy(run)
 
-    out = None
-    for s in range(0, len(blocks), MAX_BLOCKS):
-        found = docs.select("doc_id", "text").mapInArrow(run_with(blocks[s : s + MAX_BLOCKS]), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    parts: list[DataFrame] = []
 
+    def use(shared: list, written: bool) -> None:
+        found = docs.select("doc_id", "text").mapInArrow(run_with(shared), schema)
+        parts.append(materialize(found, "contaminated") if written else found)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+    _each_set(benchmark, use)
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, max_edits: int | None = None) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item (see ``contaminated``). All columns stay, of whatever name.
 
     Each row is judged where it lies, without a shuffle: rows with null or shared doc_ids are judged by their own texts.
     """
-    blocks, column = _query_sets(benchmark), docs.columns.index("text")
+    column, kept = docs.columns.index("text"), [docs]
 
     def run_with(shared: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index([x for s in shared for x in s.value], q, rate)
+            index = Index([x for s in shared for x in s.value], q, rate, max_edits)
             for big in batches:
                 for at in range(0, big.num_rows, SLICE):
                     b = big.slice(at, SLICE)
@@ -258,9 +320,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: f
 
         return tidy(run)
 
-    for s in range(0, len(blocks), MAX_BLOCKS):
-        docs = docs.mapInArrow(run_with(blocks[s : s + MAX_BLOCKS]), docs.schema)
-    return docs
+    def use(shared: list, written: bool) -> None:
+        left = kept[-1].mapInArrow(run_with(shared), docs.schema)
+        kept.append(materialize(left, "clean") if written else left)
+
+    _each_set(benchmark, use)
+    return kept[-1]
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

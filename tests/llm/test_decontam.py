@@ -108,19 +108,67 @@ def test_short_and_long_items_and_blocks(spark, monkeypatch):
     """Items without a q-gram by equality; a very long one within its bounded budget; the same rows from many scans; null ids by their text."""
     rnd = random.Random(11)
     long = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(40_000))
-    assert len(long) > 200_000 and budget(len(long)) == decontam.MAX_EDITS
+    assert len(long) > 200_000 and budget(len(long)) > 10_000 and budget(len(long), most=400) == 400
     changed = list(long)
     for i in range(100):
         changed[2_000 * (i + 1)] = "z"
     items = [(1, "Yes!"), (2, "yes"), (3, long)]
     docs = [(1, " yes. "), (2, "yes sir"), (3, "start " + "".join(changed) + " end"), (None, "YES"), (4, None), (4, "clean text of this row")]
     d, b = frames(spark, docs, items)
-    got = sorted((r.doc_id or 0, r.item_id, r.edits, r.start) for r in contaminated(d, b).collect())
+    got = sorted((r.doc_id or 0, r.item_id, r.edits, r.start) for r in contaminated(d, b, max_edits=400).collect())
     assert [(i, k) for i, k, _, _ in got] == [(0, 1), (0, 2), (1, 1), (1, 2), (3, 3)] and got[-1][2] <= 100 and got[-1][3] == 6
-    assert sorted((r.doc_id or 0, r.text or "") for r in drop_contaminated(d, b).collect()) == [(2, "yes sir"), (4, ""), (4, "clean text of this row")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in drop_contaminated(d, b, max_edits=400).collect()) == [(2, "yes sir"), (4, ""), (4, "clean text of this row")]
     docs, items = sample()
     d, b = frames(spark, docs, items)
     want = sorted(map(tuple, contaminated(d, b).collect()), key=repr)
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 200)
     monkeypatch.setattr(decontam, "MAX_BLOCKS", 2)
     assert sorted(map(tuple, contaminated(d, b).collect()), key=repr) == want and want
+
+
+def test_repetitive_texts(monkeypatch):
+    """Counts of q-grams by band equal those of single matches, in little memory, where item and text repeat themselves."""
+    import tracemalloc
+
+    rnd = random.Random(8)
+    period = "".join(rnd.choice("abcdefghij") for _ in range(23))
+    items = [(0, period * 90), (1, "ab " * 60), (2, period[:12] * 8), (3, "plain text without any such thing")]
+    texts = [period * 300, "ab " * 500 + period * 20, "x" * 90 + (period * 95)[7:], "ab " * 30]
+
+    def single(index, c):
+        """Bands by matching each q-gram of the text with each place of it in each item."""
+        h, own, count = gram_hashes(c), [gram_hashes(x) for x in index.chars], {}
+        for n, g in enumerate(own):
+            step, places = int(index.edits[n]) + 1, {}
+            for s, v in enumerate(g.tolist()):
+                places.setdefault(v, []).append(s)
+            for p, v in enumerate(h.tolist()):
+                for s in places.get(v, ()):
+                    for b in ((p - s) // step, (p - s) // step - 1):
+                        count[n, b * step] = count.get((n, b * step), 0) + 1
+        return {k for k, c in count.items() if c >= index.sizes[k[0]] + 1 - (index.edits[k[0]] + 1) * index.q}
+
+    index = Index(items)
+    for most in (decontam.MATCHES, 50):
+        monkeypatch.setattr(decontam, "MATCHES", most)
+        for t in texts:
+            c, _ = normalise(t)
+            assert {tuple(x) for x in index.bands(c).tolist()} == single(index, c)
+    monkeypatch.undo()
+    index, c = Index([(0, period * 430)]), normalise(period * 40_000)[0]
+    tracemalloc.start()
+    assert len(index.bands(c)) > 1000
+    assert tracemalloc.get_traced_memory()[1] < 600e6
+    tracemalloc.stop()
+
+
+def test_budget_of_long_items(spark):
+    """Items over 5,000 characters have their whole budget."""
+    rnd = random.Random(12)
+    item = "".join(rnd.choice("abcdefgh ") for _ in range(7_000))
+    x = list(item)
+    for at in rnd.sample(range(0, 7_000), 450):
+        x[at] = "z"
+    d, b = frames(spark, [(1, "before " + "".join(x) + " after")], [(9, item)])
+    assert [(r.doc_id, r.item_id) for r in contaminated(d, b).collect()] == [(1, 9)]
+    assert contaminated(d, b, max_edits=400).count() == 0
