@@ -271,15 +271,27 @@ def router_summary(rows: DataFrame, matrix_scores: DataFrame, low: float = 0.75)
     return a.crossJoin(matrix_scores.agg(F.round(F.avg("f1"), 6).alias("macro_f1")))
 
 
+#: Ranges that the distinct values of a group are cut into, and the sketch's accuracy.
+PARTS, ACCURACY = 64, 1000
+
+
+def _ranged(values: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``values`` with ``_range``: the place among splitters that a mergeable quantile sketch of the group's distinct values gives.
+
+    The splitters only set how even the ranges are, whatever the unit or spread of the values; counts in ranges are exact.
+    """
+    v = F.col(value).cast("double")
+    cuts = values.groupBy(*by).agg(F.percentile_approx(v, [i / PARTS for i in range(1, PARTS)], ACCURACY).alias("_cuts"))
+    return _joined(values, cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= v))).drop("_cuts")
+
+
 def _places(values: DataFrame, value: str, by: list[str], places: dict[str, F.Column]) -> DataFrame:
     """Exact order statistics of values(*by, value, n): for each group the value at each place (from 0, of ``total`` values).
 
-    Values are counted in ranges of some percent of their size first; only ranges that hold a wanted place are sorted, each on
-    its own, so neither a group nor its distinct values meet in one task.
+    A group's distinct values are dealt to ranges of about equal size, and counted there; only ranges that hold a wanted place
+    are sorted, each on its own, so neither a group nor its distinct values meet in one task.
     """
-    v = F.col(value).cast("double")
-    size = F.floor(F.log2(F.abs(v)) * 32) + 100_000  # grows with the size, whatever the unit
-    ranged = values.withColumn("_range", F.when(v > 0, size).when(v < 0, -size).otherwise(0))
+    ranged = _ranged(values, value, by)
     counts = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n"))
     w = Window.partitionBy(*by)
     before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

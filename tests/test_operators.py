@@ -320,3 +320,23 @@ def test_catalog_and_detection(spark):
     i = O.trace_index(t).first()
     assert (i.latency_ms, i.error_count, i.n_steps, len(i.goal)) == (1500, 1, 3, 100)
     assert {r.step_type: (r.n_steps, r.n_failed, r.p95) for r in O.step_accounting(O.steps(t)).collect()} == {"a": (2, 0, 7), "b": (1, 1, None)}
+
+
+def test_order_statistics_of_close_values(spark):
+    """Distinct values close to each other are spread over the ranges, and the picks stay exact."""
+    from ragmill.operators import evaluate as E
+
+    n = 40_000
+    df = spark.range(n).select(F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 1, None).otherwise("b").alias("g"), (1000 + F.col("id") / n).alias("v"))
+    counted = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+    sizes = E._ranged(counted, "v", ["g"]).groupBy("g", "_range").count().collect()
+    assert len(sizes) == 3 * 64 and max(r["count"] for r in sizes if r.g == "b") < n / 2 / 32
+    values = {}
+    for r in df.collect():
+        values.setdefault(r.g, []).append(r.v)
+    for r in E.latency_summary(df, "v", ["g"]).collect():
+        v = sorted(values[r.g])
+        assert [r.p50, r.p90, r.p95] == [v[round((len(v) - 1) * p)] for p in (0.5, 0.9, 0.95)] and r.n == len(v)
+    one = E.describe(df, "v", []).first()
+    every = sorted(x for v in values.values() for x in v)
+    assert one.p10 == every[round((n - 1) * 0.1)] and one.median == (every[n // 2 - 1] + every[n // 2]) / 2
