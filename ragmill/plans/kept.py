@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragmill.operators import near as N
 from ragmill.operators import retrieve as R
 from ragmill.operators import terms as T
 from ragmill.operators.maintained import MaintainedIndex
 from ragmill.plans.retrieval import ORACLE_SQL as RETRIEVAL_SQL
 from ragmill.plans.retrieval import bench, corpus, table
 from ragmill.sources.store import scratch
+from ragmill.streaming.memories import MemoryTable
 
 
 def maintained_bm25(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +63,38 @@ def rewrite_synonyms(spark: SparkSession, sf: str) -> DataFrame:
     return R.rewrite_by_table(q, T.synonym_table(spark, R.SYNONYMS))
 
 
-QUERIES = {f.__name__: f for f in (maintained_bm25, pruned_bm25, term_hits, rewrite_synonyms)}
+#: The copies' ids, and how far their components are moved.
+COPY, SHIFT = 1_000_000_000, 0.04
+
+
+def moved(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, label, vector) of a copy of each embedding, every component moved a little, at a cosine of about 0.95."""
+    v = table(spark, sf, "embeddings").select("label", "embedding", F.col("vec_id").alias("own"))
+    return v.select((F.col("own") + COPY).alias("vec_id"), "label", F.transform("embedding", lambda x, i: x.cast("double") + ((i + F.col("own")) % 3 - 1) * F.lit(SHIFT)).alias("vector"))
+
+
+def near_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Each moved copy with the embeddings of its label at a cosine of 0.88 or more, by bands as wide as the label's rows ask for."""
+    q = moved(spark, sf).select("label", F.col("vec_id").alias("query_id"), "vector")
+    v = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return N.near_within(q, v, "label", 0.88)[0]
+
+
+def streamed_memories(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings as memory candidates of their label's user, then their moved copies, in three batches; the memories that are left."""
+    first = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    every = first.unionByName(moved(spark, sf)).where("label is not null and vector is not null").select(
+        F.col("vec_id").cast("string").alias("candidate_id"), F.col("label").cast("string").alias("user_id"), F.col("vec_id").alias("seq"), F.lit("").alias("content"), (0.75 + F.col("vec_id") % 5 / 20).alias("importance"), (0.7 + F.col("vec_id") % 3 / 10).alias("confidence"),
+        F.array(F.concat(F.lit("t"), (F.col("vec_id") % 4).cast("string"))).alias("tags"), "vector",
+    )
+    memories = MemoryTable(spark, scratch(spark, "memories"), buckets=8)
+    half = every.where(F.col("seq") < COPY).agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
+    for i, batch in enumerate((every.where(F.col("seq") <= half), every.where((F.col("seq") > half) & (F.col("seq") < COPY)), every.where(F.col("seq") >= COPY))):
+        memories.apply(batch, i)
+    return memories.memories().select("memory_id", "user_id", F.round("importance", 6).alias("importance"), F.round("confidence", 6).alias("confidence"), F.array_join("tags", ",").alias("tags"))
+
+
+QUERIES = {f.__name__: f for f in (maintained_bm25, pruned_bm25, term_hits, rewrite_synonyms, near_copies, streamed_memories)}
 
 
 def _cjk_sql(text: str) -> str:
@@ -70,10 +103,20 @@ def _cjk_sql(text: str) -> str:
     return text
 
 
+_MOVED = f"""base AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+copy AS (SELECT b.vec_id + {COPY} AS vec_id, label, list_transform(list_zip(v, range(len(v))), lambda p: p[1] + ((p[2] + b.vec_id) % 3 - 1) * {SHIFT}::DOUBLE) AS v FROM base b),
+near AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM copy a JOIN base b USING (label))"""
+
 _PAIRS = [(i, j, t, s) for i, (t, many) in enumerate(R.SYNONYMS.items()) for j, s in enumerate(many)]
 ORACLE_SQL = {
     "maintained_bm25": RETRIEVAL_SQL["bm25_topk"],
     "pruned_bm25": RETRIEVAL_SQL["bm25_topk"],
+    "near_copies": f"WITH {_MOVED} SELECT * FROM near WHERE score >= 0.88",
+    # embeddings are far from each other, so each is a memory and takes in what is near it
+    "streamed_memories": f"""WITH {_MOVED}, best AS (SELECT query_id, chunk_id FROM near WHERE score >= 0.88 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id::VARCHAR DESC) = 1),
+every AS (SELECT vec_id AS memory_id, vec_id AS own FROM base UNION ALL SELECT coalesce(chunk_id, vec_id), vec_id FROM copy LEFT JOIN best ON query_id = vec_id)
+SELECT memory_id::VARCHAR AS memory_id, any_value(b.label)::VARCHAR AS user_id, round(max(0.75::DOUBLE + own % 5 / 20::DOUBLE), 6) AS importance, round(max(0.7::DOUBLE + own % 3 / 10::DOUBLE), 6) AS confidence, string_agg(DISTINCT 't' || own % 4, ',' ORDER BY 't' || own % 4) AS tags
+FROM every LEFT JOIN (SELECT vec_id, label FROM base UNION ALL SELECT vec_id, label FROM copy) b ON b.vec_id = memory_id GROUP BY memory_id""",
     "term_hits": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM benchmark), d AS (SELECT doc_id, lower(text) AS text FROM documents)
 SELECT term, count(*) AS n_docs, sum(strpos(text, term) - 1)::BIGINT AS sum_pos FROM d JOIN w ON contains(text, term) GROUP BY 1""",
     "rewrite_synonyms": f"""WITH s(term_no, syn_no, term, syn) AS (VALUES {", ".join(map(str, _PAIRS))}),
