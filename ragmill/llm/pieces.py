@@ -15,10 +15,11 @@ from ragmill.llm.common import tidy
 SPACE = "▁"
 NEVER = np.int64(1) << 40
 END = np.uint32(0x110000)  # between words: no character
-CACHE_WORDS = 300_000
-NEW_WORDS = 40_000
+CACHE_WORDS = 200_000
+NEW_WORDS = 20_000
 SHORT = 8
-TEXT_CHARS = 1_000_000
+TEXT_CHARS = 500_000
+ROWS = 512
 SLOTS = 1 << 21
 
 
@@ -419,7 +420,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(shared.value)
-        for b in batches:
+        for b in (big.slice(at, ROWS) for big in batches for at in range(0, big.num_rows, ROWS)):
             texts = b.column(1).to_pylist()
             for begin, end in coder.parts(texts):
                 part = texts[begin:end]
