@@ -101,6 +101,50 @@ folded AS (
 sect AS (
   SELECT s.*, array_to_string(h.path, '/') AS path, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.island)::INTEGER AS section_no
   FROM s JOIN folded f ON f.doc_id = s.doc_id AND h.island = s.island WHERE text <> '')"""
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _sql_text(value: str) -> str:
+    return "".join(f"chr({ord(c)})" if c < " " else f"'{c}'" for c in value).replace(")chr", ") || chr")
+
+
+def pieces_sql(tag: str, source: str, keys: str, text: str, size: int) -> str:
+    """CTEs up to ``{tag}p`` with the keys, x (the text) and ps, its pieces of at most ``size``."""
+    steps = [f"{tag}0 AS MATERIALIZED (SELECT {keys}, x, [x] AS ps FROM (SELECT {keys}, {text} AS x FROM {source}))"]
+    for i, sep in enumerate(map(_sql_text, N.SEPARATORS), 1):
+        cut = f"list_transform(list_zip(string_split(p, {sep}), range(len(string_split(p, {sep})))), lambda q: q[1] || CASE WHEN q[2] < len(string_split(p, {sep})) - 1 THEN {sep} ELSE '' END)"
+        steps.append(f"{tag}{i} AS (SELECT * REPLACE (flatten(list_transform(ps, lambda p: CASE WHEN length(p) > {size} THEN list_filter({cut}, lambda y: y <> '') ELSE [p] END)) AS ps) FROM {tag}{i - 1})")
+    hard = f"list_transform(range((length(p) + {size - 1}) // {size}), lambda i: substr(p, i * {size} + 1, {size}))"
+    steps.append(f"{tag}p AS MATERIALIZED (SELECT * REPLACE (flatten(list_transform(ps, lambda p: CASE WHEN length(p) > {size} THEN {hard} ELSE [p] END)) AS ps) FROM {tag}{len(N.SEPARATORS)})")
+    return ",\n".join(steps)
+
+
+def _fold(step: str) -> str:
+    """A fold of ps over a struct of finished chunks and the one that is being filled."""
+    return f"list_reduce(list_prepend({{'done': []::VARCHAR[], 'now': ''}}, list_transform(ps, lambda p: {{'done': []::VARCHAR[], 'now': p}})), lambda a, p: {step})"
+
+
+def recursive_sql(tag: str, source: str, keys: str, text: str, size: int) -> str:
+    """CTEs up to ``{tag}`` with the keys and cs, the trimmed chunks of a text without overlap."""
+    step = f"CASE WHEN length(a.now) + length(p.now) <= {size} THEN {{'done': a.done, 'now': a.now || p.now}} ELSE {{'done': CASE WHEN a.now <> '' THEN a.done || [a.now] ELSE a.done END, 'now': p.now}} END"
+    whole = STRIP.format(f"regexp_replace({text}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+    return f"""{pieces_sql(tag, source, keys, whole, size)},
+{tag}f AS (SELECT {keys}, {_fold(step)} AS f FROM {tag}p),
+{tag} AS MATERIALIZED (SELECT {keys}, list_filter(list_transform(CASE WHEN f.now <> '' THEN f.done || [f.now] ELSE f.done END, lambda y: {STRIP.format("y")}), lambda y: y <> '') AS cs FROM {tag}f)"""
+
+
+def children_sql(source: str, keys: str, parent: int = 1800, size: int = 800, overlap: int = 120) -> str:
+    """CTEs up to ``child`` with the keys, parent_no, parent_text, child_no and text of all chunks of source(keys, text)."""
+    more = f"{keys}, parent_no, parent_text"
+    return f"""{recursive_sql("pa", source, keys, "text", parent)},
+parent AS MATERIALIZED (SELECT {keys}, unnest(cs) AS parent_text, unnest(range(len(cs)))::INTEGER AS parent_no FROM pa),
+{recursive_sql("ch", f"(SELECT * FROM parent WHERE length(parent_text) > {size})", more, "parent_text", size - overlap)},
+base AS (SELECT * FROM ch UNION ALL SELECT {more}, [parent_text] FROM parent WHERE length(parent_text) <= {size}),
+child AS MATERIALIZED (SELECT {more}, unnest(range(len(cs)))::INTEGER AS child_no, unnest(list_transform(list_zip(cs, range(len(cs))), lambda q: CASE WHEN q[2] = 0 THEN q[1] ELSE right(cs[q[2]], {overlap}) || q[1] END)) AS text FROM base)"""
+
+
+WEB_STEP = f"""CASE WHEN length(a.now) + length(p.now) <= 800 THEN {{'done': a.done, 'now': a.now || p.now}}
+  ELSE {{'done': CASE WHEN a.now <> '' THEN a.done || [{STRIP.format("a.now")}] ELSE a.done END, 'now': right(right(coalesce((CASE WHEN a.now <> '' THEN a.done || [{STRIP.format("a.now")}] ELSE a.done END)[-1], ''), 120) || p.now, 800)}} END"""
 ORACLE_SQL = {
     "section_split": f"""WITH {SECTIONS} SELECT doc_id, section_no, substr(sha1(doc_id || '|' || section_no || '|' || title), 1, 16) AS section_id, title, path, level, 1 AS page_start, 1 AS page_end, text,
   CASE WHEN contains(title, '摘要') OR lower(title) = 'abstract' THEN 'abstract' WHEN contains(title, '参考文献') OR lower(title) = 'references' THEN 'references' WHEN contains(title, '关键词') THEN 'keywords' ELSE 'section' END AS chunk_type FROM sect""",
@@ -116,3 +160,13 @@ SELECT r.doc_id, r.page_number, coalesce(regexp_replace(t.text, '^\\n+', ''), ''
     "web_text": """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'),
   '(?i)</(p|div|li|tr|h[1-6]|article|section|table|ul|ol)>|<br */?>', chr(10), 'g'), '(?i)</t[dh]>', chr(9), 'g'), '<[^>]+>', ' ', 'g'), '[ \\x0b\\f\\r]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages""",
 }
+ORACLE_SQL["chunk_recursive"] = f"WITH {children_sql('documents', 'doc_id')} SELECT doc_id, parent_no, child_no, text, length(text)::INTEGER AS n_chars FROM child"
+ORACLE_SQL["web_chunks"] = f"""WITH w AS (SELECT page_id, text FROM ({ORACLE_SQL["web_text"]})), {pieces_sql("wp", "w", "page_id", "text", 800)},
+f AS (SELECT page_id, x, {_fold(WEB_STEP)} AS f FROM wpp),
+c AS (SELECT page_id, CASE WHEN length(x) <= 800 THEN list_filter([x], lambda y: y <> '')
+  ELSE list_filter(CASE WHEN {STRIP.format("f.now")} <> '' THEN f.done || [{STRIP.format("f.now")}] ELSE f.done END, lambda y: {STRIP.format("y")} <> '') END[1:3] AS cs FROM f)
+SELECT page_id, unnest(range(len(cs)))::INTEGER AS chunk_no, unnest(cs) AS text FROM c"""
+ORACLE_SQL["build_chunks"] = f"""WITH {SECTIONS}, named AS (SELECT *, substr(sha1(doc_id || '|' || section_no || '|' || title), 1, 16) AS section_id FROM sect),
+{children_sql("named", "doc_id, section_no, section_id, title")},
+x AS (SELECT *, substr(sha1(section_id || '|' || parent_no || '|' || left(parent_text, 120)), 1, 16) AS parent_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section_no, parent_no, child_no) - 1)::INTEGER AS chunk_index FROM child)
+SELECT substr(sha1(doc_id || '|' || parent_id || '|' || chunk_index || '|' || left(text, 120)), 1, 20) AS chunk_id, doc_id, 'Paper ' || doc_id AS paper_title, title, chunk_index, 1 AS page_start, 1 AS page_end, text FROM x"""
