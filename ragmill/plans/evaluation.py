@@ -68,12 +68,12 @@ def failure_topn(spark, sf):
 
 
 def predictions(spark, sf):
-    """Answers made of an item's own head and a hit's head, with all hits' whole texts as contexts; every seventh case has none."""
+    """Answers made of an item and its first hit, with all hits as contexts; every seventh case has none."""
     c = bench(spark, sf).where("query_id % 7 <> 6").select(F.col("query_id").alias("case_id"), F.col("text").alias("q"))
     h = hits(spark, sf).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("text").alias("t")))).alias("x"))
     p = c.join(h, "case_id", "left").withColumn("contexts", F.coalesce(F.transform("x", lambda r: r["t"]), F.array().cast("array<string>")))
     return p.select(
-        "case_id", F.concat(F.substring("q", 1, 90), F.lit("! "), F.coalesce(F.substring(F.get("contexts", F.lit(0)), 1, 60), F.lit(""))).alias("answer"), "contexts", F.when(F.col("case_id") % 2 == 0, F.array(F.substring("q", 1, 25))).otherwise(F.array().cast("array<string>")).alias("citations"),
+        "case_id", F.concat("q", F.lit("! "), F.coalesce(F.get("contexts", F.lit(0)), F.lit(""))).alias("answer"), "contexts", F.when(F.col("case_id") % 2 == 0, F.array("q")).otherwise(F.array().cast("array<string>")).alias("citations"),
         (F.size("contexts") > 1).alias("evidence_sufficient"), F.when(F.col("case_id") % 5 == 0, "use_web").otherwise("").alias("fallback_action"), F.array().cast("array<string>").alias("errors"),
     )
 
@@ -206,3 +206,29 @@ FROM a GROUP BY ALL ORDER BY objective DESC, accuracy DESC, min_score, min_count
     "label_conversion": "SELECT case_id, expected FROM (SELECT doc_id AS case_id, CASE WHEN doc_id % 50 = 0 THEN 'chat' WHEN lang = 'en' THEN 'paper' WHEN lang = 'fr' THEN 'emergency' ELSE 'rag' END AS expected FROM documents WHERE trim(CASE WHEN doc_id % 10 = 3 THEN ' ' ELSE text END) <> '') WHERE expected NOT IN ('paper', 'rag', 'chat')",
     "latency_pct": f"SELECT event_type, len(v)::BIGINT AS n, round(list_avg(v), 6) AS mean, {AT.format(0.5)} AS p50, {AT.format(0.9)} AS p90, {AT.format(0.95)} AS p95 FROM {PICK}",
 }
+
+_TERMS = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9_]{{2,}}'), lambda x: lower(x)))"
+_HELD = "len(list_filter({0}, lambda w: contains({1}, w)))"
+_SHARE = "CASE WHEN len({0}) > 0 THEN round({1}::DOUBLE / len({0}), 4) ELSE 1.0::DOUBLE END"
+_TOTAL = " + ".join(f"{w}::DOUBLE * {n}" for n, w in V.WEIGHTS.items())
+SCORED = f"""{TOK}, {bm25_sql(10)}, {CASES},
+ctx AS (SELECT query_id AS case_id, list(d.text ORDER BY rank) AS found FROM hits h JOIN documents d ON d.doc_id = h.chunk_id GROUP BY 1),
+j AS (SELECT c.case_id, intent, c.text AS ref, list_filter(list_transform(string_split(c.text, ' ')[1:12], lambda w: trim(w, ' ')), lambda w: length(w) > 4) AS keywords, list_filter(list_transform(required, lambda w: trim(w, ' ')), lambda w: w <> '') AS required,
+  c.case_id % 7 <> 6 AS known, CASE WHEN c.case_id % 7 <> 6 THEN c.text || '! ' || coalesce(found[1], '') ELSE '' END AS answer, CASE WHEN c.case_id % 7 <> 6 THEN coalesce(array_to_string(found, chr(10)), '') ELSE '' END AS context,
+  CASE WHEN c.case_id % 7 <> 6 AND c.case_id % 2 = 0 THEN c.text ELSE '' END AS cited, c.case_id % 7 <> 6 AND coalesce(len(found), 0) > 1 AS enough FROM cases c LEFT JOIN ctx USING (case_id)),
+t AS MATERIALIZED (SELECT *, {_TERMS.format("ref")} AS rt, {_TERMS.format("answer")} AS at_, {_TERMS.format("context")} AS ct,
+  list_transform(list_filter(list_transform(string_split_regex(answer, '[。！？!?]\\s*'), lambda y: trim(y, ' ')), lambda y: y <> ''), lambda y: {_TERMS.format("y")}) AS st FROM j),
+parts AS (SELECT *, {_SHARE.format("keywords", _HELD.format("keywords", "answer"))} AS answer_keyword_recall, {_SHARE.format("keywords", _HELD.format("keywords", "context"))} AS context_keyword_recall,
+  CASE WHEN len(rt) = 0 THEN 1.0 WHEN len(at_) = 0 THEN 0.0 ELSE round(len(list_intersect(rt, at_))::DOUBLE / len(rt), 4) END::DOUBLE AS reference_overlap,
+  CASE WHEN len(required) > 0 THEN round({_HELD.format("required", "cited || chr(10) || context")}::DOUBLE / len(required), 4) WHEN trim(cited, ' ') <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS citation_score,
+  CASE WHEN len(st) = 0 THEN 0.0 WHEN len(ct) = 0 THEN CASE WHEN contains(answer, '证据不足') THEN 1.0 ELSE 0.0 END
+    ELSE round(len(list_filter(st, lambda y: len(y) > 0 AND (len(list_intersect(y, ct))::DOUBLE / len(y) >= 0.25 OR len(list_filter(y, lambda w: length(w) >= 3 AND contains(context, w))) > 0)))::DOUBLE / len(st), 4) END::DOUBLE AS groundedness,
+  CASE WHEN intent = 'emergency' AND NOT ({" OR ".join(f"contains(answer, '{w}')" for w in V.SAFETY_TERMS)}) THEN 0.0 ELSE 1.0 END::DOUBLE AS safety,
+  CASE WHEN case_id % 6 = 0 THEN 'answer_insufficient' WHEN case_id % 6 = 1 THEN 'use_web' ELSE 'answer_local' END AS expected_action, CASE WHEN known AND case_id % 5 = 0 THEN 'use_web' WHEN enough THEN 'answer_local' ELSE 'answer_insufficient' END AS actual_action FROM t),
+whole AS (SELECT *, CASE WHEN trim(ref, ' ') <> '' THEN round(0.6::DOUBLE * answer_keyword_recall + 0.4::DOUBLE * reference_overlap, 4) ELSE answer_keyword_recall END AS completeness FROM parts),
+scored AS MATERIALIZED (SELECT case_id, reference_overlap, {", ".join(V.WEIGHTS)}, round({_TOTAL}, 4) AS overall, expected_action, actual_action, actual_action = expected_action AS fallback_correct,
+  CASE WHEN expected_action = 'answer_local' THEN enough ELSE NOT enough END AS sufficiency_correct, actual_action = 'use_web' AS web_triggered, actual_action = 'use_web' AND expected_action <> 'use_web' AS false_web, expected_action = 'use_web' AND actual_action <> 'use_web' AS missed_web, NOT known AS has_error FROM whole)"""
+_VALUES, _FLAGS = ["reference_overlap", *V.WEIGHTS, "overall"], ["fallback_correct", "sufficiency_correct", "web_triggered", "false_web", "missed_web", "has_error"]
+ORACLE_SQL["answer_scores"] = f"WITH {SCORED} SELECT * FROM scored"
+ORACLE_SQL["answer_averages"] = f"WITH {SCORED} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 4) AS {c}' for c in _VALUES)}, {', '.join(f'round(avg({c}::INTEGER), 4) AS {c}' for c in _FLAGS)} FROM scored"
+ORACLE_SQL["score_gate"] = f"WITH {SCORED} SELECT round(avg(overall), 4) AS overall, round(avg(overall), 4) >= 0.5 AS passed FROM scored"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ragmill.operators import evidence as E
 from ragmill.operators import retrieve as R
 from ragmill.operators import route as T
+from ragmill.plans.ingest import ORACLE_SQL as _INGEST_SQL
 from ragmill.plans.retrieval import FUSED, TOK, TOKENS, bench, bm25_sql, corpus, table
 
 #: Word lists in the language of these tables.
@@ -71,7 +72,7 @@ def web_evidence(spark, sf):
     from ragmill.operators.ingest import strip_html
 
     p = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 10).alias("query_id"), F.col("page_id").alias("result_no"), "url", strip_html(F.col("html")).alias("text"), (F.length("html") % 100 / 100).alias("score"))
-    return E.web_candidates(E.web_evidence(p)).select("query_id", "chunk_id", "doc_id", "chunk_no", F.round("fusion_score", 9).alias("fusion_score"), F.length("text").alias("n_chars"))
+    return E.web_candidates(E.web_evidence(p)).select("query_id", "chunk_id", "doc_id", "chunk_no", F.round("fusion_score", 9).alias("fusion_score"), "text")
 
 
 def local_and_web(spark, sf):
@@ -134,6 +135,7 @@ def _case(i: int, cast: str = "", hard: int = 10) -> str:
 
 
 SOURCE = "CASE WHEN " + " OR ".join(f"({r[0]})" for r in ROUTES[:7]) + " THEN 'hard_rule' ELSE 'fallback_rule' END"
+WEB_CHUNKS_SQL = _INGEST_SQL["web_chunks"]
 ORACLE_SQL = {
     "sufficiency": f"WITH {SUFF} SELECT query_id, top_score, evidence_count, doc_count, source_type_count, score_gap, n_matched, n_missing, round(cov, 6) AS coverage, reason, reason = 'local_evidence_sufficient' AS sufficient, reason <> 'local_evidence_sufficient' AS needs_web FROM judged",
     "fallback_policy": f"""WITH {SUFF}, d AS (SELECT *, reason = 'local_evidence_sufficient' AS ok FROM judged),
@@ -159,3 +161,6 @@ SELECT query_id, source_type, doc_id, doc_id AS evidence_group, k.id AS chunk_id
 SELECT intent, sub_intent, source, count(*) AS n FROM (SELECT CASE WHEN src = 'hard_rule' OR coalesce(quality, 0) = 0 THEN i WHEN toxic = 1 THEN 'reject' ELSE 'rag' END AS intent, CASE WHEN src = 'hard_rule' OR coalesce(quality, 0) = 0 THEN s ELSE 'model' END AS sub_intent,
   CASE WHEN src = 'hard_rule' OR coalesce(quality, 0) = 0 THEN src ELSE 'llm' END AS source FROM r) GROUP BY ALL""",
 }
+ORACLE_SQL["web_evidence"] = f"""WITH base AS ({WEB_CHUNKS_SQL}), p AS (SELECT page_id, page_id // 10 AS query_id, url, (length(html) % 100) / 100 AS score FROM pages),
+e AS (SELECT query_id, substr(sha1(coalesce(url, '') || '|' || text || '|' || chunk_no), 1, 20) AS chunk_id, substr(sha1(CASE WHEN url <> '' THEN url ELSE 'result-' || page_id END), 1, 16) AS doc_id, chunk_no, score, text FROM base JOIN p USING (page_id))
+SELECT query_id, chunk_id, doc_id, chunk_no, round(greatest(score, 0) / (100 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)), 9) AS fusion_score, text FROM e"""
