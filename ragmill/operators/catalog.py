@@ -119,6 +119,19 @@ def audit_distributions(children: DataFrame) -> DataFrame:
     return describe(children.select("doc_id", F.length("text").alias("n_chars")), "n_chars", ["doc_id"])
 
 
+def audit_lengths(secs: DataFrame, children: DataFrame) -> DataFrame:
+    """Distributions by document and ``what``: lengths of sections(doc_id, section_id, text), parents and children, and both fan-outs.
+
+    ``children`` are those of ``chunk_sections``: doc_id, section_id, parent_id, parent_text, text.
+    """
+    parents = children.groupBy("doc_id", "section_id", "parent_id").agg(F.max(F.length("parent_text")).alias("p"), F.count("*").alias("c"))
+    value = lambda df, what, v: df.select("doc_id", F.lit(what).alias("what"), v.cast("long").alias("value"))
+    per_section = parents.groupBy("doc_id", "section_id").agg(F.count("*").alias("n"))
+    every = value(secs, "section", F.length("text")).unionByName(value(parents, "parent", F.col("p"))).unionByName(value(children, "child", F.length("text")))
+    every = every.unionByName(value(parents, "children_per_parent", F.col("c"))).unionByName(value(per_section, "parents_per_section", F.col("n")))
+    return describe(every, "value", ["doc_id", "what"])
+
+
 def audit_samples(children: DataFrame, most: int = 30, short: int = 50) -> DataFrame:
     """Up to ``most`` of the shortest children below ``short`` characters, by document."""
     return ranked(children.withColumn("n", F.length("text")).where(F.col("n") < short), ["doc_id"], ["n", "section_id", "parent_no", "child_no"], most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragmill.functions.text import clip, squeeze
+from ragmill.functions.text import clip, contains_any, squeeze
 from ragmill.operators.retrieve import dense_within, ranked
 from ragmill.operators.route import RULES
 
@@ -127,6 +127,41 @@ def rolling_summary(messages: DataFrame, at_least: int = 20, keep: int = 16, mos
     return s.select("session_id", clip(F.array_join(lines, "\n"), most).alias("summary"))
 
 
+#: Titles of the parts of a short-term context, in order.
+CONTEXT_TITLES = ("当前任务目标", "当前步骤", "当前约束", "待完成事项", "已完成事项", "滚动摘要", "中间结果", "关键消息", "最近对话")
+
+
+def _items(values: F.Column) -> F.Column:
+    """Items that are not blank as lines of a list."""
+    return F.array_join(F.transform(F.filter(values, lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+def _message_line() -> F.Column:
+    return F.concat(label(F.col("role")), F.lit("："), clip(F.col("content"), 500))
+
+
+def context_sections(states: DataFrame, messages: DataFrame, recent: int = 8, pinned: int = 5, order: str = "created_at") -> DataFrame:
+    """(session_id, pos, title, body): the parts of each session's short-term context, in order.
+
+    states(session_id, current_goal, current_step, constraints, pending_items, completed_items, rolling_summary,
+    intermediate_results array of (step, status, summary), pinned_message_ids) give the first seven parts; the first ``pinned``
+    messages asked for, in that order, and the last ``recent`` ones follow. Sessions without a state have their recent messages
+    only; those without messages have no such part; null parts are left out.
+    """
+    joined = lambda x: F.array_join(F.filter(F.array(x["step"], x["status"], x["summary"]), lambda v: v.isNotNull() & (v != "")), "：")
+    results = F.array_join(F.transform(F.filter("intermediate_results", lambda x: joined(x) != ""), lambda x: F.concat(F.lit("- "), joined(x))), "\n")
+    bodies = [F.col("current_goal"), F.col("current_step"), _items(F.col("constraints")), _items(F.col("pending_items")), _items(F.col("completed_items")), F.col("rolling_summary"), results]
+    parts = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(t).alias("title"), b.alias("body")) for i, (t, b) in enumerate(zip(CONTEXT_TITLES, bodies))))
+    out = states.select("session_id", F.explode(parts).alias("p")).select("session_id", "p.*")
+    asked = states.select(F.col("session_id").alias("request_id"), F.slice("pinned_message_ids", 1, pinned).alias("ids"))
+    kept = messages_by_ids(asked, messages.withColumnRenamed("session_id", "of")).where("of = request_id").select(F.col("request_id").alias("session_id"), "pos", _message_line().alias("line"))
+    last = recent_messages(messages, recent, order).select("session_id", "pos", _message_line().alias("line"))
+    for i, lines in ((7, kept), (8, last)):
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+        out = out.unionByName(lines.groupBy("session_id").agg(body.alias("body")).select("session_id", F.lit(i).alias("pos"), F.lit(CONTEXT_TITLES[i]).alias("title"), "body"))
+    return out.where("body is not null")
+
+
 def fit_sections(sections: DataFrame, most: int = 3500) -> DataFrame:
     """(session_id, text, truncated) of sections(session_id, pos, title, body) in order, up to the budget.
 
@@ -215,6 +250,23 @@ def memory_prompt(hits: DataFrame, most: int = 1200) -> DataFrame:
     return g.select("query_id", F.substring("p", 1, most).alias("prompt"))
 
 
+#: What a question about memories is on, and the words of memories that answer it.
+MEMORY_TOPICS, MEMORY_WORDS = ("火灾", "笔记"), ("火灾", "笔记", "中文", "英文", "标题", "格式")
+
+
+def memory_lines(prompts: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, pos, memory): the memories in prompts(query_id, query, prompt) that answer a question about them, the first ``most``.
+
+    A line loses its mark of type and score; blank ones go. For a question on one of MEMORY_TOPICS, lines with one of
+    MEMORY_WORDS are taken, if there are any. pos counts from 1.
+    """
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), "^-\\s*\\[[^\\]]+\\]\\s*", ""), "^[- ]+", ""))
+    p = prompts.select("query_id", contains_any(F.coalesce("query", F.lit("")), MEMORY_TOPICS).alias("on"), F.filter(F.transform(F.split("prompt", "\n"), clean), lambda x: x != "").alias("lines"))
+    focused = F.filter("lines", lambda x: contains_any(x, MEMORY_WORDS))
+    lines = F.when(F.col("on") & (F.size(focused) > 0), focused).otherwise(F.col("lines"))
+    return p.select("query_id", F.posexplode(F.slice(lines, 1, most)).alias("pos", "memory")).withColumn("pos", F.col("pos") + 1)
+
+
 def user_questions(messages: DataFrame, topic: str | None = None, most: int = 8, order: str = "created_at") -> DataFrame:
     """Each session's last questions, on a topic if given, none of them about the history itself."""
     u = messages.where("role = 'user'")

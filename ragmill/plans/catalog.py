@@ -66,7 +66,7 @@ def section_totals(spark, sf):
 
 
 def children(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("section_id"), F.substring("text", 1, 12).alias("title"), "text")
+    d = table(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("section_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), "text")
     return chunk_sections(d)
 
 
