@@ -16,6 +16,7 @@ from ragmill.plans.ingest import DOC_LINES, SQUEEZE, children_sql, papers
 from ragmill.plans.ingest import ORACLE_SQL as INGEST_SQL
 from ragmill.plans.memory import messages
 from ragmill.plans.retrieval import table
+from ragmill.sources import readers as S
 
 
 def states(spark, sf):
@@ -164,3 +165,35 @@ SELECT doc_id, count(DISTINCT section_id) AS n_sections, count(DISTINCT parent_i
   count(DISTINCT CASE WHEN odd THEN section_id END) AS n_suspicious, round(count(*)::DOUBLE / count(DISTINCT parent_id), 4) AS children_per_parent FROM x GROUP BY ROLLUP (doc_id)"""
 ORACLE_SQL["audit_sections"] = _ROLLUP
 ORACLE_SQL["audit_rollup"] = f"SELECT * REPLACE (coalesce(doc_id, '*') AS doc_id) FROM ({_ROLLUP})"
+
+
+def _layout(spark, sf):
+    """Pages as layout JSON in the three shapes by turns: a title, nested text, a header and a table of the navigation."""
+    nav = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1), "<ul>", "<tr>"), "</ul>", "</tr>"), "(</?)li>", "$1td>")
+    piece = lambda c: F.array(F.struct(F.array(F.struct(c.alias("text"))).alias("content")))
+    none = F.lit(None).cast("string")
+    empty = F.lit(None).cast("array<struct<content:array<struct<text:string>>>>")
+    made = lambda kind, title=none, body=empty, table=none, caption=empty: F.struct(F.lit(kind).alias("type"), F.lit(0).alias("page_idx"), title.alias("text"), body.alias("paragraph_content"), table.alias("table_body"), caption.alias("table_caption"))
+    p = table(spark, sf, "pages").withColumn("lines", F.split(N.strip_html(F.col("html")), "\n"))
+    blocks = F.array(made("title", F.col("url")), made("paragraph", body=F.transform("lines", lambda x: piece(x)[0])), made("header", F.lit("noise")), made("table", table=nav, caption=piece(F.col("url"))))
+    shape = F.col("page_id") % 3
+    json = F.when(shape == 0, F.to_json(F.array(blocks))).when(shape == 1, F.to_json(blocks)).otherwise(F.concat(F.lit('{"pdf_info":[{"page_idx":0,"para_blocks":'), F.to_json(blocks), F.lit("}]}")))
+    return p.select(F.col("page_id").alias("doc_id"), F.when(shape == 0, "pages").when(shape == 1, "flat").otherwise("middle").alias("variant"), json.alias("json"))
+
+
+def layout_sections(spark, sf):
+    """Sections of pages that come as layout JSON, by the levels of its titles."""
+    text, _, _ = S.route_blocks(S.layout_blocks(_layout(spark, sf)))
+    return N.sections(text, F.col("level")).select("doc_id", "section_no", "title", F.array_join("path", "/").alias("path"), "level", "page_start", "text")
+
+
+def layout_tables(spark, sf):
+    _, tables, _ = S.route_blocks(S.layout_blocks(_layout(spark, sf)))
+    return tables.select("doc_id", "page_number", "title", N.table_text(F.col("rows")).alias("text"))
+
+
+QUERIES |= {"layout_sections": layout_sections, "layout_tables": layout_tables}
+_PAGE_TEXT = INGEST_SQL["web_text"]
+ORACLE_SQL["layout_sections"] = f"""WITH t AS (SELECT page_id AS doc_id, {SQUEEZE.format("text")} AS text FROM ({_PAGE_TEXT}))
+SELECT doc_id, 1 AS section_no, {SQUEEZE.format("url")} AS title, {SQUEEZE.format("url")} AS path, 1 AS level, 1 AS page_start, text FROM t JOIN pages ON page_id = doc_id WHERE text <> ''"""
+ORACLE_SQL["layout_tables"] = f"SELECT page_id AS doc_id, 1 AS page_number, {SQUEEZE.format('url')} AS title, text FROM ({INGEST_SQL['page_links']}) JOIN pages USING (page_id)"

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ragmill.functions.text import squeeze
 from ragmill.operators.ingest import table_rows
 
-PIECE = "array<struct<type:string,text:string,content:string>>"
-BLOCK = f"struct<type:string,page_idx:int,text_level:int,text:string,content:string,title_content:{PIECE},paragraph_content:{PIECE},list_content:{PIECE},table_caption:{PIECE},table_body:string,image_caption:{PIECE},chart_caption:{PIECE}>"
 #: Block types that carry no text of their own.
 AUXILIARY = ("header", "footer", "page_number", "aside_text", "page_header", "page_footer", "page_aside_text")
 FIGURES = ("image", "chart")
-TEXT_KEYS = ("text", "content", "title_content", "paragraph_content", "list_content")
+#: Where a block has its text, and where a nested piece has it, the first that is not empty.
+TEXT_KEYS = ("title_content", "paragraph_content", "text", "content", "list_items", "list_content", "math_content", "equation", "code_content", "html")
+PIECE_KEYS = ("text", "content", "title_content", "paragraph_content", "caption", "table_body", "image_caption", "chart_caption", "math_content")
 
 
 def manifest(spark: SparkSession, folder: str, pattern: str = "*.pdf", most: int | None = None) -> DataFrame:
@@ -26,41 +31,63 @@ def manifest(spark: SparkSession, folder: str, pattern: str = "*.pdf", most: int
 
 
 def layout_blocks(docs: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """(doc_id, page_number, pos, block) of docs(doc_id, variant, json) in one of three shapes.
+    """(doc_id, page_number, pos, block) of docs(doc_id, variant, json) in one of three shapes; ``block`` is a variant, of any fields.
 
     ``pages``: a list of pages, each a list of blocks; ``flat``: a list of blocks with page_idx from 0; ``middle``: pdf_info with
     blocks by page. Of several shapes of a document the first in this order counts. Pages beyond ``max_pages`` are left out.
+    JSON that is malformed, or of another shape, gives no block.
     """
     order = F.when(F.col("variant") == "pages", 0).when(F.col("variant") == "flat", 1).otherwise(2)
-    best = docs.groupBy("doc_id").agg(F.min_by(F.struct("variant", "json"), order).alias("b")).select("doc_id", "b.*")
-    pages = best.where("variant = 'pages'").select("doc_id", F.posexplode(F.from_json("json", f"array<array<{BLOCK}>>")).alias("p", "blocks")).select("doc_id", (F.col("p") + 1).alias("page_number"), F.posexplode("blocks").alias("pos", "block"))
-    flat = best.where("variant = 'flat'").select("doc_id", F.posexplode(F.from_json("json", f"array<{BLOCK}>")).alias("pos", "block")).select("doc_id", (F.coalesce("block.page_idx", F.lit(0)) + 1).alias("page_number"), "pos", "block")
-    info = f"struct<pdf_info:array<struct<page_idx:int,para_blocks:array<{BLOCK}>>>>"
-    middle = best.where("variant = 'middle'").select("doc_id", F.explode(F.from_json("json", info)["pdf_info"]).alias("p")).select("doc_id", (F.col("p.page_idx") + 1).alias("page_number"), F.posexplode("p.para_blocks").alias("pos", "block"))
+    best = docs.groupBy("doc_id").agg(F.min_by(F.struct("variant", "json"), order).alias("b")).select("doc_id", "b.variant", F.try_parse_json("b.json").alias("v"))
+    many = lambda v, path="$": F.try_variant_get(v, path, "array<variant>")
+    number = lambda v: F.coalesce(F.try_variant_get(v, "$.page_idx", "int"), F.lit(0)) + 1
+    pages = best.where("variant = 'pages'").select("doc_id", F.posexplode(many(F.col("v"))).alias("p", "blocks")).select("doc_id", (F.col("p") + 1).alias("page_number"), F.posexplode(many(F.col("blocks"))).alias("pos", "block"))
+    flat = best.where("variant = 'flat'").select("doc_id", F.posexplode(many(F.col("v"))).alias("pos", "block")).select("doc_id", number(F.col("block")).alias("page_number"), "pos", "block")
+    middle = best.where("variant = 'middle'").select("doc_id", F.explode(many(F.col("v"), "$.pdf_info")).alias("p")).select("doc_id", number(F.col("p")).alias("page_number"), F.posexplode(many(F.col("p"), "$.para_blocks")).alias("pos", "block"))
     out = pages.unionByName(flat).unionByName(middle)
     return out.where(F.col("page_number") <= max_pages) if max_pages else out
 
 
-def _pieces(content: F.Column) -> F.Column:
-    return F.array_join(F.filter(F.transform(content, lambda p: F.trim(F.coalesce(p["text"], p["content"], F.lit("")))), lambda t: t != ""), " ")
+def _flat_text(value) -> str:
+    """The text of a nested value: pieces of a list one after the other, of a piece the first text that is not empty."""
+    if isinstance(value, str):
+        return " ".join(re.sub("<[^>]+>", " ", value).split())
+    if isinstance(value, bool) or value is None:
+        return ""
+    if isinstance(value, list):
+        return " ".join(filter(None, map(_flat_text, value)))
+    if isinstance(value, dict):
+        return next(filter(None, (_flat_text(value.get(k)) for k in PIECE_KEYS)), "")
+    return str(value)
+
+
+@F.pandas_udf(StringType())
+def _rich_text(values: pd.Series) -> pd.Series:
+    """The first text that is not empty of a JSON list of values."""
+    return values.map(lambda v: None if v is None else next(filter(None, map(_flat_text, json.loads(v))), ""))
+
+
+def _first_text(block: str, keys: tuple[str, ...]) -> F.Column:
+    """The first text, of any depth, that is not empty under the keys of a variant column; empty if there is none."""
+    held = F.array_compact(F.array(*(F.to_json(F.try_variant_get(F.col(block), f"$.{k}", "variant")) for k in keys)))
+    return F.coalesce(_rich_text(F.concat(F.lit("["), F.array_join(held, ","), F.lit("]"))), F.lit(""))
 
 
 def block_text(block: str = "block") -> F.Column:
-    """The first non-empty text of a block."""
-    col = lambda k: F.col(f"{block}.{k}")
-    parts = [F.trim(col(k)) if k in ("text", "content") else _pieces(col(k)) for k in TEXT_KEYS]
-    return F.coalesce(*(F.when(p != "", p) for p in parts), F.lit(""))
+    """The first non-empty text of a block, however deep its content is nested."""
+    return _first_text(block, TEXT_KEYS)
 
 
 def route_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(text, tables, captions) of a document's blocks; headers, footers, numbers and asides are dropped."""
-    kind = F.lower(F.coalesce("block.type", F.lit("text")))
-    b = blocks.withColumn("kind", kind).where(~F.col("kind").isin(*AUXILIARY))
-    level = F.when(F.col("kind") == "title", F.greatest(F.coalesce("block.text_level", F.lit(1)), F.lit(1))).when(F.coalesce("block.text_level", F.lit(0)) > 0, F.col("block.text_level"))
+    field = lambda k, kind="string": F.try_variant_get(F.col("block"), f"$.{k}", kind)
+    b = blocks.withColumn("kind", F.lower(F.coalesce(field("type"), field("block_type"), F.lit("text")))).where(~F.col("kind").isin(*AUXILIARY))
+    given = F.coalesce(field("text_level", "int"), field("level", "int"))
+    level = F.when(F.col("kind") == "title", F.greatest(F.coalesce(given, F.lit(1)), F.lit(1))).when(F.coalesce(given, F.lit(0)) > 0, given)
     text = b.where(~F.col("kind").isin("table", *FIGURES)).select("doc_id", "page_number", "pos", squeeze(block_text()).alias("line"), F.when(level.isNotNull(), F.least(level, F.lit(6))).alias("level")).where("line <> ''")
-    tables = b.where("kind = 'table'").select("doc_id", "page_number", "pos", F.nullif(_pieces(F.col("block.table_caption")), F.lit("")).alias("title"), table_rows(F.col("block.table_body")).alias("rows"))
-    caption = F.coalesce(F.nullif(_pieces(F.col("block.image_caption")), F.lit("")), _pieces(F.col("block.chart_caption")))
-    captions = b.where(F.col("kind").isin(*FIGURES)).select("doc_id", "page_number", "pos", caption.alias("caption")).where("caption <> ''")
+    body = F.coalesce(F.nullif(field("table_body"), F.lit("")), F.nullif(field("html"), F.lit("")), field("text"))
+    tables = b.where("kind = 'table'").select("doc_id", "page_number", "pos", F.nullif(_first_text("block", ("table_caption", "caption")), F.lit("")).alias("title"), table_rows(body).alias("rows"))
+    captions = b.where(F.col("kind").isin(*FIGURES)).select("doc_id", "page_number", "pos", _first_text("block", ("image_caption", "chart_caption", "caption", "text")).alias("caption")).where("caption <> ''")
     return text, tables, captions
 
 

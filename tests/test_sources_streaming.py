@@ -42,6 +42,18 @@ def test_layout(spark):
     assert S.layout_blocks(docs, 1).where("page_number > 1").count() == 0
 
 
+def test_layout_of_any_depth(spark):
+    deep = {"type": "text", "text": "end"}
+    for _ in range(30):
+        deep = {"type": "text", "content": [deep, 7, None, {"other": "x"}]}
+    pages = [[{"type": "paragraph", "paragraph_content": [{"content": [deep, "<b>bold</b> text"]}]}, {"type": "image", "text": "", "chart_caption": [[{"caption": [{"text": "图 2"}]}]]}, {"block_type": "Title", "level": 9, "title_content": [], "text": "T"}, {"type": "table", "table_body": None, "html": "<table><tr><td>a</td></tr></table>"}, {"type": "text", "text": [], "content": None}]]
+    rows = [("a", "pages", json.dumps(pages)), ("b", "pages", "{oops"), ("c", "flat", "{}"), ("d", "middle", None), ("e", "pages", '[[1, "x"], 5]')]
+    text, tables, captions = S.route_blocks(S.layout_blocks(spark.createDataFrame(rows, "doc_id string, variant string, json string")))
+    assert [(r.line, r.level) for r in text.where("doc_id = 'a'").orderBy("pos").collect()] == [("end" + " 7" * 30 + " bold text", None), ("T", 6)]
+    assert [r.rows for r in tables.collect()] == [[["a"]]] and [r.caption for r in captions.collect()] == ["图 2"]
+    assert text.where("doc_id <> 'a'").count() == 0
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"case_id": "a", "n": 1}\n\n# note\n{"case_id": "b"}\n')
     df = S.read_jsonl(spark, str(tmp_path / "x.jsonl"), "case_id string, n int")
