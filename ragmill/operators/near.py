@@ -164,3 +164,86 @@ def settle(candidates: DataFrame, memories: DataFrame, marks: DataFrame, least:
     # copies of a vector without direction have no bucket: each is a memory of its own
     apart = rest.join(odd.join(reps.select("candidate_id", "user_id", "same"), "candidate_id").select("user_id", "same"), ["user_id", "same"], "left_semi").select(F.col("a").alias("candidate_id"), F.col("a").alias("memory_id"), F.lit(None).cast("double").alias("cosine"))
     return _kept(alone.unionByName(best).unionByName(apart), "settled"), new.drop("seq")
+
+
+def clusters_of(vectors: DataFrame, most: int = 256, sample: int = 20_000, seed: int = SEED) -> DataFrame:
+    """(chunk_id, vector, cluster, angle): each vector with the nearest of up to ``most`` centres and the angle to it.
+
+    Centres are vectors of a bounded random sample; which they are does not change any result of a search. Rows with a null
+    id or vector, zero vectors and those with components that are no numbers are left out.
+    """
+    spark = vectors.sparkSession
+    fits = vectors.where("chunk_id is not null and vector is not null").select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
+    some = fits.select("vector").orderBy(F.xxhash64("chunk_id", F.lit(seed))).limit(min(most, sample)).collect()
+    found = [x for x in (np.array(r.vector) for r in some) if len(x) and np.isfinite(x).all() and x.any()]
+    centres = {n: np.stack([x / np.linalg.norm(x) for x in found if len(x) == n]) for n in {len(x) for x in found}}
+    first = dict(zip(centres, np.cumsum([0, *(len(c) for c in centres.values())]).tolist()))
+    shared = spark.sparkContext.broadcast((centres, first))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begin = shared.value
+        for big in batches:
+            for at in range(0, big.num_rows, SLICE):
+                b = big.slice(at, SLICE)
+                cluster, angle = np.full(b.num_rows, -1, np.int64), np.zeros(b.num_rows)
+                for i, v in enumerate(b.column(1).to_pylist()):
+                    x = np.array(v, np.float64)
+                    if not len(x) or not np.isfinite(x).all() or not x.any():
+                        cluster[i] = -2
+                    elif len(x) in held:
+                        c = held[len(x)] @ (x / np.linalg.norm(x))
+                        cluster[i], angle[i] = begin[len(x)] + c.argmax(), np.arccos(min(1.0, c.max()))
+                    else:  # a length that the sample has not: all of them are one cluster, which is never skipped
+                        angle[i] = np.pi
+                out = pa.RecordBatch.from_arrays([*b.columns, pa.array(cluster), pa.array(angle)], names=["chunk_id", "vector", "cluster", "angle"])
+                yield out.filter(pa.array(cluster > -2))
+
+    return fits.mapInArrow(run, f"chunk_id {dict(fits.dtypes)['chunk_id']}, vector array<double>, cluster long, angle double")
+
+
+def dense_clustered(queries: DataFrame, vectors: DataFrame, k: int = 30, most: int = 256) -> tuple[DataFrame, DataFrame]:
+    """((query_id, chunk_id, score, rank), (query_id, cluster) opened): the exact nearest chunks by cosine, for any number of queries.
+
+    Vectors are read once and dealt to clusters. A cluster's centre and widest angle bound the angle of a query to all it
+    holds, from below and above; with the clusters' sizes the upper bounds give an angle that the k-th nearest can't exceed,
+    and a query opens the clusters whose lower bound is not beyond it. Queries and vectors then meet by cluster, in blocks.
+    Nothing of the queries passes the driver; of the clusters, up to ``most`` rows do. Vectors of other lengths than the
+    query's, zero vectors and null ones match nothing; ties go to the smaller chunk_id.
+    """
+    from ragmill.operators.retrieve import dense_within
+
+    dealt = _kept(clusters_of(vectors, most), "dealt")
+    sizes = dealt.groupBy("cluster").agg(F.count("*").alias("n"), F.max("angle").alias("wide"), F.min_by("vector", F.struct("angle", F.xxhash64("chunk_id"))).alias("mid"), F.min("angle").alias("off")).collect()
+    table = [(r.cluster, r.n, r.wide + r.off, np.array(r.mid) / np.linalg.norm(r.mid)) for r in sizes]
+    shared = vectors.sparkSession.sparkContext.broadcast(table)
+    kind = dict(queries.dtypes)["query_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = shared.value
+        for big in batches:
+            for at in range(0, big.num_rows, SLICE):
+                b = big.slice(at, SLICE)
+                rows, clusters = [], []
+                for i, v in enumerate(b.column(1).to_pylist()):
+                    q = np.array(v, np.float64)
+                    if not len(q) or not np.isfinite(q).all() or not q.any():
+                        continue
+                    q = q / np.linalg.norm(q)
+                    near = [(c, n, w, math.acos(max(-1.0, min(1.0, float(q @ m)))) if len(m) == len(q) else 0.0) for c, n, w, m in told if len(m) == len(q) or c == -1]
+                    near.sort(key=lambda x: x[2] + x[3])
+                    reach, seen = math.pi, 0
+                    for c, n, w, a in near:
+                        seen += n if c != -1 else 0
+                        if seen >= k:
+                            reach = min(math.pi, w + a)
+                            break
+                    for c, _, w, a in near:
+                        if c == -1 or math.cos(max(0.0, min(math.pi, a - w))) >= math.cos(reach) - 2e-6:
+                            rows.append(i)
+                            clusters.append(c)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), b.column(1).take(pa.array(rows, pa.int64())), pa.array(clusters, pa.int64())], names=["query_id", "vector", "cluster"])
+
+    asked = queries.where("query_id is not null and vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    opened = _kept(asked.mapInArrow(run, f"query_id {kind}, vector array<double>, cluster long"), "opened")
+    found = dense_within(opened, dealt.select("cluster", "chunk_id", "vector"), "cluster", k)
+    return ranked(found, ["query_id"], [F.desc("score"), "chunk_id"], k), opened.select("query_id", "cluster")

@@ -94,7 +94,14 @@ def streamed_memories(spark: SparkSession, sf: str) -> DataFrame:
     return memories.memories().select("memory_id", "user_id", F.round("importance", 6).alias("importance"), F.round("confidence", 6).alias("confidence"), F.array_join("tags", ",").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (maintained_bm25, pruned_bm25, term_hits, rewrite_synonyms, near_copies, streamed_memories)}
+def dense_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of dense_topk, with each query opening the clusters that bounds do not rule out."""
+    q = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return N.dense_clustered(q, v, 10)[0]
+
+
+QUERIES = {f.__name__: f for f in (dense_clusters, maintained_bm25, pruned_bm25, term_hits, rewrite_synonyms, near_copies, streamed_memories)}
 
 
 def _cjk_sql(text: str) -> str:
@@ -110,6 +117,7 @@ near AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_produ
 _PAIRS = [(i, j, t, s) for i, (t, many) in enumerate(R.SYNONYMS.items()) for j, s in enumerate(many)]
 ORACLE_SQL = {
     "maintained_bm25": RETRIEVAL_SQL["bm25_topk"],
+    "dense_clusters": RETRIEVAL_SQL["dense_topk"],
     "pruned_bm25": RETRIEVAL_SQL["bm25_topk"],
     "near_copies": f"WITH {_MOVED} SELECT * FROM near WHERE score >= 0.88",
     # embeddings are far from each other, so each is a memory and takes in what is near it

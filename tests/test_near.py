@@ -88,3 +88,28 @@ def test_vectors_without_direction(spark, tmp_path):
     assert {r[0] for r in rows_of(table)} == {"a", "b", "c"}
     table.apply(spark.createDataFrame([], CANDIDATE), 1)
     assert len(rows_of(table)) == 3
+
+
+def test_clusters_give_the_exact_nearest(spark):
+    rng = np.random.default_rng(9)
+    centres = unit(rng.standard_normal((20, 12)))
+    v = unit(centres[rng.integers(20, size=1500)] + 0.03 * rng.standard_normal((1500, 12)))
+    q = unit(centres[rng.integers(20, size=60)] + 0.03 * rng.standard_normal((60, 12)))
+    vectors = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, [0.0] * 12), (5001, None), (None, v[0].tolist()), (5002, [1.0, 2.0]), (5003, v[0].tolist())]
+    queries = [(i, x.tolist()) for i, x in enumerate(q)] + [(900, [0.0] * 12), (901, None), (902, [1.0, 2.0])]
+    df = spark.createDataFrame(vectors, "chunk_id long, vector array<double>")
+    hits, opened = N.dense_clustered(spark.createDataFrame(queries, "query_id long, vector array<double>"), df, 5, 40)
+    every = np.vstack([v, v[:1]])
+    ids = [*range(1500), 5003]
+    want = {}
+    for i, x in enumerate(q):
+        s = np.round(every @ x, 6)
+        order = sorted(range(len(ids)), key=lambda j: (-s[j], ids[j]))[:5]
+        want |= {(i, r + 1): ids[j] for r, j in enumerate(order)}
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in hits.collect()}
+    assert {k: c for k, c in got.items() if k[0] < 900} == want
+    assert {c for k, c in got.items() if k[0] >= 900} == {5002}
+    n = len({r.cluster for r in opened.collect()})
+    assert opened.where("query_id < 900").count() < 0.5 * 60 * n
+    assert N.dense_clustered(spark.createDataFrame([], "query_id long, vector array<double>"), df, 5, 40)[0].count() == 0
+    assert N.dense_clustered(spark.createDataFrame(queries, "query_id long, vector array<double>"), df.limit(0), 5, 40)[0].count() == 0
