@@ -14,8 +14,9 @@ from ragmill.plans import retrieval
 from ragmill.plans.catalog import PICKED
 from ragmill.plans.ingest import DOC_LINES, SQUEEZE, children_sql, papers
 from ragmill.plans.ingest import ORACLE_SQL as INGEST_SQL
+from ragmill.plans.evidence import RER
 from ragmill.plans.memory import messages
-from ragmill.plans.retrieval import table
+from ragmill.plans.retrieval import TOKENS, table
 from ragmill.sources import readers as S
 
 
@@ -197,3 +198,12 @@ _PAGE_TEXT = INGEST_SQL["web_text"]
 ORACLE_SQL["layout_sections"] = f"""WITH t AS (SELECT page_id AS doc_id, {SQUEEZE.format("text")} AS text FROM ({_PAGE_TEXT}))
 SELECT doc_id, 1 AS section_no, {SQUEEZE.format("url")} AS title, {SQUEEZE.format("url")} AS path, 1 AS level, 1 AS page_start, text FROM t JOIN pages ON page_id = doc_id WHERE text <> ''"""
 ORACLE_SQL["layout_tables"] = f"SELECT page_id AS doc_id, 1 AS page_number, {SQUEEZE.format('url')} AS title, text FROM ({INGEST_SQL['page_links']}) JOIN pages USING (page_id)"
+ORACLE_SQL["local_and_web"] = f"""WITH {RER}, wc AS ({INGEST_SQL["web_chunks"]}),
+w AS (SELECT page_id // 10 AS query_id, substr(sha1(coalesce(url, '') || '|' || text || '|' || chunk_no), 1, 20) AS chunk_id, text FROM wc JOIN pages USING (page_id)),
+both_ AS (SELECT query_id, chunk_id::VARCHAR AS chunk_id, text, final_score AS fusion FROM rer
+  UNION ALL SELECT query_id, chunk_id, text, 0.5::DOUBLE / (100 + row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)) FROM w WHERE query_id IN (SELECT item_id FROM benchmark)),
+one AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY fusion DESC) = 1),
+tk AS (SELECT o.*, list_distinct({TOKENS.format("b.text")}) AS q, {TOKENS.format("o.text")} AS t FROM one o JOIN benchmark b ON b.item_id = o.query_id),
+sc AS (SELECT query_id, chunk_id, fusion, round(CASE WHEN len(q) = 0 OR len(t) = 0 THEN least(fusion * 10, 0.05)
+  ELSE 0.75::DOUBLE * len(list_intersect(q, t)) / len(q) + 0.1::DOUBLE * sqrt(len(list_filter(t, lambda x: list_contains(q, x)))::DOUBLE / len(t)) + least(fusion * 10, 0.15) END, 6) AS final_score FROM tk)
+SELECT query_id, chunk_id, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, fusion DESC, chunk_id)::INTEGER AS rank FROM sc QUALIFY rank <= 10"""

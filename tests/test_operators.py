@@ -340,3 +340,21 @@ def test_order_statistics_of_close_values(spark):
     one = E.describe(df, "v", []).first()
     every = sorted(x for v in values.values() for x in v)
     assert one.p10 == every[round((n - 1) * 0.1)] and one.median == (every[n // 2 - 1] + every[n // 2]) / 2
+
+
+def test_context_parts_and_memory_lines(spark):
+    """Parts come in order, sessions without a state have recent messages only; memory answers keep to the topic."""
+    from ragmill.operators import memory as M
+
+    m = [("s", "m1", "user", "问 一", 1), ("s", "m2", "assistant", "x" * 600, 2), ("s", "m3", "tool", "out", 3), ("t", "m4", "user", "only", 1)]
+    messages = spark.createDataFrame(m, "session_id string, message_id string, role string, content string, created_at int")
+    state = [("s", "goal", None, ["a", " "], [], ["done"], "", [("step 1", "ok", "fine"), (None, "", "")], ["m3", "m4", "m1"])]
+    states = spark.createDataFrame(state, "session_id string, current_goal string, current_step string, constraints array<string>, pending_items array<string>, completed_items array<string>, rolling_summary string, intermediate_results array<struct<step:string,status:string,summary:string>>, pinned_message_ids array<string>")
+    got = {(r.session_id, r.title): r.body for r in M.context_sections(states, messages, 2).where("trim(body) <> ''").collect()}
+    long = "助手：" + "x" * 500 + "..."
+    assert got == {("s", "当前任务目标"): "goal", ("s", "当前约束"): "- a", ("s", "已完成事项"): "- done", ("s", "中间结果"): "- step 1：ok：fine", ("s", "关键消息"): "tool：out\n用户：问 一", ("s", "最近对话"): f"{long}\ntool：out", ("t", "最近对话"): "用户：only"}
+    fitted = {r.session_id: r.text for r in M.fit_sections(M.context_sections(states, messages, 2)).collect()}
+    assert fitted["s"].startswith("# 当前任务目标") and fitted["t"] == "# 最近对话\n用户：only"
+    prompts = [(1, "我的笔记", "- [semantic|0.90] 标题用中文\n\n- plain\n- [x] - 笔记 two"), (2, "other", "- [a|1] one\n-- two"), (3, "火灾", "- [a|1] nothing here"), (4, None, None)]
+    lines = M.memory_lines(spark.createDataFrame(prompts, "query_id int, query string, prompt string"))
+    assert sorted(map(tuple, lines.collect())) == [(1, 1, "标题用中文"), (1, 2, "笔记 two"), (2, 1, "one"), (2, 2, "two"), (3, 1, "nothing here")]
