@@ -48,7 +48,7 @@ def made():
     rng = np.random.default_rng(5)
     centres = unit(rng.standard_normal((12, 16)))
     rows = []
-    for i in range(160):
+    for i in range(96):
         c = centres[0] if i % 3 == 0 else centres[rng.integers(12)]
         v = c + rng.choice([0.0, 0.02, 0.12]) * rng.standard_normal(16)
         rows.append((f"c{i:03}", f"u{0 if i % 3 == 0 else i % 2}", i // 2, f"text {i}", 0.5 if i % 11 == 0 else 0.8 + i % 7 / 100, 0.7 + i % 5 / 100, [f"t{i % 4}"], v.tolist()))
@@ -62,10 +62,10 @@ def rows_of(table):
 def test_any_split_gives_the_same_memories(spark, tmp_path):
     rows = made()
     want = sequential(rows)
-    assert 15 < len(want) < 100
-    for name, size in (("one", 160), ("four", 48)):
+    assert 10 < len(want) < 80
+    for name, size in (("one", 96), ("three", 40)):
         table = MemoryTable(spark, f"file://{tmp_path}/{name}", bits=4, miss=1e-7, buckets=2, most=2)
-        for n, at in enumerate(range(0, 160, size)):
+        for n, at in enumerate(range(0, 96, size)):
             table.apply(spark.createDataFrame(rows[at : at + size], CANDIDATE), n)
         assert rows_of(table) == want
         table.apply(spark.createDataFrame([("zz", "u0", 999, "again", 0.9, 0.9, ["x"], [1.0] * 16)], CANDIDATE), n)
