@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import new_path, tidy
+from ragmill.llm.common import materialize, new_path, tidy
 
 DATE = "2024-01-01T00:00:00Z"
 MIN_REVISIT = 0
+#: Digests a task remembers, so as to deflate a payload once; what it forgets is dropped behind the shuffle.
+HELD = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The base32 alphabet.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -33,11 +35,12 @@ def _base32(sha1_hex: str):
 def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, date: str = DATE) -> None:
     """Writes one WARC record per row of ``pages(page_id, url, html)`` as two tables under ``path``.
 
-    ``headers``: page_id, sha256 of the payload and the exact WARC and HTTP header bytes. ``payloads``: sha256 and the
+    ``headers``: page_id, sha256 of the payload, whether it is a revisit, and the exact WARC and HTTP header bytes. ``payloads``: sha256 and the
     payload, deflated, once per digest. The record with the smallest page_id of equal payloads of at least ``min_revisit``
     bytes is a response, others revisit it. Null html is an empty payload. Rows that repeat a page_id with the same payload
     are alike; a null page_id is written as empty and is response only where no equal payload has an id. Control characters
-    in urls are percent-encoded, a null url gives no target header. Extra columns are ignored.
+    in urls are percent-encoded, a null url gives no target header. An empty table
+    gives an archive without records. Extra columns are ignored.
     """
     html = F.coalesce("html", F.lit(""))
     known = pages.select("page_id", "url", html.alias("html")).withColumn("sha256", F.sha2("html", 256))
@@ -59,27 +62,36 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, d
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.when(F.col("revisit"), F.octet_length("http")).otherwise(F.octet_length("http") + F.col("n")).cast("string")),
     ]
-    headers = placed.withColumn("http", http).select("page_id", "sha256", F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.col("http")).alias("header"))
+    headers = placed.withColumn("http", http).select("page_id", "sha256", "revisit", F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.col("http")).alias("header"))
     headers.write.parquet(f"{path}/headers")
 
     def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for b in batches:
-            packed = pa.array([zlib.compress(x.as_py().encode(), 6) for x in b.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), packed], names=["page_id", "sha256", "payload"])
+            digests, packed = [], []
+            for digest, body in zip(b.column(0).to_pylist(), b.column(1)):
+                if digest not in seen:
+                    if len(seen) == HELD:
+                        seen.clear()
+                    seen.add(digest)
+                    digests.append(digest), packed.append(zlib.compress(body.as_py().encode(), 6))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(packed, pa.binary())], names=["sha256", "payload"])
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    packed = known.select("page_id", "html", "sha256").mapInArrow(tidy(deflate), f"page_id {kind}, sha256 string, payload binary")
-    chosen = first.select(F.col("first_id").alias("page_id"), F.col("sha256").alias("digest"))
-    stored = packed.join(chosen, F.col("sha256").eqNullSafe(F.col("digest")) & packed["page_id"].eqNullSafe(chosen["page_id"])).select(packed["page_id"], "sha256", "payload")
-    stored.dropDuplicates(["page_id", "sha256"]).select("sha256", "payload").write.option("compression", "none").parquet(f"{path}/payloads")
+    # equal digests are equal bytes, so any copy will do: a task sends a payload once, however often it holds it
+    packed = known.select("sha256", "html").mapInArrow(tidy(deflate), "sha256 string, payload binary")
+    packed.dropDuplicates(["sha256"]).write.option("compression", "none").parquet(f"{path}/payloads")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, sha256, header, payload (deflated): the archive's records, headers joined with the payload of their digest.
+    """page_id, sha256, revisit, header, payload (deflated): the archive's records, each with the body it holds itself.
 
-    One payload a hot digest is joined with many headers; the join is a plain equi-join that Spark may split.
+    Headers of responses are joined with the payload of their digest, null where the archive lacks it; a revisit has an
+    empty body, so a payload travels to its response alone, however many records revisit it.
     """
-    return spark.read.parquet(f"{path}/headers").join(spark.read.parquet(f"{path}/payloads"), "sha256").select("page_id", "sha256", "header", "payload")
+    headers = spark.read.parquet(f"{path}/headers")
+    responses = headers.where("not revisit").join(spark.read.parquet(f"{path}/payloads"), "sha256", "left")
+    revisits = headers.where("revisit").withColumn("payload", F.lit(zlib.compress(b"")))
+    return responses.unionByName(revisits).select("page_id", "sha256", "revisit", "header", "payload")
 
 
 def record_bytes(header: str, payload: bytes) -> bytes:
@@ -101,32 +113,42 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: each record rebuilt, parsed and verified.
 
-    Raises if a payload's SHA-256 differs from its address, a SHA-1 from its header, or a length from its record.
+    Responses are rebuilt with their payload, which gives its verified length and SHA-1, one narrow row a digest; revisits
+    are joined with that row. Raises if a payload is missing or its SHA-256 differs from its address, a SHA-1 from a header,
+    or a length from its record. An empty archive gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, body, sha1 = None, b"", ""
         for b in batches:
             out = []
             for page_id, digest, header, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-                if digest != last:
-                    body = zlib.decompress(packed.as_py())
-                    last, sha1 = digest, base64.b32encode(hashlib.sha1(body).digest()).decode()
-                    if hashlib.sha256(body).hexdigest() != digest:
-                        raise ValueError(f"payload differs from its digest {digest}")
+                if not packed.is_valid:
+                    raise ValueError(f"the archive lacks payload {digest} of page {page_id}")
+                body = zlib.decompress(packed.as_py())
                 fields, block = parse_record(record_bytes(header, body))
                 kind, stated = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 _, _, payload = block.partition(b"\r\n\r\n")
-                if stated != sha1 or payload != (body if kind == "response" else b""):
+                if payload != body:
                     raise ValueError(f"record of page {page_id} differs from its payload")
+                if kind == "response":
+                    if hashlib.sha256(body).hexdigest() != digest:
+                        raise ValueError(f"payload differs from its digest {digest}")
+                    if stated != base64.b32encode(hashlib.sha1(body).digest()).decode():
+                        raise ValueError(f"record of page {page_id} states another digest than its payload's")
                 refers = re.fullmatch(r"<urn:x-page:(.*)>", fields.get("WARC-Refers-To", ""))
-                out.append((page_id, len(body), stated, kind, refers[1] if refers else None))
+                out.append((digest, len(body), stated, kind, refers[1] if refers else None))
             cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[2:])], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            strings = [pa.array(c, pa.string()) for c in (cols[0], *cols[2:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), strings[0], pa.array(cols[1], pa.int64()), *strings[1:]], names=["page_id", "sha256", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    rows = records(spark, path)
+    rows = records(spark, path).select("page_id", "sha256", "header", "payload")
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(run), f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to string").withColumn("refers_to", F.col("refers_to").cast(kind))
+    parsed = materialize(rows.mapInArrow(tidy(run), f"page_id {kind}, sha256 string, payload_bytes long, payload_digest string, record_type string, refers_to string"), "records")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")]
+    verified = parsed.where("record_type = 'response'").select("sha256", F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("sha1")).distinct()
+    checked = F.when(F.col("sha1").isNull() | (F.col("sha1") != F.col("payload_digest")), F.raise_error(F.concat(F.lit("a revisit differs from the payload "), "sha256"))).otherwise(F.col("n"))
+    revisits = parsed.where("record_type = 'revisit'").join(verified, "sha256", "left").withColumn("payload_bytes", checked)
+    return parsed.where("record_type = 'response'").select(*out).unionByName(revisits.select(*out))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,29 @@ def test_empty_and_damaged(spark):
     spark.createDataFrame(bad, "sha256 string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception):
         read_archive(spark, path).collect()
+
+
+def test_hot_payload_travels_once(spark):
+    path, body = new_path(spark, "archive"), "x" * 50_000
+    rows = [(i, f"http://x/{i}", body if i % 3 else f"own {i}", "", "") for i in range(900)]
+    write_archive(spark.createDataFrame(rows, SCHEMA).repartition(6), path)
+    assert spark.read.parquet(f"{path}/payloads").count() == 301
+    held = {r.page_id: len(r.payload) for r in records(spark, path).collect() if r.revisit}
+    assert len(held) == 599 and max(held.values()) < 16
+    got = [tuple(r) for r in read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    assert sorted(got, key=str) == want(rows)
+
+
+def test_lost_payload_and_lost_response(spark):
+    path = new_path(spark, "archive")
+    write_archive(spark.createDataFrame([(1, "u", "ab", "", ""), (2, "u", "ab", "", ""), (3, "u", "cd", "", "")], SCHEMA), path)
+    headers, payloads = (spark.read.parquet(f"{path}/{t}").collect() for t in ("headers", "payloads"))
+    for lost, table in ((1, "headers"), (3, "payloads")):
+        broken = new_path(spark, "archive")
+        digest = next(r.sha256 for r in headers if r.page_id == lost)
+        keep = [r for r in headers if table != "headers" or r.page_id != lost]
+        spark.createDataFrame(keep, "page_id long, sha256 string, revisit boolean, header string").write.parquet(f"{broken}/headers")
+        rest = [r for r in payloads if table != "payloads" or r.sha256 != digest]
+        spark.createDataFrame(rest, "sha256 string, payload binary").write.parquet(f"{broken}/payloads")
+        with pytest.raises(Exception):
+            read_archive(spark, broken).collect()
