@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ragmill.llm.decontam import op3_decontam
-from ragmill.llm.embedding import EMBEDDING_SQL, op8_embedding
+from ragmill.llm.embedding import EMBEDDING_SQL, LINKS_SQL, embedding_links, op8_embedding
 from ragmill.llm.langid import LANGID_SQL, op10_langid
 from ragmill.llm.linededup import LINEDEDUP_SQL, op9_linededup
 from ragmill.llm.pieces import op4_sentencepiece
@@ -24,6 +24,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_embedding": op8_embedding,
+    "embedding_links": embedding_links,
     "op9_linededup": op9_linededup,
     "op10_langid": op10_langid,
     "op2_simhash": op2_simhash,
@@ -39,6 +40,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_hilbert": SHARDING_SQL,
     "op7_warc": WARC_SQL,
     "op8_embedding": EMBEDDING_SQL,
+    "embedding_links": LINKS_SQL,
     "op11_spelling": SPELLING_SQL,
     "op12_prefixtrie": PREFIXTRIE_SQL,
     "op13_urlfilter": URLFILTER_SQL,

@@ -1,6 +1,6 @@
 import numpy as np
 
-from ragmill.llm.embedding import encode, estimate, near_duplicates
+from ragmill.llm.embedding import MISS, encode, estimate, lanes, near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, label int, weight string, node string"
 
@@ -83,3 +83,30 @@ def test_vectors_of_one_id(spark):
     rows = [(5, a, 1), (5, b, 1), (6, [0.0, 1.0, 0.31, 0.0], 1), (7, [1.0, 0.0, 0.0, 0.21], 1), (8, [0.0, 0.0, 1.0, -1.0], 1)]
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in run(spark, rows))
     assert got == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (8, 0, 8, True)]
+
+
+def test_lanes_follow_the_number_of_rows(spark):
+    assert lanes(256, 16, 0.98).shape == (14, 16)
+    for width in (16, 19, 24, 30):
+        x = lanes(256, width, 0.98)
+        assert all(len(set(r)) == width for r in x.tolist())
+        rng = np.random.default_rng(width)
+        differ = rng.random((20_000, 256)) < np.arccos(0.98) / np.pi
+        assert differ[:, x].any(axis=2).all(axis=1).mean() < 2 * MISS
+    rows = sample(seed=5)
+    want = brute(rows)
+    for fill in (1e-3, 1e-4):  # as if labels held thousands of times as many rows: lanes of 18 and 21 bits
+        got = {r.vec_id: (r.n_links, r.component_id) for r in run(spark, rows, fill=fill, block=32)}
+        assert all(got[i][0] <= want[i][0] for i in want)
+        assert sum(g[0] for g in got.values()) >= 0.98 * sum(w[0] for w in want.values())
+
+
+def test_recall_on_many_links(spark):
+    rng = np.random.default_rng(8)
+    centre = np.repeat(rng.standard_normal((60, 64)), 60, axis=0)
+    x = centre / np.linalg.norm(centre, axis=1, keepdims=True) + rng.standard_normal((3600, 64)) * 0.0125
+    rows = [(i, v, 0) for i, v in enumerate(x)]
+    want = brute([(i, np.float32(v), lab) for i, v, lab in rows])
+    got = {r.vec_id: r.n_links for r in run(spark, [(i, np.float32(v), lab) for i, v, lab in rows])}
+    links = sum(w[0] for w in want.values()) // 2
+    assert links >= 50_000 and all(got[i] <= want[i][0] for i in want) and sum(got.values()) // 2 >= 0.99 * links
