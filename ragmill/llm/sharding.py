@@ -36,41 +36,56 @@ def _hilbert(cells: DataFrame, bits: int) -> DataFrame:
     return cells.withColumn("h", h.cast("int")).drop("flip")
 
 
+def _running(counts: DataFrame, order: list[str], tag: str) -> DataFrame:
+    """``counts(…, n)`` with before, the sum of n over all rows that come earlier in ``order`` (no two alike), and total.
+
+    Rows are dealt to ranges of the order; each range sums its own, and one row a range gives what comes before it.
+    """
+    ranged = materialize(counts.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), tag)
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("m"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("within", F.coalesce(within, F.lit(0))).join(parts, "part").withColumn("before", F.col("base") + F.col("within")).drop("part", "base", "within")
+
+
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, str] = ("lang", "source"), bits: int = BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Shards of equal row count cut from the Hilbert order of (first dim, second dim, text size).
 
     Returns doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, h, law ``rows``, shard, slot (gapless from 0), and
-    grown_shard (null under this law). String dims are quantised by the rank of their value over the whole range, sizes by bit length. Order on
-    the curve: h, the two dims, bit length, CRC-32 of doc_id as text, doc_id, CRC-32 of the text. Row r of N is in shard
-    floor(r * shards / N), so counts differ by one at most.
+    grown_shard (null under this law). String dims are quantised by the rank of their value over the whole range. Sizes fall
+    into eight classes a doubling and those into cells of about equal row counts, so the curve uses its whole range. Order on
+    the curve: h, the two dims, size class, c, doc_id, CRC-32 of the text; c is the CRC-32 of doc_id as text, that of the text
+    where doc_id is null. Row r of N is in shard floor(r * shards / N), so counts differ by one at most.
 
-    No task sorts more than about ``group_rows`` rows of one cell: a cell is divided by ranges of the doc_id's CRC into as
-    many groups as its count asks for; group sizes are summed into offsets (one row a group) and rows numbered in groups.
+    No task sorts more than about ``group_rows`` rows of one cell, unless they share a doc_id: a cell is divided by ranges of
+    c into as many groups as its count asks for; group sizes are summed into offsets (one row a group) and rows numbered in groups.
     Null texts have size 8 and CRC 0, null dims and null doc_ids count as empty strings in the order. Repeated rows are rows
-    like others; an empty table gives no row; extra columns are ignored. The distinct values of a dim and the groups of cells
-    are numbered in one task each, a narrow row a value or group: dims are meant for metadata of few values, not for urls.
+    like others; an empty table gives no row; extra columns are ignored. Values of a dim and groups of cells are numbered by
+    ranges, so a dim may have any number of values; one task sees one row a range, and one a size class.
     """
     text = F.coalesce("text", F.lit(""))
     narrow = materialize(
         docs.select(
             "doc_id", F.coalesce(F.col(dims[0]).cast("string"), F.lit("")).alias("d0"), F.coalesce(F.col(dims[1]).cast("string"), F.lit("")).alias("d1"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-        ).withColumn("b", F.length(F.bin("size"))).withColumn("c", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        )
+        .withColumn("b", F.expr("cast(length(bin(size)) * 8 + (shiftright(size, length(bin(size)) - 4) & 7) as int)"))
+        .withColumn("c", F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.col("text_crc32"))),
         "narrow",
     )
-    key = ["d0", "d1", "b"]
-    top = (1 << bits) - 1
-    every = Window.partitionBy()
-    cells = narrow.groupBy(*key).agg(F.count("*").alias("n"))
+    key, side = ["d0", "d1", "b"], 1 << bits
+    cells = materialize(narrow.groupBy(*key).agg(F.count("*").alias("n")), "counts")
     for i in range(2):
-        values = narrow.groupBy(f"d{i}").agg(F.count("*").alias("_n")).withColumn(f"r{i}", F.row_number().over(Window.orderBy(f"d{i}")) - 1).withColumn(f"x{i}", F.expr(f"cast(r{i} * {top + 1} div count(*) over () as int)"))
-        cells = cells.join(values.select(f"d{i}", f"x{i}"), f"d{i}")
-    cells = cells.withColumn("x2", F.least(F.col("b"), F.lit(top)).cast("int"))
+        values = _running(cells.select(f"d{i}").distinct().withColumn("n", F.lit(1)), [f"d{i}"], "values")
+        cells = cells.join(values.select(f"d{i}", F.expr(f"cast(before * {side} div total as int)").alias(f"x{i}")), f"d{i}")
+    classes, earlier = cells.groupBy("b").agg(F.sum("n").alias("m")), Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before, total = F.coalesce(F.sum("m").over(earlier), F.lit(0)), F.sum("m").over(Window.partitionBy())
+    classes = classes.withColumns({"before": before, "total": total}).select("b", F.expr(f"cast(before * {side} div total as int)").alias("x2"))
+    cells = cells.join(classes, "b")
     cells = materialize(_hilbert(cells, bits).select(*key, "h", F.expr(f"cast((n + {group_rows - 1}) div {group_rows} as int)").alias("parts")), "cells")
     placed = narrow.join(cells, key).withColumn("g", F.expr("cast(c * parts div 4294967296 as int)"))
     order = ["h", *key, "g"]
-    groups = placed.groupBy(*order).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = materialize(groups.select(*order, F.coalesce(before, F.lit(0)).alias("offset"), F.sum("n").over(every).alias("total")), "offsets")
+    offsets = materialize(_running(placed.groupBy(*order).agg(F.count("*").alias("n")), order, "groups").select(*order, F.col("before").alias("offset"), "total"), "offsets")
     within = F.row_number().over(Window.partitionBy(*order).orderBy("c", "doc_id", "text_crc32")) - 1
     ranked = placed.withColumn("within", within).join(offsets, order).withColumn("r", F.col("offset") + F.col("within"))
     out = ranked.withColumn("shard", F.expr(f"cast(r * {shards} div total as int)"))
@@ -138,16 +153,18 @@ def _sql() -> str:
 
     return f"""
 WITH crc AS MATERIALIZED (SELECT {CRC_TABLE} AS tab),
-narrow AS MATERIALIZED (
+sized AS (
   SELECT doc_id, coalesce(lang, '') AS d0, coalesce(source, '') AS d1, (octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS size,
-    length(bin((octet_length(encode(coalesce(text, ''))) + 8)::BIGINT)) AS b, ({crc32_sql("doc_id::VARCHAR")})::BIGINT AS c, ({crc32_sql("coalesce(text, '')")})::BIGINT AS text_crc32
+    length(bin((octet_length(encode(coalesce(text, ''))) + 8)::BIGINT))::INTEGER AS bits, ({crc32_sql("coalesce(doc_id::VARCHAR, text, '')")})::BIGINT AS c, ({crc32_sql("coalesce(text, '')")})::BIGINT AS text_crc32
   FROM documents, crc),
+narrow AS MATERIALIZED (SELECT *, bits * 8 + ((size >> (bits - 4)) & 7) AS b FROM sized),
 v0 AS (SELECT d0, ((row_number() OVER (ORDER BY d0) - 1) * 32 // count(*) OVER ())::INTEGER AS x0 FROM (SELECT DISTINCT d0 FROM narrow)),
 v1 AS (SELECT d1, ((row_number() OVER (ORDER BY d1) - 1) * 32 // count(*) OVER ())::INTEGER AS x1 FROM (SELECT DISTINCT d1 FROM narrow)),
-x AS (SELECT d0, d1, b, x0, x1, least(b, 31)::INTEGER AS x2 FROM (SELECT DISTINCT d0, d1, b FROM narrow) JOIN v0 USING (d0) JOIN v1 USING (d1)),
+v2 AS (SELECT b, ((sum(n) OVER (ORDER BY b) - n) * 32 // sum(n) OVER ())::INTEGER AS x2 FROM (SELECT b, count(*) AS n FROM narrow GROUP BY 1)),
+x AS (SELECT d0, d1, b, x0, x1, x2 FROM (SELECT DISTINCT d0, d1, b FROM narrow) JOIN v0 USING (d0) JOIN v1 USING (d1) JOIN v2 USING (b)),
 {_curve_sql()},
 ranked AS (
-  SELECT n.*, h, row_number() OVER (ORDER BY h, d0, d1, b, c, doc_id, text_crc32) - 1 AS r, count(*) OVER () AS total
+  SELECT n.*, h, row_number() OVER (ORDER BY h, d0, d1, b, c, doc_id NULLS FIRST, text_crc32) - 1 AS r, count(*) OVER () AS total
   FROM narrow n JOIN curve USING (d0, d1, b))
 SELECT doc_id, size, text_crc32, h, 'rows' AS law, (r * {SHARDS} // total)::INTEGER AS shard,
   (r - ((r * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM ranked
