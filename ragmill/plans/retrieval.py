@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ragmill.operators import index as I
 from ragmill.operators import retrieve as R
 
+#: Characters that the query vectors' model takes.
+MODEL_CHARS = 300
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -81,6 +84,26 @@ def merge_variants(spark, sf):
     return R.merge_variants(variant_hits(spark, sf), 10).withColumn("variants", F.array_join(F.transform("variants", lambda x: x.cast("string")), ","))
 
 
+def dense_variants(spark, sf):
+    """The dense leg over all forms of each item by hashed vectors; forms over the model's length fail."""
+    v = R.rewrite(bench(spark, sf)).withColumn("error", F.when(F.length("variant") > MODEL_CHARS, "too long"))
+    docs = I.hashed_dense(corpus(spark, sf))
+
+    def search(q):
+        vectors = I.hashed_dense(q.select(F.col("query_id").alias("chunk_id"), F.col("variant").alias("text")))
+        return R.dense(vectors.withColumnRenamed("chunk_id", "query_id"), docs, 30)
+
+    return R.retrieve_variants(v, search)
+
+
+def variant_dense(spark, sf):
+    return dense_variants(spark, sf)[0].withColumn("variants", F.array_join(F.transform("variants", lambda x: x.cast("string")), ","))
+
+
+def variant_outcomes(spark, sf):
+    return dense_variants(spark, sf)[1]
+
+
 def legs(spark, sf):
     """Sparse leg by BM25; second leg by hashed vectors of the same texts."""
     q, d = bench(spark, sf), corpus(spark, sf)
@@ -115,9 +138,11 @@ def candidate_filter(spark, sf):
     return R.filter_counts(marked)
 
 
-QUERIES = {f.__name__: f for f in (token_df, corpus_stats, bm25_topk, sparse_topk, dense_topk, dense_metrics, hashed_embedding, rewrite_queries, merge_variants, rrf_fusion, lexical_rerank, cosine_rerank, candidate_filter)}
+QUERIES = {f.__name__: f for f in (token_df, corpus_stats, bm25_topk, sparse_topk, dense_topk, dense_metrics, hashed_embedding, rewrite_queries, merge_variants, variant_dense, variant_outcomes, rrf_fusion, lexical_rerank, cosine_rerank, candidate_filter)}
 
 TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9_+#.\\-]+|[\\x{{4e00}}-\\x{{9fff}}]'), lambda x: lower(x))"
+#: Tokens, then a pair for every two CJK tokens that are neighbours.
+PAIRED = "(SELECT list_concat(x, list_filter(list_transform(range(1, len(x)), lambda i: CASE WHEN regexp_full_match(x[i] || x[i + 1], '[\\x{{4e00}}-\\x{{9fff}}]{{2}}') THEN x[i] || x[i + 1] END), lambda y: y IS NOT NULL)) FROM (SELECT " + TOKENS + " AS x))"
 TOK = f"""toks AS MATERIALIZED (SELECT doc_id AS chunk_id, {TOKENS.format("text")} AS t FROM documents),
 post AS MATERIALIZED (SELECT chunk_id, len(t) AS length, term, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM toks) GROUP BY ALL),
 stats AS MATERIALIZED (SELECT count(*) AS n_chunks, greatest(avg(len(t)), 1.0) AS avg_length FROM toks),
@@ -144,9 +169,9 @@ def dense_sql(k: int, metric: str = "cosine") -> str:
     return f"SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round({s}, 6) + 0.0 AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({s}, 6) DESC, v.vec_id)::INTEGER AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY rank <= {k}"
 
 
-def hashed_sql(source: str, key: str, tag: str) -> str:
+def hashed_sql(source: str, key: str, tag: str, tokens: str = TOKENS) -> str:
     return f"""{tag}c AS (SELECT {key} AS id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::INTEGER AS i, sum(CASE WHEN ('0x' || substr(md5(term), 9, 2))::INTEGER % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v
-  FROM (SELECT {key}, unnest({TOKENS.format("text")}) AS term FROM {source}) GROUP BY ALL),
+  FROM (SELECT {key}, unnest({tokens.format("text")}) AS term FROM {source}) GROUP BY ALL),
 {tag} AS MATERIALIZED (SELECT id, i, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS x FROM {tag}c WHERE v <> 0)"""
 
 
@@ -175,6 +200,12 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id
     "merge_variants": f"""WITH {TOK}, v AS (SELECT query_id || '#' || variant_no AS key, * FROM ({VARIANTS})), {bm25_sql(10, "SELECT key AS query_id, variant AS text FROM v")}
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM (
   SELECT v.query_id, chunk_id, max(score) AS score, string_agg(variant_no::VARCHAR, ',' ORDER BY variant_no) AS variants FROM hits h JOIN v ON v.key = h.query_id GROUP BY ALL) QUALIFY rank <= 10""",
+    "variant_dense": f"""WITH v AS (SELECT query_id || '#' || variant_no AS key, variant AS text, * FROM ({VARIANTS})), {hashed_sql(f"(SELECT * FROM v WHERE length(text) <= {MODEL_CHARS})", "key", "hq", PAIRED)}, {hashed_sql("documents", "doc_id", "hd")},
+hits AS (SELECT key, chunk_id, score FROM (SELECT q.id AS key, d.id AS chunk_id, round(sum(q.x * d.x), 6) AS score FROM hq q JOIN hd d USING (i) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, chunk_id) <= 30)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM (
+  SELECT v.query_id, chunk_id, max(score) AS score, string_agg(variant_no::VARCHAR, ',' ORDER BY variant_no) AS variants FROM hits JOIN v USING (key) GROUP BY ALL) QUALIFY rank <= 30""",
+    "variant_outcomes": f"""SELECT query_id, count(*) AS n_variants, count(*) FILTER (length(variant) > {MODEL_CHARS}) AS n_failed, bool_and(length(variant) > {MODEL_CHARS}) AS failed
+FROM ({VARIANTS}) GROUP BY 1""",
     "rrf_fusion": f"WITH {FUSED} SELECT * FROM fused",
     "lexical_rerank": f"""WITH {FUSED}, c AS (SELECT f.query_id, f.chunk_id, f.fusion_score, list_distinct({TOKENS.format("b.text")}) AS q, t.t FROM fused f JOIN toks t USING (chunk_id) JOIN benchmark b ON b.item_id = f.query_id),
 s AS (SELECT query_id, chunk_id, fusion_score, round(0.75::DOUBLE * len(list_intersect(q, t)) / len(q) + 0.1::DOUBLE * sqrt(len(list_filter(t, lambda x: list_contains(q, x)))::DOUBLE / len(t)) + least(fusion_score * 10, 0.15), 6) AS final_score FROM c)

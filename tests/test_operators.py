@@ -358,3 +358,19 @@ def test_context_parts_and_memory_lines(spark):
     prompts = [(1, "我的笔记", "- [semantic|0.90] 标题用中文\n\n- plain\n- [x] - 笔记 two"), (2, "other", "- [a|1] one\n-- two"), (3, "火灾", "- [a|1] nothing here"), (4, None, None)]
     lines = M.memory_lines(spark.createDataFrame(prompts, "query_id int, query string, prompt string"))
     assert sorted(map(tuple, lines.collect())) == [(1, 1, "标题用中文"), (1, 2, "笔记 two"), (2, 1, "one"), (2, 2, "two"), (3, 1, "nothing here")]
+
+
+def test_failed_variants(spark):
+    import pytest
+    from ragmill.operators import retrieve as R
+
+    rows = [(1, 0, "a", None), (1, 1, "b", "timeout"), (2, 0, "c", "timeout"), (2, 1, "d", "timeout"), (3, 0, "e", None), (3, 0, "e", None), (None, 0, "x", None)]
+    variants = spark.createDataFrame(rows, "query_id long, variant_no int, text string, error string")
+    pairs = spark.createDataFrame([("a", 7, 0.5), ("b", 8, 0.9), ("c", 9, 0.9), ("e", 7, 0.1), ("e", 8, 0.1)], "text string, chunk_id long, score double")
+    hits, outcomes = R.retrieve_variants(variants, lambda q: q.join(pairs, "text").select("query_id", "chunk_id", "score"))
+    assert sorted((r.query_id, r["rank"], r.chunk_id, r.score, r.variants) for r in hits.collect()) == [(1, 1, 7, 0.5, [0]), (3, 1, 7, 0.1, [0]), (3, 2, 8, 0.1, [0])]
+    assert sorted(map(tuple, outcomes.collect())) == [(1, 2, 1, False), (2, 2, 2, True), (3, 1, 0, False)]
+    R.require_hits(outcomes)
+    R.require_hits(outcomes.limit(0))
+    with pytest.raises(RuntimeError):
+        R.require_hits(outcomes.where("failed"))
