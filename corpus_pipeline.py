@@ -44,6 +44,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, that with the smallest doc_id: five-word shingles, Jaccard 0.8 or more.
 
+    SimHash with multi-index hashing, as in op2, finds pairs first, which are verified by their shingles; prefix filtering then
+    finds all that fingerprints miss.
+
     Null, empty and wordless texts are one group. Of equal rows one stays, of rows of one doc_id with unlike texts each is a
     document; rows with null doc_id all stay; an empty table gives none.
     """

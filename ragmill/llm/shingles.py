@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles; candidates by prefix filtering."""
+"""Near-duplicates by exact Jaccard similarity of word shingles; candidates by SimHash, the rest by prefix filtering."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm.common import materialize, star_components, tidy, whole_groups
-from ragmill.llm.simhash import SEED
+from ragmill.llm.simhash import SEED, links, vote
 
 #: Sets of which one in SAMPLE is looked at for common shingles: those in more than COMMON of them, MOST of them at most.
 SAMPLE, COMMON, MOST = 16, 8, 200_000
@@ -104,18 +104,18 @@ def _common(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def shingle_marks(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, d, node, n, parity, wide, prefix) for each row of ``docs``: a digest of its text, name, size, parities and parities
-    with more room of its set, and the set's first shingles."""
+    """(doc_id, d, node, n, fp, parity, wide, prefix) for each row of ``docs``: a digest of its text, name, size, SimHash, parities
+    and parities with more room of its set, and the set's first shingles."""
     common = _common(docs, width)
 
     def row(i: int, d: int, text: str | None) -> tuple:
         h = shingle_set(text, width)
         late = _late(h, common)
         prefix = np.concatenate([h[~late], h[late]])[: len(h) - (4 * len(h) + 4) // 5 + 1]
-        return i, d, _node(h), len(h), _parity(h), _parity(h, ROOM), prefix.tobytes()
+        return i, d, _node(h), len(h), vote([h], len(h)), _parity(h), _parity(h, ROOM), prefix.tobytes()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _map(docs.select("doc_id", F.xxhash64("text").alias("d"), "text"), ["doc_id", "d", "text"], row, f"doc_id {kind}, d long, node long, n long, parity binary, wide binary, prefix binary")
+    return _map(docs.select("doc_id", F.xxhash64("text").alias("d"), "text"), ["doc_id", "d", "text"], row, f"doc_id {kind}, d long, node long, n long, fp long, parity binary, wide binary, prefix binary")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -213,24 +213,46 @@ def _rest(left: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("g", "h", "node", "root", "n", "side", "parity", "keys").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
+def close_pairs(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """(a, b), a < b: candidates among nodes(node, fp) by SimHash, those whose fingerprints differ in at most ``distance`` bits.
+
+    Unlike fingerprints meet by multi-index hashing, each stands by its smallest node; its other nodes are paired with that one.
+    """
+    fps = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fps")
+    found = links(fps.select("fp"), distance)
+    for x in "ab":
+        found = found.join(fps.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")), x)
+    found = found.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    same = nodes.select("node", "fp").join(fps, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return materialize(found.unionByName(same).distinct(), "close")
+
+
 def similar_links(docs: DataFrame, marks: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame:
     """Edges (a, b) between nodes, each of Jaccard similarity 0.8 or more; components are those of all such pairs.
 
-    Two such sets share at least four fifths of either's shingles, so in any one order of shingles their prefixes of a fifth
-    (and one) have a shingle in common. First each node is compared with the smallest one at each of its keys; then, at
-    keys whose nodes those links leave in several components, all nodes across components by their parities, in blocks. No
-    pair at a key is left out but those already connected; at a key of many nodes that stay apart, comparisons (not rows)
-    are quadratic.
+    The pairs that SimHash finds are verified first; that leaves similar sets whose fingerprints differ in more bits. Two such
+    sets share at least four fifths of either's shingles, so in any one order of shingles their prefixes of a fifth (and one)
+    have a shingle in common. So each node is then compared with the smallest one at each of its keys, unless they are
+    connected by now; then, at keys whose nodes those links leave in several components, all nodes across components by their
+    parities, in blocks. No pair at a key is left out but those already connected; at a key of many nodes that stay apart,
+    comparisons (not rows) are quadratic.
     """
+    close = close_pairs(nodes)
+    near = _similar(close, docs, nodes, width)
+    known = materialize(star_components(near), "known")
     keys = _spread(marks, "prefix", "node", "n")
     shared = keys.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("h", "hub")
     at = materialize(keys.join(shared, "h").distinct(), "keys")
-    tried = materialize(at.where("node <> hub").join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub").where(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    stars = _similar(tried, docs, nodes, width)
-    named = materialize(at.join(star_components(stars), "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root")), "named")
+    hubs = nodes.join(known, "node", "left").select(F.col("node").alias("hub"), F.col("n").alias("m"), F.coalesce("root", "node").alias("hub_root"))
+    pairs = at.where("node <> hub").select("hub", "node", "n").distinct().join(known, "node", "left").join(hubs, "hub")
+    pairs = pairs.where((F.coalesce("root", "node") != F.col("hub_root")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
+    stars = materialize(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(close, ["a", "b"], "left_anti"), "tried")
+    tried = stars.unionByName(close)
+    found = near.unionByName(_similar(stars, docs, nodes, width))
+    named = materialize(at.join(star_components(found), "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root")), "named")
     split = named.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count("*").alias("c")).where("r <> z and c > 2").select("h")
     rest = materialize(_rest(materialize(named.join(split, "h", "left_semi"), "left"), nodes).join(tried, ["a", "b"], "left_anti"), "rest")
-    return stars.unionByName(_similar(rest, docs, nodes, width))
+    return found.unionByName(_similar(rest, docs, nodes, width))
 
 
 def keep_dissimilar(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -242,7 +264,7 @@ def keep_dissimilar(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     named, d = docs.where("doc_id is not null"), "_d_9f3c"
     marks = materialize(shingle_marks(named, width), "marks")
-    nodes = materialize(marks.groupBy("node").agg(F.min(F.struct("doc_id", "d")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("wide").alias("wide")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.d").alias("d"), "n", "parity", "wide"), "nodes")
+    nodes = materialize(marks.groupBy("node").agg(F.min(F.struct("doc_id", "d")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("parity").alias("parity"), F.first("wide").alias("wide")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.d").alias("d"), "n", "fp", "parity", "wide"), "nodes")
     roots = star_components(similar_links(named, marks.select("node", "n", "prefix"), nodes, width))
     member = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("rep", "d").alias("r"))
     least = member.groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.rep").alias("doc_id"), F.col("r.d").alias(d))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,6 +17,15 @@ SEED = 42
 CHUNK = 1 << 15
 
 
+def vote(hashes: Iterable[np.ndarray], n: int) -> int:
+    """SimHash of ``n`` 64-bit hashes, given in arrays, as a signed integer: a bit is 1 if it is set in more than half of them."""
+    ones = np.zeros(64, np.int64)
+    for h in hashes:
+        for at in range(0, len(h), CHUNK):
+            ones += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     """64-bit SimHash of one text, as a signed integer.
 
@@ -32,11 +41,8 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - take + 1].tolist()
     ends = ends[take - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), CHUNK):
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(np.int64)[0])
+    chunks = (zip(starts[at : at + CHUNK], ends[at : at + CHUNK]) for at in range(0, len(starts), CHUNK))
+    return vote((np.array([xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in c], np.uint64) for c in chunks), len(starts))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:

@@ -71,3 +71,48 @@ def test_many_near_copies_in_blocks(spark, monkeypatch):
         rows.append((i, " ".join(t)))
     docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == brute(rows)
+
+
+def sets_of(rows):
+    return list({shingles.shingle_set(t).tobytes(): shingles.shingle_set(t) for _, t in rows}.values())
+
+
+def brute_close(sets):
+    """Pairs of sets, by name, whose fingerprints differ in 4 bits or fewer, of each fingerprint's first and of it with its others; those of Jaccard 0.8 or more."""
+    nodes = sorted((shingles._node(h), h, sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h.view("u8")) > len(h))) for h in sets)
+    first = {}
+    for x in nodes:
+        first.setdefault(x[2], x[0])
+    pairs = [(x, y) for x in nodes for y in nodes if x[0] < y[0] and (x[2] ^ y[2]).bit_count() <= 4]
+    pairs = [(x, y) for x, y in pairs if x[0] == first[x[2]] and (x[2] == y[2] or y[0] == first[y[2]])]
+    like = [(x, y) for x, y in pairs if 9 * len(set(x[1].tolist()) & set(y[1].tolist())) >= 4 * (len(x[1]) + len(y[1]))]
+    return {(x[0], y[0]) for x, y in pairs}, {(x[0], y[0]) for x, y in like}
+
+
+def test_simhash_links_without_prefixes(spark):
+    """Where no prefix finds a pair, the fingerprints do: their pairs are those within 4 bits, verified by the sets."""
+    rnd = random.Random(11)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(50)) for _ in range(rnd.choice([5, 7, 400])))) for i in range(40)]
+    for i in range(40, 120):
+        t = rows[rnd.randrange(40)][1].split()
+        t[rnd.randrange(len(t))] = "x"
+        rows.append((i, " ".join(t)))
+    rows += [(900, None), (901, "")]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], SCHEMA)
+    marks = corpus_pipeline.materialize(shingles.shingle_marks(docs), "marks")
+    nodes = corpus_pipeline.materialize(marks.dropDuplicates(["node"]).withColumnRenamed("doc_id", "rep"), "nodes")
+    close, like = brute_close(sets_of(rows))
+    assert {(r.a, r.b) for r in shingles.close_pairs(nodes).collect()} == close and len(like) > 20
+    none = marks.select("node", "n", shingles.F.lit(b"").alias("prefix"))
+    assert {(r.a, r.b) for r in shingles.similar_links(docs, none, nodes).collect()} == like
+
+
+def test_stage_uses_simhash_pairs(spark, monkeypatch):
+    """The stage takes the pairs of SimHash first; what fingerprints miss is still found."""
+    seen, close_pairs = [], shingles.close_pairs
+    monkeypatch.setattr(shingles, "close_pairs", lambda *a: seen.append(close_pairs(*a)) or seen[-1])
+    rows = sample(1)
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == brute(rows)
+    close, like = brute_close(sets_of(rows))
+    assert len(seen) == 1 and {(r.a, r.b) for r in seen[0].collect()} == close and like
