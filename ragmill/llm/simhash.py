@@ -78,6 +78,8 @@ def links(fps: DataFrame, distance: int = 4, heavy: int = 2048) -> DataFrame:
     A table entry shared by more than ``heavy`` fingerprints would make many pairs. Its fingerprints are linked the other way:
     each emits its whole ball of radius d / 2 (rounded up and down for the sides); two within d bits share a midpoint, and
     all that share one are within d bits at even d, so each links to the smallest there. No cap, no lost link.
+
+    Spark takes an exploded ball for hardly larger than its fingerprints and would broadcast it, so balls are merge-joined.
     """
     half = 32
     high = distance // 2
@@ -110,14 +112,14 @@ def links(fps: DataFrame, distance: int = 4, heavy: int = 2048) -> DataFrame:
     fresh = (F.col("seg") == 0) | (F.bit_count(differ.bitwiseAND(-(1 << half))) > high)
     found = (
         table.select("seg", "key", F.col("fp").alias("a"))
-        .join(probe.select("seg", "key", F.col("fp").alias("b")), ["seg", "key"])
+        .join(probe.select("seg", "key", F.col("fp").alias("b")).hint("merge"), ["seg", "key"])
         .where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & once & fresh)
         .select("a", "b")
     )
     if crowded is not None:
         ball = crowded.select("fp", _ball("fp", _masks(64, distance // 2)).alias("mid"))
         first = ball.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
-        star = ball.join(first, "mid").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+        star = ball.join(first.hint("merge"), "mid").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
         found = found.unionByName(star)
     return found
 

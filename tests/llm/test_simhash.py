@@ -1,8 +1,9 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
-from ragmill.llm.simhash import fingerprint, keep_first, near_duplicates
+from ragmill.llm.simhash import fingerprint, keep_first, links, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string, component_id string"
 
@@ -77,3 +78,11 @@ def test_empty_and_repeated(spark):
 def test_chunks():
     text = " ".join(str(i % 977) for i in range(100_000))
     assert fingerprint(text) & (2**64 - 1) == brute_fp(text)
+
+
+def test_balls_are_never_broadcast(spark):
+    fps = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    for heavy in (2048, 0):
+        plan = links(fps, heavy=heavy)._jdf.queryExecution().sparkPlan().toString()
+        joins = [x for x in plan.split("\n") if "Join" in x and "Inner" in x]
+        assert joins and all("SortMergeJoin" in x for x in joins)
