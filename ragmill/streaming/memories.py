@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ragmill.operators.near import MISS, settle
+from ragmill.operators.near import MISS, settle, signatures
 from ragmill.sources.store import Segments
 
 #: Columns of candidates and of memories.
@@ -23,7 +23,7 @@ class MemoryTable:
     the union of tags. Only the buckets of the batch's users are read and written, only signatures of new memories are made,
     and a batch id that is not larger than the last one applied changes nothing, so a repeated batch does no harm. However a
     sequence of candidates is cut into batches, the memories after it are the same: a pair at the threshold escapes its
-    signatures with probability ``miss`` at most, and then does so in every cut.
+    signatures with probability ``miss`` at most, and then does so in every cut. ``load`` puts in memories as they are.
     """
 
     def __init__(self, spark: SparkSession, root: str, least: float = 0.88, importance: float = 0.72, confidence: float = 0.65, bits: int = 12, miss: float = MISS, buckets: int = 16, most: int = 4):
@@ -39,7 +39,11 @@ class MemoryTable:
         fields = [c for c in rows.columns if c not in ("memory_id", "bucket")]
         return rows.groupBy("bucket", "memory_id").agg(F.max_by(F.struct(*fields), "version").alias("m")).select("memory_id", "m.*", "bucket")
 
-    def apply(self, candidates: DataFrame, batch_id: int) -> None:
+    def load(self, memories: DataFrame, batch_id: int) -> None:
+        """Puts rows in that are memories already, as a table kept elsewhere has them: as ``apply`` does, but none is merged, however near others are."""
+        self.apply(memories, batch_id, merge=False)
+
+    def apply(self, candidates: DataFrame, batch_id: int, merge: bool = True) -> None:
         if batch_id <= self.store.count("applied")[2]:
             return
         version = self.store.version + 1
@@ -51,8 +55,12 @@ class MemoryTable:
         touched = {r.bucket for r in batch.select("bucket").distinct().collect()}
         now = self.memories(touched)
         batch = batch.join(now.select(F.col("memory_id").alias("candidate_id")), "candidate_id", "left_anti")
-        marks = self.store.read("signatures", _MARK, touched).drop("bucket")
-        fate, new = settle(batch.select("user_id", "candidate_id", "seq", "vector"), now.select("user_id", "memory_id", "vector"), marks, self.least, self.bits, self.miss)
+        if merge:
+            marks = self.store.read("signatures", _MARK, touched).drop("bucket")
+            fate, new = settle(batch.select("user_id", "candidate_id", "seq", "vector"), now.select("user_id", "memory_id", "vector"), marks, self.least, self.bits, self.miss)
+        else:
+            fate = batch.select("candidate_id", F.col("candidate_id").alias("memory_id"))
+            new = signatures(batch, "user_id", "candidate_id", self.bits, self.least, self.miss).withColumnRenamed("candidate_id", "memory_id")
         into = batch.drop("bucket").join(fate, "candidate_id").select("memory_id", "importance", "confidence", "tags", F.when(F.col("candidate_id") == F.col("memory_id"), F.struct("user_id", "content", "vector")).alias("own"))
         old = now.join(into.select("memory_id").distinct(), "memory_id", "left_semi").select("memory_id", "importance", "confidence", "tags", F.struct("user_id", "content", "vector").alias("own"))
         tags = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("tags", F.array().cast("array<string>"))))))

@@ -129,3 +129,17 @@ def test_near_copies_are_all_found(spark, tmp_path):
     want = {(int(i) + kept.COPY, int(j), s[i, j]) for i, j in zip(*np.nonzero(s >= 0.88))}
     got = {(r.query_id, r.chunk_id, r.score) for r in kept.near_copies(spark, str(tmp_path)).collect()}
     assert len(want) > 10_000 and got == want
+
+
+def test_streamed_copies_merge_into_near_memories(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((12, 64))
+    v = embeddings(spark, tmp_path, unit(np.vstack([base, base + 0.1 * rng.standard_normal((12, 64))])), [i % 2 for i in range(12)] * 2)
+    copies = v + ((np.arange(64)[None] + np.arange(24)[:, None]) % 3 - 1) * kept.SHIFT
+    s = np.round(unit(copies) @ unit(v).T, 6)
+    s[np.arange(24)[:, None] % 12 % 2 != np.arange(24)[None] % 12 % 2] = -1
+    want = {str(i): [i] for i in range(24)}
+    for i in range(24):
+        want[max((s[i, j], str(j)) for j in range(24))[1]].append(i + kept.COPY)
+    got = {r.memory_id: (r.importance, r.confidence, r.tags) for r in kept.streamed_memories(spark, str(tmp_path)).collect()}
+    assert got == {m: (round(max(0.75 + i % 5 / 20 for i in own), 6), round(max(0.7 + i % 3 / 10 for i in own), 6), ",".join(sorted({f"t{i % 4}" for i in own}))) for m, own in want.items()}
