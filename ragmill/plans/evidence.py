@@ -8,7 +8,7 @@ from ragmill.operators import evidence as E
 from ragmill.operators import retrieve as R
 from ragmill.operators import route as T
 from ragmill.plans.ingest import ORACLE_SQL as _INGEST_SQL
-from ragmill.plans.retrieval import FUSED, TOK, TOKENS, bench, bm25_sql, corpus, table
+from ragmill.plans.retrieval import FUSED, ITEMS, TOK, TOKENS, bench, bm25_sql, corpus, table
 
 #: Word lists in the language of these tables.
 WORDS = {"temporal": ("ndoure",), "official": ("entiin",), "local_scope": ("thinor",), "harmful": ("eranes",), "ambiguous": ("tion ",)}
@@ -20,7 +20,7 @@ def reranked(spark, sf):
     """BM25 hits of each item with a score between 0 and 1, and evidence columns."""
     hits = R.bm25(bench(spark, sf), corpus(spark, sf), 12)
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("source").alias("section_title"), F.when(F.col("lang") == "en", "paper").otherwise("web").alias("source_type"), "text")
-    return hits.join(d, "chunk_id").withColumn("final_score", F.round(F.col("score") / (F.col("score") + 40), 6))
+    return R.beside_texts(hits, d).withColumn("final_score", F.round(F.col("score") / (F.col("score") + 40), 6))
 
 
 def sufficiency(spark, sf):
@@ -79,9 +79,10 @@ def local_and_web(spark, sf):
     local = reranked(spark, sf).select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "text", F.col("final_score").alias("fusion_score"))
     from ragmill.operators.ingest import strip_html
 
-    p = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 10).alias("query_id"), F.col("page_id").alias("result_no"), "url", strip_html(F.col("html")).alias("text"), F.lit(0.5).alias("score"))
+    q = R.few(bench(spark, sf).withColumnRenamed("text", "query"), ITEMS)
+    p = table(spark, sf, "pages").withColumn("query_id", F.floor(F.col("page_id") / 10)).join(q.drop("query"), "query_id", "left_semi")  # results of other queries are never made
+    p = p.select("query_id", F.col("page_id").alias("result_no"), "url", strip_html(F.col("html")).alias("text"), F.lit(0.5).alias("score"))
     web = E.web_candidates(E.web_evidence(p)).select("query_id", "chunk_id", "text", "fusion_score")
-    q = bench(spark, sf).withColumnRenamed("text", "query")
     return E.combine_and_rerank(local.join(q, "query_id"), web.join(q, "query_id")).select("query_id", "chunk_id", "final_score", "rank")
 
 
