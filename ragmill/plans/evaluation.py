@@ -24,9 +24,9 @@ def cases(spark, sf):
 
 
 def hits(spark, sf):
-    h = R.bm25(bench(spark, sf), corpus(spark, sf), 10).withColumnRenamed("query_id", "case_id")
+    h = R.bm25(bench(spark, sf), corpus(spark, sf), 10)
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text", F.lit("").alias("title"), F.col("lang").alias("section"), F.lit("section").alias("chunk_type"))
-    return h.join(d, "chunk_id")
+    return R.beside_texts(h, d).withColumnRenamed("query_id", "case_id")
 
 
 def hit_recall_mrr(spark, sf):
